@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,33 +15,31 @@ def event_time(epoch_ms: Column) -> Column:
     return F.timestamp_seconds((epoch_ms / F.lit(1000)).cast("long"))
 
 
-def like_any(value: Column, patterns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [value.like(p) for p in patterns])
+def text_list(values: Iterable[str]) -> str:
+    """Constant texts as a SQL list."""
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
 
 
-def line_of_route(route: Column) -> Column:
+def like_any(column: str, patterns: Iterable[str]) -> Column:
+    """True where the column matches one of the LIKE patterns."""
+    return F.expr(f"{column} LIKE ANY ({text_list(patterns)})")
+
+
+def line_of_route(route: str) -> Column:
     """The part of the route name before the first hyphen."""
-    return F.trim(F.split(route, "-")[0])
+    return F.expr(f"trim(split({route}, '-')[0])")
 
 
-def corridor_of_line(line: Column) -> Column:
+def corridor_of_line(line: str) -> Column:
     """Corridor by the line's first character, empty text when there is none."""
-    digits: dict[str, list[str]] = {}
-    for digit, corridor in C.CORRIDOR_OF_DIGIT.items():
-        digits.setdefault(corridor, []).append(digit)
-    first = F.substring(line, 1, 1)
-    chain = F
-    for corridor, firsts in digits.items():
-        chain = chain.when(first.isin(firsts), F.lit(corridor))
-    return chain.otherwise(F.lit(C.NO_CORRIDOR))
+    cases = " ".join(f"WHEN '{digit}' THEN '{name}'" for digit, name in C.CORRIDOR_OF_DIGIT.items())
+    return F.expr(f"CASE substring({line}, 1, 1) {cases} ELSE '{C.NO_CORRIDOR}' END")
 
 
-def corridor_icon(corridor: Column) -> Column:
+def corridor_icon(corridor: str) -> Column:
     """Marker icon of a corridor, null when it has none."""
-    chain = F
-    for name, icon in C.CORRIDOR_ICONS.items():
-        chain = chain.when(corridor == F.lit(name), F.lit(icon))
-    return chain.otherwise(F.lit(None).cast("string"))
+    cases = " ".join(f"WHEN '{name}' THEN '{icon}'" for name, icon in C.CORRIDOR_ICONS.items())
+    return F.expr(f"CASE {corridor} {cases} END")
 
 
 def parse_float(text: Column) -> Column:

@@ -14,16 +14,15 @@ KEY = ("codigo", "datahora")
 
 def flatten(snapshots: DataFrame) -> DataFrame:
     """One row per vehicle record; documents without records give none."""
-    v = F.col("veiculo")
-    return snapshots.select(F.explode("veiculos").alias("veiculo")).select(
-        v.codigo.alias("codigo"),
-        event_time(v.datahora).alias("datahora"),
-        v.linha.alias("codlinha"),
-        v.latitude.alias("latitude"),
-        v.longitude.alias("longitude"),
-        v.velocidade.alias("velocidade"),
-        v.sentido.alias("sentido"),
-        v.trajeto.alias("trajeto"),
+    return snapshots.select(F.explode("veiculos").alias("v")).select(
+        "v.codigo",
+        event_time(F.col("v.datahora")).alias("datahora"),
+        F.col("v.linha").alias("codlinha"),
+        "v.latitude",
+        "v.longitude",
+        "v.velocidade",
+        "v.sentido",
+        "v.trajeto",
     )
 
 
@@ -34,25 +33,11 @@ def clean(records: DataFrame) -> DataFrame:
     line and corridor; the two may disagree. Records without a time are left out:
     they belong to no window and no day.
     """
-    line = line_of_route(F.col("trajeto"))
-    kept = records.filter(
-        F.col("trajeto").isNotNull()
-        & F.col("codlinha").isNotNull()
-        & F.col("datahora").isNotNull()
-        & like_any(F.col("codlinha"), C.CODE_PATTERNS)
-        & like_any(line, C.LINE_PATTERNS)
-    )
-    return kept.select(
-        "codigo",
-        line.alias("linha"),
-        "latitude",
-        "longitude",
-        "datahora",
-        "velocidade",
-        "sentido",
-        "trajeto",
-        corridor_of_line(line).alias("corredor"),
+    coded = records.filter("trajeto IS NOT NULL AND codlinha IS NOT NULL AND datahora IS NOT NULL").filter(
+        like_any("codlinha", C.CODE_PATTERNS)
     )
+    lined = coded.withColumn("linha", line_of_route("trajeto")).filter(like_any("linha", C.LINE_PATTERNS))
+    return lined.withColumn("corredor", corridor_of_line("linha")).select(*GPSDATA.fieldNames())
 
 
 def clean_snapshots(snapshots: DataFrame) -> DataFrame:

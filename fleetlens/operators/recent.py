@@ -57,5 +57,5 @@ def markers(positions: DataFrame) -> DataFrame:
         F.col("longitude").alias("lng"),
         F.col("trajeto").alias("title"),
         F.col("velocidade").alias("count"),
-        corridor_icon(F.col("corredor")).alias("icon"),
+        corridor_icon("corredor").alias("icon"),
     )

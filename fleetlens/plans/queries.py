@@ -319,7 +319,7 @@ def line_flat_list(spark, sf_dir):
 @register
 def icon_lookup(spark, sf_dir):
     rows = dimensions.with_icon(S.positions(spark, sf_dir))
-    by_rule = rows.withColumn("icon_rule", corridor_icon(F.col("corredor")))
+    by_rule = rows.withColumn("icon_rule", corridor_icon("corredor"))
     return by_rule.groupBy("corredor", "icon", "icon_rule").agg(F.count("*").alias("pings"))
 
 

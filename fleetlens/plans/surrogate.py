@@ -17,29 +17,33 @@ SCALE = 2  # decimals the measured values have
 UPDATE_MINUTES = 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared, so that no file is opened before the query runs.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_linestatus string",
+}
+
+# Vehicle fields made from an event, without its time.
+LINE_NUMBER = "CAST(10 + event_id % 55 AS STRING)"
+FEED = {
+    "codigo": "CAST(user_id AS STRING)",
+    "linha": f"""CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '123'
+        WHEN event_id % 7 = 0 THEN '501234' WHEN event_id % 5 = 0 THEN '20A' ELSE {LINE_NUMBER} END""",
+    "latitude": "-23.1D + (user_id % 100) * 0.004D",
+    "longitude": "-43.8D + (user_id % 140) * 0.005D",
+    "velocidade": "CASE WHEN event_id % 23 = 0 THEN 0.0D ELSE value END",
+    "sentido": "CASE WHEN event_id % 2 = 0 THEN 'ida' ELSE 'volta' END",
+    "trajeto": f"""CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'expresso - x'
+        ELSE concat({LINE_NUMBER}, ' - ', event_type) END""",
+}
 
 
-def feed_fields(events: DataFrame) -> dict:
-    """Vehicle fields made from an event, without its time."""
-    n = F.col("event_id")
-    line = (F.lit(10) + n % 55).cast("string")
-    return {
-        "codigo": F.col("user_id").cast("string"),
-        "linha": F.when(n % 11 == 0, F.lit(None))
-        .when(n % 13 == 0, "123")
-        .when(n % 7 == 0, "501234")
-        .when(n % 5 == 0, "20A")
-        .otherwise(line),
-        "latitude": F.lit(-23.1) + (F.col("user_id") % 100) * F.lit(0.004),
-        "longitude": F.lit(-43.8) + (F.col("user_id") % 140) * F.lit(0.005),
-        "velocidade": F.when(n % 23 == 0, F.lit(0.0)).otherwise(F.col("value")),
-        "sentido": F.when(n % 2 == 0, "ida").otherwise("volta"),
-        "trajeto": F.when(n % 17 == 0, F.lit(None))
-        .when(n % 19 == 0, "expresso - x")
-        .otherwise(F.concat(line, F.lit(" - "), F.col("event_type"))),
-    }
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def snapshots(
@@ -48,50 +52,42 @@ def snapshots(
     """Snapshot documents; with ``repeats`` every third vehicle is in its document twice."""
     events = table(spark, sf_dir, "events")
     if since is not None:
-        events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        events = events.filter(f"ts >= TIMESTAMP_NTZ '{since}'")
     if until is not None:
-        events = events.filter(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
-    epoch_ms = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000.0)
-    fields = {**feed_fields(events), "datahora": epoch_ms}
-    vehicle = F.struct(*[expr.alias(name) for name, expr in fields.items()])
-    once = F.array(vehicle)
-    content = F.when(F.col("event_id") % 3 == 0, F.array_repeat(vehicle, 2)).otherwise(once) if repeats else once
-    return events.select(content.alias("veiculos"))
+        events = events.filter(f"ts < TIMESTAMP_NTZ '{until}'")
+    fields = {**FEED, "datahora": "unix_micros(CAST(ts AS TIMESTAMP)) / 1000.0D"}
+    vehicle = "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in fields.items()) + ")"
+    times = "CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END" if repeats else "1"
+    return events.selectExpr(f"array_repeat({vehicle}, {times}) AS veiculos")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean positions, times without zone as the table has them."""
-    events = table(spark, sf_dir, "events")
-    fields = feed_fields(events)
-    second = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
-    records = events.select(
-        second.alias("datahora"),
-        *[expr.alias("codlinha" if name == "linha" else name) for name, expr in fields.items()],
+    fields = {("codlinha" if name == "linha" else name): expr for name, expr in FEED.items()}
+    records = table(spark, sf_dir, "events").selectExpr(
+        "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ) AS datahora",
+        *[f"{expr} AS {name}" for name, expr in fields.items()],
     )
     return clean(records)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions as (lat, lng, count) points."""
-    return positions(spark, sf_dir).select(
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), F.col("velocidade").alias("count")
-    )
+    return positions(spark, sf_dir).selectExpr("latitude AS lat", "longitude AS lng", "velocidade AS count")
 
 
-def update_slot():
-    """Hour and number of the 20-minute update a ping is first part of."""
-    hour = F.date_trunc("hour", "datahora").cast("timestamp_ntz").alias("hour")
-    return hour, F.floor(F.minute("datahora") / F.lit(float(UPDATE_MINUTES))).alias("slot")
+# Hour of a ping and number of the 20-minute update it is first part of.
+HOUR = "CAST(date_trunc('hour', datahora) AS TIMESTAMP_NTZ) AS hour"
+SLOT = f"CAST(minute(datahora) / {UPDATE_MINUTES} AS INT) AS slot"
 
 
 def log_rows(updates: DataFrame, measure: str) -> DataFrame:
-    moment = F.col("hour") + F.make_dt_interval(mins=((F.col("slot") + 1) * UPDATE_MINUTES).cast("int"))
-    return updates.filter(F.col(measure) > 0).select(
+    return updates.filter(f"{measure} > 0").selectExpr(
         *BY_CORRIDOR,
         measure,
-        F.to_date("hour").alias("data"),
-        F.date_format("hour", "HH:mm").alias("hora"),
-        moment.alias("atualizacao"),
+        "to_date(hour) AS data",
+        "date_format(hour, 'HH:mm') AS hora",
+        f"hour + make_dt_interval(0, 0, (slot + 1) * {UPDATE_MINUTES}) AS atualizacao",
     )
 
 
@@ -100,8 +96,11 @@ def speed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Pings are summed per update first; the running sums go over three rows an hour.
     """
-    parts = positions(spark, sf_dir).groupBy(*update_slot(), *BY_CORRIDOR).agg(
-        F.sum(F.col("velocidade").cast(f"decimal(18,{SCALE})")).alias("s"), F.count("velocidade").alias("n")
+    parts = (
+        positions(spark, sf_dir)
+        .selectExpr(HOUR, SLOT, *BY_CORRIDOR, f"CAST(velocidade AS DECIMAL(18,{SCALE})) AS v")
+        .groupBy("hour", *BY_CORRIDOR, "slot")
+        .agg(F.sum("v").alias("s"), F.count("v").alias("n"))
     )
     so_far = Window.partitionBy("hour", *BY_CORRIDOR).orderBy("slot")
     mean = F.sum("s").over(so_far).cast("double") / F.sum("n").over(so_far)
@@ -110,8 +109,12 @@ def speed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vehicle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicle log in the same form, exact counts."""
-    hour, slot = update_slot()
-    first_seen = positions(spark, sf_dir).groupBy(hour, *BY_CORRIDOR, "codigo").agg(F.min(slot).alias("slot"))
+    first_seen = (
+        positions(spark, sf_dir)
+        .selectExpr(HOUR, SLOT, *BY_CORRIDOR, "codigo")
+        .groupBy("hour", *BY_CORRIDOR, "codigo")
+        .agg(F.min("slot").alias("slot"))
+    )
     parts = first_seen.groupBy("hour", *BY_CORRIDOR, "slot").agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("hour", *BY_CORRIDOR).orderBy("slot")
     return log_rows(parts.withColumn("qtd_carros", F.sum("n").over(so_far)), "qtd_carros")
@@ -120,59 +123,53 @@ def vehicle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three station sources, one per table of named places."""
 
-    def shape(df: DataFrame, key: str, name: str, district):
-        number = F.col(key).cast("bigint")
-        digits = F.lpad((number % 10000).cast("string"), 4, "0")
+    def shape(name: str, key: str, label: str, district: str) -> DataFrame:
+        digits = f"lpad(CAST({key} % 10000 AS STRING), 4, '0')"
         fields = {
-            "estacao": F.col(name),
-            "horarioestacao": F.when(number % 2 == 0, "24h").otherwise("05h à 01h"),
-            "horariobilheteria": F.lit("06h às 22h"),
-            "logradouro": F.lit("Avenida"),
-            "numero": F.when(number % 3 == 0, "").otherwise(number.cast("string")),
-            "bairro": district.cast("string"),
-            "latitude": F.when(number % 7 == 0, "sem dado").otherwise(F.concat(F.lit("-22."), digits)),
-            "longitude": F.when(number % 5 == 0, F.concat(F.lit(" -43."), digits, F.lit(" graus"))).otherwise(
-                F.concat(F.lit("-43."), digits)
-            ),
+            "estacao": label,
+            "horarioestacao": f"CASE WHEN {key} % 2 = 0 THEN '24h' ELSE '05h à 01h' END",
+            "horariobilheteria": "'06h às 22h'",
+            "logradouro": "'Avenida'",
+            "numero": f"CASE WHEN {key} % 3 = 0 THEN '' ELSE CAST({key} AS STRING) END",
+            "bairro": f"CAST({district} AS STRING)",
+            "latitude": f"CASE WHEN {key} % 7 = 0 THEN 'sem dado' ELSE concat('-22.', {digits}) END",
+            "longitude": f"concat(' -43.', {digits}, CASE WHEN {key} % 5 = 0 THEN ' graus' ELSE '' END)",
         }
-        return df.select(*[fields[f].alias(f) for f in STATION.fieldNames()])
+        return table(spark, sf_dir, name).selectExpr(*[f"{fields[f]} AS {f}" for f in STATION.fieldNames()])
 
-    nation = table(spark, sf_dir, "nation")
-    supplier = table(spark, sf_dir, "supplier")
-    customer = table(spark, sf_dir, "customer")
     return {
-        "nation": shape(nation, "n_nationkey", "n_name", F.col("n_regionkey")),
-        "supplier": shape(supplier, "s_suppkey", "s_name", F.col("s_nationkey")),
-        "customer": shape(customer, "c_custkey", "c_name", F.col("c_mktsegment")),
+        "nation": shape("nation", "n_nationkey", "n_name", "n_regionkey"),
+        "supplier": shape("supplier", "s_suppkey", "s_name", "s_nationkey"),
+        "customer": shape("customer", "c_custkey", "c_name", "c_mktsegment"),
     }
 
 
 def itinerary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops in order: an order's line items, each at its supplier's station."""
-    items = table(spark, sf_dir, "lineitem")
-    return items.select(
-        F.col("l_orderkey").cast("int").alias("linha"),
-        F.when(F.col("l_returnflag") == "R", "volta").otherwise("ida").alias("sentido"),
-        F.col("l_linestatus").alias("trajeto"),
-        F.col("l_returnflag").alias("destino"),
-        F.col("l_linenumber").cast("int").alias("sequencia"),
-        F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("estacao"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_orderkey AS INT) AS linha",
+        "CASE WHEN l_returnflag = 'R' THEN 'volta' ELSE 'ida' END AS sentido",
+        "l_linestatus AS trajeto",
+        "l_returnflag AS destino",
+        "l_linenumber AS sequencia",
+        "concat('Supplier#', lpad(CAST(l_suppkey AS STRING), 9, '0')) AS estacao",
     )
 
 
 def year_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects keyed by year: two years an order, the second with one value only."""
-    year = F.year("o_orderdate")
-    pair = F.array(F.col("o_totalprice"), F.col("o_custkey").cast("double"))
-    single = F.array(F.col("o_orderkey").cast("double"))
-    body = F.to_json(F.create_map(year.cast("string"), pair, (year + 1).cast("string"), single))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", body.alias("body"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "o_custkey",
+        """to_json(map(CAST(year(o_orderdate) AS STRING), array(o_totalprice, CAST(o_custkey AS DOUBLE)),
+            CAST(year(o_orderdate) + 1 AS STRING), array(CAST(o_orderkey AS DOUBLE)))) AS body""",
+    )
 
 
 def country_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year rows with the country of the order's customer."""
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
-    homes = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "country")
-    objects = year_objects(spark, sf_dir)
-    return objects.join(homes, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "country", "body")
+    """Year objects with the country of the order's customer."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    homes = customer.join(nation, customer.c_nationkey == nation.n_nationkey).selectExpr(
+        "c_custkey AS o_custkey", "n_name AS country"
+    )
+    return year_objects(spark, sf_dir).join(homes, "o_custkey").select("o_orderkey", "country", "body")
