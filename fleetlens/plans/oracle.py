@@ -388,6 +388,13 @@ def oracles() -> dict[str, str]:
                 GROUP BY r.corredor, r.hour, r.run
                 HAVING {MEAN} > 0""",
         ),
+        "stream_vehicles_1h": after(
+            POSITIONS,
+            """SELECT CAST(w AS DATE) AS data, strftime(w, '%H:%M') AS hora, corredor,
+                 count(DISTINCT codigo) AS exact, true AS close
+               FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, datahora) AS w FROM positions)
+               GROUP BY w, corredor""",
+        ),
         "stream_late_drop": after(RUNS, f"SELECT {COLUMNS} FROM runs WHERE run <> 1"),
         "stream_extrema": after(
             POSITIONS, "SELECT max(velocidade) AS max, min(velocidade) AS min FROM positions"

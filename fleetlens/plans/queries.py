@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -29,6 +30,9 @@ WRAPPED_VIEW = Viewport(north=-22.8, south=-23.1, east=-43.6, west=-43.3, zoom=3
 # Times the replayed history is cut at, within an hour so that windows span two runs.
 CUTS = ("2024-01-11 12:30:00", "2024-01-21 06:40:00")
 
+# Relative error of the checked sketches (the default).
+RSD = 0.05
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -47,6 +51,11 @@ def plain_times(df: DataFrame) -> DataFrame:
     )
 
 
+def close_enough() -> Column:
+    """Sketch within six standard errors of the exact count, or one vehicle."""
+    return F.expr(f"abs(approx - exact) <= greatest(1.0D, {6 * RSD}D * exact)")
+
+
 # Snapshots to positions
 
 
@@ -109,20 +118,15 @@ def vehicles_1h_approx(spark, sf_dir):
 
 @register
 def vehicles_1h_approx_error(spark, sf_dir):
-    """Sketch against exact count: within six standard errors, or one vehicle."""
-    rsd = 0.02
+    """Sketch against exact count."""
     groups = stats.grouped(
         S.positions(spark, sf_dir),
         C.STREAM_WINDOW,
         ("corredor",),
-        {"exact": stats.vehicle_count(), "approx": stats.vehicle_count(approx=True, rsd=rsd)},
+        {"exact": stats.vehicle_count(), "approx": stats.vehicle_count(approx=True, rsd=RSD)},
     )
-    error = F.abs(F.col("approx") - F.col("exact"))
     return groups.select(
-        F.col("window.start").alias("window_start"),
-        "corredor",
-        "exact",
-        (error <= F.greatest(F.lit(1.0), F.lit(6 * rsd) * F.col("exact"))).alias("close"),
+        F.col("window.start").alias("window_start"), "corredor", "exact", close_enough().alias("close")
     )
 
 
@@ -412,11 +416,14 @@ def stream_speed_log(spark, sf_dir):
 
 @register
 def stream_vehicles_1h(spark, sf_dir):
-    """Independent vehicle query; the counts are sketches."""
-    config = stream_config(spark)
+    """Independent vehicle query: last count of every window, against the exact one."""
+    config = replace(stream_config(spark), rsd=RSD)
     replay(slices(spark, sf_dir), config.files_dir, lambda: ingest.finish(ingest.start_vehicles(spark, config)))
     log = tables.read_table(spark, config.out_dir, "stats_qtd")
-    return dashboards.last_update(log, "qtd_carros")
+    counted = dashboards.last_update(log, "qtd_carros").withColumnRenamed("qtd_carros", "approx")
+    exact = stats.window_vehicles(S.positions(spark, sf_dir), C.STREAM_WINDOW).withColumnRenamed("qtd_carros", "exact")
+    both = exact.join(counted, ["data", "hora", "corredor"], "full")
+    return both.select("data", "hora", "corredor", "exact", close_enough().alias("close"))
 
 
 @register

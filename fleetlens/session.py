@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Skew-join and partition coalescing are on by default with AQE; the parallelism

@@ -26,13 +26,16 @@ from fleetlens.functions.vehicle import mean
 from fleetlens.operators.positions import clean_snapshots, dedupe_stream
 from fleetlens.operators.stats import BY_CORRIDOR, grouped, labelled, vehicle_count
 from fleetlens.schemas import PARTITION, stored_schema, with_partition_day
-from fleetlens.session import ROCKSDB, STATE_PROVIDER, scoped_conf
+from fleetlens.session import CHANGELOG, ROCKSDB, STATE_PROVIDER, scoped_conf
 from fleetlens.sources.snapshots import stream_snapshots
 from fleetlens.sources.tables import write_batch
 
 # Trigger intervals for the three queries when not run back to back.
 TRIGGERS = {"positions": "1 minute", "speed": "1 hour", "vehicles": "1 day"}
 
+# State on executor disks rather than in their heaps; a commit uploads its changes only.
+STATE_CONF = {STATE_PROVIDER: ROCKSDB, CHANGELOG: "true"}
+
 
 @dataclass(frozen=True)
 class IngestConfig:
@@ -50,11 +53,14 @@ class IngestConfig:
     salt_buckets: int = 32
     max_files: int | None = C.MAX_FILES_PER_TRIGGER
     max_bytes: str | None = None
+    # Without it every state partition writes its own file per day and batch; a
+    # number spreads each batch's new positions evenly over that many tasks.
+    files_per_batch: int | None = None
     # ``availableNow`` processes what has landed and stops; a text such as
     # "1 minute" is a processing-time interval; None runs batches back to back.
     trigger: str | None = "availableNow"
     # Settings a query is started with where the session has none of its own.
-    conf: dict[str, str] = field(default_factory=lambda: {STATE_PROVIDER: ROCKSDB})
+    conf: dict[str, str] = field(default_factory=lambda: dict(STATE_CONF))
 
 
 def realtime_positions(spark: SparkSession, config: IngestConfig) -> DataFrame:
@@ -63,6 +69,10 @@ def realtime_positions(spark: SparkSession, config: IngestConfig) -> DataFrame:
     return dedupe_stream(clean_snapshots(snapshots), config.delay, config.salt_buckets)
 
 
+def for_files(rows: DataFrame, config: IngestConfig) -> DataFrame:
+    return rows if config.files_per_batch is None else rows.repartition(config.files_per_batch)
+
+
 def measure(config: IngestConfig, name: str):
     if name == "vel_media":
         return mean(F.col("velocidade"), config.exact_scale)
@@ -71,7 +81,7 @@ def measure(config: IngestConfig, name: str):
 
 def begin(config: IngestConfig, df: DataFrame, name: str, mode: str, sink: Callable) -> StreamingQuery:
     """Start a query with its own checkpoint and the configured trigger."""
-    writer = df.writeStream.queryName(f"{name}").outputMode(mode)
+    writer = df.writeStream.queryName(name).outputMode(mode)
     writer = writer.option("checkpointLocation", f"{config.checkpoint_dir}/{name}")
     if config.trigger == "availableNow":
         writer = writer.trigger(availableNow=True)
@@ -91,7 +101,7 @@ def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
 
     With two measures the batch is kept while both are written: computing it
     again would read and commit the state a second time. It holds one row per
-    changed window and group, not pings.
+    changed window and corridor, not pings, so a day's rows may share a file.
     """
 
     def write(groups: DataFrame, batch_id: int) -> None:
@@ -102,7 +112,7 @@ def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
         try:
             for name in measures:
                 rows = labelled(groups, name, BY_CORRIDOR, True, config.tz)
-                write_batch(rows, config.out_dir, run_id=run, batch_id=batch_id)
+                write_batch(rows.repartition(PARTITION.name), config.out_dir, run_id=run, batch_id=batch_id)
         finally:
             if shared:
                 groups.unpersist()
@@ -123,7 +133,7 @@ def start_stats(
 
 def start_positions_shared(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
     rows = with_partition_day(realtime_positions(spark, config))
-    rows = rows.select(*stored_schema("gpsdata").fieldNames())
+    rows = for_files(rows.select(*stored_schema("gpsdata").fieldNames()), config)
     path = f"{config.out_dir}/gpsdata"
     return begin(
         config, rows, "positions", "append", lambda w: w.partitionBy(PARTITION.name).format("parquet").start(path)
@@ -131,7 +141,10 @@ def start_positions_shared(spark: SparkSession, config: IngestConfig) -> Streami
 
 
 def start_stats_shared(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
-    gps = spark.readStream.schema(stored_schema("gpsdata")).parquet(f"{config.out_dir}/gpsdata")
+    path, schema = f"{config.out_dir}/gpsdata", stored_schema("gpsdata")
+    # A stream cannot start on a folder that is not there yet; this makes an empty one.
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(PARTITION.name).parquet(path)
+    gps = spark.readStream.schema(schema).parquet(path)
     marked = gps.withWatermark("datahora", config.delay)
     return start_stats(config, marked, ("vel_media", "qtd_carros"), "stats")
 
@@ -140,7 +153,7 @@ def start_positions(spark: SparkSession, config: IngestConfig) -> StreamingQuery
     def write(rows: DataFrame, batch_id: int) -> None:
         write_batch(rows, config.out_dir, "gpsdata", query_run(rows), batch_id)
 
-    rows = realtime_positions(spark, config)
+    rows = for_files(realtime_positions(spark, config), config)
     return begin(config, rows, "positions", "update", lambda w: w.foreachBatch(write).start())
 
 
@@ -157,6 +170,15 @@ def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark dropped, over the progress reports Spark keeps."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 def run_ingest(spark: SparkSession, config: IngestConfig) -> list[StreamingQuery]:
     """Start the layout's queries.
 
