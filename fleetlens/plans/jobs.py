@@ -24,7 +24,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     ingest.add_argument("--layout", choices=("shared", "independent"), default="shared")
     ingest.add_argument("--trigger", default="1 minute", help='"availableNow" or an interval')
     ingest.add_argument("--max-files", type=int, default=C.MAX_FILES_PER_TRIGGER)
-    ingest.add_argument("--max-bytes", help='e.g. "64g"; replaces the file limit')
+    ingest.add_argument("--max-bytes", type=int, help="replaces the file limit")
     ingest.add_argument("--rsd", type=float, help="relative error of vehicle counts")
     ingest.add_argument("--tz", help="time zone of day and hour labels")
 

@@ -21,11 +21,11 @@ def stream_snapshots(
     spark: SparkSession,
     files_dir: str,
     max_files: int | None = C.MAX_FILES_PER_TRIGGER,
-    max_bytes: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Streaming read of a directory snapshots land in.
 
-    ``max_bytes`` (e.g. ``"64g"``) limits a micro-batch by size instead of by
+    ``max_bytes`` limits a micro-batch by size instead of by
     number of files; Spark allows one of the two.
     """
     reader = spark.readStream.schema(SNAPSHOT)

@@ -52,7 +52,7 @@ class IngestConfig:
     tz: str | None = None
     salt_buckets: int = 32
     max_files: int | None = C.MAX_FILES_PER_TRIGGER
-    max_bytes: str | None = None
+    max_bytes: int | None = None
     # Without it every state partition writes its own file per day and batch; a
     # number spreads each batch's new positions evenly over that many tasks.
     files_per_batch: int | None = None
