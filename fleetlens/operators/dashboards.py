@@ -18,38 +18,48 @@ from fleetlens.functions.labels import day_label
 from fleetlens.operators.recent import as_moment
 
 
-def since_day(stats: DataFrame, anchor: str | date | datetime, days: int, until: date | None = None) -> DataFrame:
-    """Days after ``anchor`` minus ``days``; the boundary day is left out.
+HOUR, DAY = "hora", "data"
 
-    The bound is a date literal on the partition column, so older days are not read.
+
+def chart_rows(
+    stats: DataFrame,
+    measure: str,
+    anchor: str | date | datetime,
+    days: int,
+    until: date | None = None,
+    reduce: str = "max",
+) -> DataFrame:
+    """Log rows of the days after ``anchor`` minus ``days``; the boundary day is left out.
+
+    The bound is a date literal on the partition column, so older days are not
+    read. ``reduce="final"`` keeps each window's last update only.
     """
+    if reduce not in ("max", "final"):
+        raise ValueError(f"reduce must be 'max' or 'final', not {reduce!r}")
     bound = as_moment(anchor) - timedelta(days=days)
-    kept = stats.filter(F.col("data") > F.lit(bound.date()))
-    return kept if until is None else kept.filter(F.col("data") <= F.lit(until))
+    kept = stats.filter(F.col(DAY) > F.lit(bound.date()))
+    if until is not None:
+        kept = kept.filter(F.col(DAY) <= F.lit(until))
+    return kept if reduce == "max" else last_update(kept, measure)
 
 
 def last_update(stats: DataFrame, measure: str) -> DataFrame:
     """Each window's value as of its last update."""
-    return stats.groupBy("data", "hora", "corredor").agg(F.max_by(measure, "atualizacao").alias(measure))
+    return stats.groupBy(DAY, HOUR, "corredor").agg(F.max_by(measure, "atualizacao").alias(measure))
 
 
-def peaks(stats: DataFrame, measure: str, label: str, reduce: str = "max") -> DataFrame:
-    """Largest value per label column and corridor."""
-    if reduce not in ("max", "final"):
-        raise ValueError(f"reduce must be 'max' or 'final', not {reduce!r}")
-    rows = stats if reduce == "max" else last_update(stats, measure)
-    return rows.groupBy(label, "corredor").agg(F.max(measure).alias(measure))
-
-
-def with_day_label(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("label", day_label(F.col("data")))
+def peaks(rows: DataFrame, measure: str, axis: str) -> DataFrame:
+    """Largest value per axis value and corridor."""
+    cells = rows.groupBy(axis, "corredor").agg(F.max(measure).alias(measure))
+    return cells.withColumn("label", day_label(F.col(DAY))) if axis == DAY else cells
 
 
 def speed_by_hour(
     stats_vel: DataFrame, anchor: str | date | datetime, until: date | None = None, reduce: str = "max"
 ) -> DataFrame:
     """Peak mean speed per hour label; the days in range are not told apart."""
-    return peaks(since_day(stats_vel, anchor, C.HOUR_VIEW_DAYS, until), "vel_media", "hora", reduce)
+    rows = chart_rows(stats_vel, "vel_media", anchor, C.HOUR_VIEW_DAYS, until, reduce)
+    return peaks(rows, "vel_media", HOUR)
 
 
 def speed_by_day(
@@ -60,14 +70,15 @@ def speed_by_day(
     reduce: str = "max",
 ) -> DataFrame:
     """Peak hourly mean speed per day."""
-    return with_day_label(peaks(since_day(stats_vel, anchor, days, until), "vel_media", "data", reduce))
+    return peaks(chart_rows(stats_vel, "vel_media", anchor, days, until, reduce), "vel_media", DAY)
 
 
 def vehicles_by_hour(
     stats_qtd: DataFrame, anchor: str | date | datetime, until: date | None = None, reduce: str = "max"
 ) -> DataFrame:
     """Peak vehicle count per hour label; the days in range are not told apart."""
-    return peaks(since_day(stats_qtd, anchor, C.HOUR_VIEW_DAYS, until), "qtd_carros", "hora", reduce)
+    rows = chart_rows(stats_qtd, "qtd_carros", anchor, C.HOUR_VIEW_DAYS, until, reduce)
+    return peaks(rows, "qtd_carros", HOUR)
 
 
 def vehicles_by_day(
@@ -78,54 +89,39 @@ def vehicles_by_day(
     reduce: str = "max",
 ) -> DataFrame:
     """Peak hourly vehicle count per day."""
-    return with_day_label(peaks(since_day(stats_qtd, anchor, days, until), "qtd_carros", "data", reduce))
-
+    return peaks(chart_rows(stats_qtd, "qtd_carros", anchor, days, until, reduce), "qtd_carros", DAY)
 
-def axis_of(cells: DataFrame) -> tuple[str, str]:
-    """(order column, label column) of the cells: days are ordered by date, not by label."""
-    return ("data", "label") if "data" in cells.columns else ("hora", "hora")
 
+def series(rows: DataFrame, measure: str, axis: str, corridors: Sequence[str] = C.CORRIDORS) -> DataFrame:
+    """One row per axis value, one column per corridor, null where a corridor has none.
 
-def series(cells: DataFrame, measure: str, corridors: Sequence[str] = C.CORRIDORS) -> DataFrame:
-    """One row per label, one column per corridor, null where a corridor has none.
-
-    Labels come from all rows, those of no named corridor included.
+    The pivot is an aggregate of its own, so log rows need no grouping before.
+    Axis values come from all rows, those of no named corridor included.
     """
-    order, label = axis_of(cells)
-    keys = list(dict.fromkeys([order, label]))
-    return cells.groupBy(*keys).agg(
+    wide = rows.groupBy(axis).agg(
         *[F.max(F.when(F.col("corredor") == F.lit(c), F.col(measure))).alias(c) for c in corridors]
     )
+    return wide.withColumn("label", day_label(F.col(DAY))) if axis == DAY else wide
 
 
-def categories(cells: DataFrame) -> DataFrame:
-    """Distinct labels, in order."""
-    order, label = axis_of(cells)
-    return cells.select(*dict.fromkeys([order, label])).distinct().orderBy(order).select(
-        F.col(label).alias("category")
-    )
+def categories(rows: DataFrame, axis: str) -> DataFrame:
+    """Distinct labels in order: days by date, not by label."""
+    label = day_label(F.col(DAY)) if axis == DAY else F.col(HOUR)
+    return rows.select(axis).distinct().orderBy(axis).select(label.alias("category"))
 
 
 def chart_payload(
-    cells: DataFrame, measure: str, stack: str | None = None, corridors: Sequence[str] = C.CORRIDORS
+    rows: DataFrame, measure: str, axis: str, stack: str | None = None, corridors: Sequence[str] = C.CORRIDORS
 ) -> DataFrame:
     """The chart as one row: ``content`` (name, [stack,] data) and ``categories``.
 
     What is gathered is one entry per label: hours of a day, or days in range.
     """
-    order, label = axis_of(cells)
-    wide = series(cells, measure, corridors)
-    sorted_rows = wide.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col(order).alias("o"),
-                    F.col(label).alias("label"),
-                    *[F.col(c).alias(f"s{i}") for i, c in enumerate(corridors)],
-                )
-            )
-        ).alias("rows")
+    label = day_label(F.col(DAY)) if axis == DAY else F.col(HOUR)
+    entry = F.struct(
+        F.col(axis).alias("o"), label.alias("label"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(corridors)]
     )
+    gathered = series(rows, measure, axis, corridors).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     tag = [] if stack is None else [F.lit(stack).alias("stack")]
     content = F.array(
         *[
@@ -133,4 +129,17 @@ def chart_payload(
             for i, c in enumerate(corridors)
         ]
     )
-    return sorted_rows.select(content.alias("content"), F.col("rows.label").alias("categories"))
+    return gathered.select(content.alias("content"), F.col("rows.label").alias("categories"))
+
+
+def speed_chart(stats_vel: DataFrame, anchor: str | date | datetime, per_day: bool = True) -> DataFrame:
+    """Chart of mean speed: by hour (``per_day``), or by day over the last seven."""
+    days, axis = (C.HOUR_VIEW_DAYS, HOUR) if per_day else (C.SPEED_VIEW_DAYS, DAY)
+    return chart_payload(chart_rows(stats_vel, "vel_media", anchor, days), "vel_media", axis)
+
+
+def vehicle_chart(stats_qtd: DataFrame, anchor: str | date | datetime, per_day: bool = True) -> DataFrame:
+    """Chart of vehicle counts: by hour (``per_day``), or by day over the last six."""
+    days, axis = (C.HOUR_VIEW_DAYS, HOUR) if per_day else (C.VEHICLE_VIEW_DAYS, DAY)
+    rows = chart_rows(stats_qtd, "qtd_carros", anchor, days)
+    return chart_payload(rows, "qtd_carros", axis, stack=C.VEHICLE_STACK)

@@ -10,6 +10,7 @@ from fleetlens.functions.vehicle import corridor_of_line, event_time, like_any,
 from fleetlens.schemas import GPSDATA
 
 KEY = ("codigo", "datahora")
+PICK_ORDER = ("corredor", "velocidade", "linha", "latitude", "longitude", "sentido", "trajeto")
 
 
 def flatten(snapshots: DataFrame) -> DataFrame:
@@ -49,14 +50,16 @@ def dedupe(positions: DataFrame) -> DataFrame:
     """One ping per vehicle and second, batch form.
 
     Of differing rows with one key the smallest is kept (columns compared in
-    table order), so a recomputed task cannot pick another one. It is an
+    ``PICK_ORDER``), so a recomputed task cannot pick another one. It is an
     aggregate: copies collapse before the shuffle, however many a key has.
+
+    Columns at the end of the order may be left out beforehand: the others come
+    out the same. Speed statistics thus shuffle four columns, not nine.
     """
-    rest = [c for c in positions.columns if c not in KEY]
+    known = [c for c in PICK_ORDER if c in positions.columns]
+    rest = known + [c for c in positions.columns if c not in (*KEY, *known)]
     picked = positions.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("row"))
-    order = [c for c in GPSDATA.fieldNames() if c in positions.columns]
-    extra = [c for c in positions.columns if c not in order]
-    return picked.select(*[F.col(c) if c in KEY else F.col(f"row.{c}") for c in order + extra])
+    return picked.select(*[F.col(c) if c in KEY else F.col(f"row.{c}") for c in positions.columns])
 
 
 def dedupe_stream(

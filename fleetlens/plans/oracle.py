@@ -36,7 +36,7 @@ positions AS (
 deduped AS (
   SELECT * FROM positions
   QUALIFY row_number() OVER (PARTITION BY codigo, datahora
-    ORDER BY linha NULLS FIRST, latitude, longitude, velocidade NULLS FIRST, sentido, trajeto, corredor) = 1)
+    ORDER BY corredor, velocidade, linha, latitude, longitude, sentido, trajeto) = 1)
 """
 
 COLUMNS = "codigo, linha, latitude, longitude, datahora, velocidade, sentido, trajeto, corredor"

@@ -101,7 +101,7 @@ def speed_10m(spark, sf_dir):
 
 @register
 def speed_1h(spark, sf_dir):
-    unique = dedupe(S.positions(spark, sf_dir))
+    unique = dedupe(S.positions(spark, sf_dir).select("codigo", "datahora", "corredor", "velocidade"))
     return stats.window_speed(unique, C.STREAM_WINDOW, positive_only=True, exact_scale=S.SCALE).drop("atualizacao")
 
 
@@ -168,40 +168,48 @@ def vehicles_by_day(spark, sf_dir):
     return dashboards.vehicles_by_day(S.vehicle_log(spark, sf_dir), S.ANCHOR)
 
 
+def speed_rows(spark, sf_dir, days):
+    return dashboards.chart_rows(S.speed_log(spark, sf_dir), "vel_media", S.ANCHOR, days)
+
+
+def vehicle_rows(spark, sf_dir, days):
+    return dashboards.chart_rows(S.vehicle_log(spark, sf_dir), "qtd_carros", S.ANCHOR, days)
+
+
 @register
 def speed_series_hour(spark, sf_dir):
-    return dashboards.series(speed_by_hour(spark, sf_dir), "vel_media")
+    return dashboards.series(speed_rows(spark, sf_dir, C.HOUR_VIEW_DAYS), "vel_media", dashboards.HOUR)
 
 
 @register
 def speed_series_day(spark, sf_dir):
-    return dashboards.series(speed_by_day(spark, sf_dir), "vel_media")
+    return dashboards.series(speed_rows(spark, sf_dir, C.SPEED_VIEW_DAYS), "vel_media", dashboards.DAY)
 
 
 @register
 def vehicle_series_hour(spark, sf_dir):
-    return dashboards.series(vehicles_by_hour(spark, sf_dir), "qtd_carros")
+    return dashboards.series(vehicle_rows(spark, sf_dir, C.HOUR_VIEW_DAYS), "qtd_carros", dashboards.HOUR)
 
 
 @register
 def vehicle_series_day(spark, sf_dir):
-    return dashboards.series(vehicles_by_day(spark, sf_dir), "qtd_carros")
+    return dashboards.series(vehicle_rows(spark, sf_dir, C.VEHICLE_VIEW_DAYS), "qtd_carros", dashboards.DAY)
 
 
 @register
 def categories_hour(spark, sf_dir):
-    return dashboards.categories(vehicles_by_hour(spark, sf_dir))
+    return dashboards.categories(vehicle_rows(spark, sf_dir, C.HOUR_VIEW_DAYS), dashboards.HOUR)
 
 
 @register
 def categories_day(spark, sf_dir):
-    return dashboards.categories(vehicles_by_day(spark, sf_dir))
+    return dashboards.categories(vehicle_rows(spark, sf_dir, C.VEHICLE_VIEW_DAYS), dashboards.DAY)
 
 
 @register
 def speed_chart(spark, sf_dir):
     """The chart's arrays, taken apart again to rows."""
-    chart = dashboards.chart_payload(speed_by_day(spark, sf_dir), "vel_media")
+    chart = dashboards.speed_chart(S.speed_log(spark, sf_dir), S.ANCHOR, per_day=False)
     per_series = chart.select("categories", F.inline("content"))
     cells = per_series.select("name", F.posexplode(F.arrays_zip("categories", "data")).alias("position", "cell"))
     return cells.select(
@@ -211,8 +219,7 @@ def speed_chart(spark, sf_dir):
 
 @register
 def vehicle_chart_json(spark, sf_dir):
-    chart = dashboards.chart_payload(vehicles_by_hour(spark, sf_dir), "qtd_carros", stack=C.VEHICLE_STACK)
-    return tables.to_json_rows(chart)
+    return tables.to_json_rows(dashboards.vehicle_chart(S.vehicle_log(spark, sf_dir), S.ANCHOR))
 
 
 # Positions and heat map

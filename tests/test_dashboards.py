@@ -81,21 +81,30 @@ def test_anchor_kinds(speed):
     assert rows(D.speed_by_hour(speed, datetime(2017, 8, 28))) == want
 
 
+def hours(stats, measure="vel_media", anchor=ANCHOR):
+    return D.chart_rows(stats, measure, anchor, 1)
+
+
 def test_series_are_aligned(speed):
-    got = {r.hora: r for r in D.series(D.speed_by_hour(speed, ANCHOR), "vel_media").collect()}
+    got = {r.hora: r for r in D.series(hours(speed), "vel_media", D.HOUR).collect()}
     assert got["10:00"]["TransOeste"] == 30.0 and got["10:00"]["TransCarioca"] is None
     assert got["11:00"]["TransCarioca"] == 20.0
     assert [got["12:00"][c] for c in ("TransCarioca", "TransOeste", "TransOlímpica")] == [None] * 3
 
 
+def test_series_of_log_rows_equals_series_of_peaks(speed):
+    week = D.chart_rows(speed, "vel_media", ANCHOR, 8)
+    assert rows(D.series(week, "vel_media", D.DAY)) == rows(D.series(D.peaks(week, "vel_media", D.DAY), "vel_media", D.DAY))
+
+
 def test_categories_follow_the_day_not_its_label(speed):
-    assert [r.category for r in D.categories(D.speed_by_hour(speed, ANCHOR)).collect()] == ["10:00", "11:00", "12:00"]
-    days = [r.category for r in D.categories(D.speed_by_day(speed, ANCHOR, days=8)).collect()]
+    assert [r.category for r in D.categories(hours(speed), D.HOUR).collect()] == ["10:00", "11:00", "12:00"]
+    days = [r.category for r in D.categories(D.chart_rows(speed, "vel_media", ANCHOR, 8), D.DAY).collect()]
     assert days == ["Mon, 2017-8-21", "Sun, 2017-8-27", "Mon, 2017-8-28"]
 
 
-def test_speed_payload(speed):
-    text = to_json_rows(D.chart_payload(D.speed_by_hour(speed, ANCHOR), "vel_media")).first().json
+def test_speed_chart_by_hour(speed):
+    text = to_json_rows(D.speed_chart(speed, ANCHOR)).first().json
     assert json.loads(text) == {
         "content": [
             {"name": "TransCarioca", "data": [None, 20.0, None]},
@@ -106,13 +115,16 @@ def test_speed_payload(speed):
     }
 
 
-def test_vehicle_payload_by_day(vehicles):
-    chart = D.chart_payload(D.vehicles_by_day(vehicles, ANCHOR), "qtd_carros", stack="BusQuery")
-    payload = json.loads(to_json_rows(chart).first().json)
+def test_charts_by_day(speed, vehicles):
+    payload = json.loads(to_json_rows(D.vehicle_chart(vehicles, ANCHOR, per_day=False)).first().json)
     assert payload["categories"] == ["Sun, 2017-8-27", "Mon, 2017-8-28"]
     assert payload["content"][1] == {"name": "TransOeste", "stack": "BusQuery", "data": [99, 30]}
+    assert D.speed_chart(speed, ANCHOR, per_day=False).first().categories == payload["categories"]
+    # seven days for speed, six for vehicles
+    assert D.speed_chart(speed, "2017-08-27", per_day=False).first().categories[0] == "Mon, 2017-8-21"
+    assert D.vehicle_chart(vehicles, "2017-08-27", per_day=False).first().categories[0] == "Sun, 2017-8-27"
 
 
 def test_empty_log(speed):
-    chart = D.chart_payload(D.speed_by_hour(speed, "2030-01-01"), "vel_media").first()
+    chart = D.speed_chart(speed, "2030-01-01").first()
     assert chart.categories == [] and [s["data"] for s in chart.content] == [[], [], []]

@@ -145,6 +145,17 @@ def test_dedupe_keeps_one_and_is_idempotent(spark):
     assert rows(dedupe(positions(spark, data[::-1]).repartition(3)), "codigo", "linha", "velocidade") == expected
 
 
+def test_trailing_columns_do_not_change_the_pick(spark):
+    from itertools import product
+
+    cells = product("AB", (None, "", "TransOeste"), (None, 1.0, 2.0), ("10", "20"), ("ida", "volta"))
+    df = spark.createDataFrame(
+        list(cells), "codigo string, corredor string, velocidade double, linha string, sentido string"
+    ).withColumn("datahora", F.timestamp_seconds(F.abs(F.hash("corredor", "velocidade", "linha", "sentido")) % 5))
+    keep = ["codigo", "datahora", "corredor", "velocidade"]
+    assert rows(dedupe(df), *keep) == rows(dedupe(df.select(*keep)), *keep)
+
+
 def test_dedupe_collapses_copies_before_the_shuffle(spark):
     copies = spark.range(30000).select(
         F.lit("A").alias("codigo"), F.timestamp_seconds(F.lit(1503828000)).alias("datahora"), F.lit(1.0).alias("velocidade")
