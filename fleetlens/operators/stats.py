@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -107,24 +107,44 @@ def stats_rollup(
     """Both measures at every level from line and direction up to the window.
 
     ``level`` tells how many of corridor, line and direction a row keeps.
-    Grouping sets copy their input once per level, so the rows are first
-    brought down to one per vehicle and finest group.
+
+    Counting distinct vehicles per level in the grouping sets would shuffle every
+    vehicle once per level. Instead the rows are brought down to one per vehicle
+    and finest group, and of a vehicle's rows in a window, in order, the first
+    of each level is marked. The levels then only add numbers up.
     """
     speed = F.col("velocidade")
+    summand = speed if exact_scale is None else speed.cast(f"decimal(18,{exact_scale})")
     per_vehicle = positions.groupBy(F.window("datahora", window), *LEVELS, "codigo").agg(
-        (F.sum(speed) if exact_scale is None else F.sum(speed.cast(f"decimal(18,{exact_scale})"))).alias("speed_sum"),
-        F.count(speed).alias("speed_n"),
+        F.sum(summand).alias("speed_sum"), F.count(speed).alias("speed_n")
     )
+    keys = ["window_start", *LEVELS]
     slim = per_vehicle.select(
         F.col("window.start").alias("window_start"), *LEVELS, "codigo", "speed_sum", "speed_n"
     )
-    keys = ["window_start", *LEVELS]
-    rolled = slim.groupingSets([keys[:n] for n in range(len(keys), 0, -1)], *keys).agg(
+    in_order = Window.partitionBy("window_start", "codigo").orderBy(*LEVELS)
+
+    def starts(depth: int) -> Column:
+        """True on the first of a vehicle's rows with the same first ``depth`` levels."""
+        if depth == 0:
+            return F.row_number().over(in_order) == 1
+        if depth == len(LEVELS):
+            return F.lit(True)
+        group = F.struct(*LEVELS[:depth])
+        return ~group.eqNullSafe(F.lag(group).over(in_order))
+
+    counts = {f"vehicles_{depth}": starts(depth) for depth in range(len(LEVELS) + 1)}
+    known = F.col("codigo").isNotNull()
+    marked = slim.select(
+        *keys, "speed_sum", "speed_n", *[(known & first).cast("int").alias(n) for n, first in counts.items()]
+    )
+    rolled = marked.groupingSets([keys[:n] for n in range(len(keys), 0, -1)], *keys).agg(
         (F.lit(len(LEVELS)) - F.expr("bit_count(grouping_id())")).alias("level"),
         F.try_divide(F.sum("speed_sum").cast("double"), F.sum("speed_n")).alias("vel_media"),
-        F.count_distinct("codigo").alias("qtd_carros"),
+        *[F.sum(n).alias(n) for n in counts],
     )
-    return rolled.select(*keys, "level", "vel_media", "qtd_carros")
+    count = F.element_at(F.array(*counts), F.col("level") + 1)
+    return rolled.select(*keys, "level", "vel_media", count.alias("qtd_carros"))
 
 
 def corridor_counts(positions: DataFrame) -> DataFrame:

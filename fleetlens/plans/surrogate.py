@@ -57,8 +57,9 @@ def snapshots(
         events = events.filter(f"ts < TIMESTAMP_NTZ '{until}'")
     fields = {**FEED, "datahora": "unix_micros(CAST(ts AS TIMESTAMP)) / 1000.0D"}
     vehicle = "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in fields.items()) + ")"
-    times = "CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END" if repeats else "1"
-    return events.selectExpr(f"array_repeat({vehicle}, {times}) AS veiculos")
+    times = "CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END"
+    content = f"array_repeat({vehicle}, {times})" if repeats else f"array({vehicle})"
+    return events.selectExpr(f"{content} AS veiculos")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
