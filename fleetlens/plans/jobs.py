@@ -10,7 +10,7 @@ from fleetlens.operators.stats import batch_stats
 from fleetlens.session import build_session
 from fleetlens.sources.snapshots import read_snapshots
 from fleetlens.sources.tables import preview
-from fleetlens.streaming.ingest import IngestConfig, run_ingest, wait_all
+from fleetlens.streaming.ingest import PLANNED_TRIGGERS, IngestConfig, run_ingest, wait_all
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -22,7 +22,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     ingest.add_argument("out_dir")
     ingest.add_argument("checkpoint_dir")
     ingest.add_argument("--layout", choices=("shared", "independent"), default="shared")
-    ingest.add_argument("--trigger", default="1 minute", help='"availableNow" or an interval')
+    ingest.add_argument("--trigger", default="1 minute", help='"availableNow", "planned" or an interval')
     ingest.add_argument("--max-files", type=int, default=C.MAX_FILES_PER_TRIGGER)
     ingest.add_argument("--max-bytes", type=int, help="replaces the file limit")
     ingest.add_argument("--rsd", type=float, help="relative error of vehicle counts")
@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
             args.out_dir,
             args.checkpoint_dir,
             layout=args.layout,
-            trigger=args.trigger,
+            trigger=PLANNED_TRIGGERS if args.trigger == "planned" else args.trigger,
             max_files=args.max_files,
             max_bytes=args.max_bytes,
             rsd=args.rsd,

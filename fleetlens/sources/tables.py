@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from fleetlens.schemas import PARTITION, TABLES, align, stored_schema, with_partition_day
 
@@ -82,12 +83,27 @@ def append_jdbc(df: DataFrame, url: str, properties: dict[str, str], table: str
     own.write.jdbc(url, table, mode="append", properties=properties)
 
 
+def jdbc_writer(url: str, properties: dict[str, str], table: str | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function over JDBC; a replayed batch is appended again."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        append_jdbc(df, url, properties, table)
+
+    return write
+
+
 def preview(df: DataFrame, rows: int = 200) -> None:
     """Print schema and first rows."""
     df.printSchema()
     df.show(rows, truncate=False)
 
 
+def preview_stream(df: DataFrame, rows: int = 200, mode: str = "update") -> StreamingQuery:
+    """Start printing every micro-batch of a stream."""
+    writer = df.writeStream.outputMode(mode).format("console")
+    return writer.option("numRows", rows).option("truncate", False).start()
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON object per row in column ``json``, null fields written out."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -14,7 +14,7 @@ they can be: one may be stopped, rescaled or restarted without the others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +30,8 @@ from fleetlens.session import CHANGELOG, ROCKSDB, STATE_PROVIDER, scoped_conf
 from fleetlens.sources.snapshots import stream_snapshots
 from fleetlens.sources.tables import write_batch
 
-# Trigger intervals for the three queries when not run back to back.
-TRIGGERS = {"positions": "1 minute", "speed": "1 hour", "vehicles": "1 day"}
+# Planned trigger intervals of the three independent queries.
+PLANNED_TRIGGERS = {"positions": "1 minute", "speed": "1 hour", "vehicles": "1 day"}
 
 # State on executor disks rather than in their heaps; a commit uploads its changes only.
 STATE_CONF = {STATE_PROVIDER: ROCKSDB, CHANGELOG: "true"}
@@ -57,8 +57,9 @@ class IngestConfig:
     # number spreads each batch's new positions evenly over that many tasks.
     files_per_batch: int | None = None
     # ``availableNow`` processes what has landed and stops; a text such as
-    # "1 minute" is a processing-time interval; None runs batches back to back.
-    trigger: str | None = "availableNow"
+    # "1 minute" is a processing-time interval, a mapping has one per query name;
+    # None runs batches back to back.
+    trigger: str | Mapping[str, str] | None = "availableNow"
     # Settings a query is started with where the session has none of its own.
     conf: dict[str, str] = field(default_factory=lambda: dict(STATE_CONF))
 
@@ -83,10 +84,11 @@ def begin(config: IngestConfig, df: DataFrame, name: str, mode: str, sink: Calla
     """Start a query with its own checkpoint and the configured trigger."""
     writer = df.writeStream.queryName(name).outputMode(mode)
     writer = writer.option("checkpointLocation", f"{config.checkpoint_dir}/{name}")
-    if config.trigger == "availableNow":
+    trigger = config.trigger.get(name) if isinstance(config.trigger, Mapping) else config.trigger
+    if trigger == "availableNow":
         writer = writer.trigger(availableNow=True)
-    elif config.trigger is not None:
-        writer = writer.trigger(processingTime=config.trigger)
+    elif trigger is not None:
+        writer = writer.trigger(processingTime=trigger)
     with scoped_conf(df.sparkSession, config.conf):
         return sink(writer)
 

@@ -124,3 +124,36 @@ def test_batch_stats_pair(positions):
     speed, vehicles = stats.batch_stats(positions)
     assert "vel_media" in speed.columns and "qtd_carros" in vehicles.columns
     assert speed.count() == vehicles.count()
+
+
+def test_rollup_against_plain_counting(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(5)
+    data = [
+        (
+            rng.choice(["A", "B", "C", "D", None]),
+            f"2017-08-27 {rng.choice(['10', '11'])}:{rng.randrange(60):02d}:00",
+            rng.choice(["TransOeste", "", None]),
+            rng.choice(["10", "11", None]),
+            rng.choice(["ida", "volta"]),
+            rng.choice([None, 1.0, 2.5, 40.0]),
+        )
+        for _ in range(400)
+    ]
+    df = spark.createDataFrame(
+        data, "codigo string, t string, corredor string, linha string, sentido string, velocidade double"
+    ).withColumn("datahora", F.to_timestamp("t"))
+    speeds, vehicles = defaultdict(list), defaultdict(set)
+    for codigo, t, *levels, speed in data:
+        for level in range(4):
+            key = (t[11:13], *levels[:level], *[None] * (3 - level), level)
+            speeds[key] += [] if speed is None else [speed]
+            vehicles[key] |= set() if codigo is None else {codigo}
+    want = {k: (round(sum(v) / len(v), 9) if v else None, len(vehicles[k])) for k, v in speeds.items()}
+    got = {
+        (r.h, r.corredor, r.linha, r.sentido, r.level): (r.vel_media and round(r.vel_media, 9), r.qtd_carros)
+        for r in stats.stats_rollup(df).withColumn("h", F.date_format("window_start", "HH")).collect()
+    }
+    assert got == want

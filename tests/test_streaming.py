@@ -1,6 +1,8 @@
 """Watermark, dedupe, update log, restart, layouts, replay."""
 
 import json
+import os
+import time
 from dataclasses import replace
 
 import pytest
@@ -104,8 +106,6 @@ def test_late_limit_lags_one_batch(spark, tmp_path, salt):
     def shape(raw):
         return dedupe_stream(raw, salt_buckets=salt).select("codigo")
 
-    import os
-
     for number, records in enumerate(BACK_TO_BACK):
         land(tmp_path / "in", number, records)
         os.utime(tmp_path / "in" / f"part_{number}.json", (1503828000 + number, 1503828000 + number))
@@ -272,6 +272,24 @@ def test_running_queries_and_failure(spark, tmp_path):
         ingest.run_ingest(spark, replace(job, layout="other"))
 
 
+def test_planned_triggers_per_query(spark, tmp_path):
+    fleet_files(tmp_path / "files")
+    land_file(tmp_path / "files" / "one", tmp_path / "landing")
+    job = config(tmp_path, layout="independent", trigger=ingest.PLANNED_TRIGGERS)
+    queries = ingest.run_ingest(spark, job)
+    try:
+        assert [q.name for q in queries] == ["positions", "speed", "vehicles"]
+        # The first batch runs at once; the next is an interval away.
+        deadline = time.time() + 60
+        while time.time() < deadline and not all(q.lastProgress for q in queries):
+            time.sleep(0.5)
+        assert [q.lastProgress["numInputRows"] for q in queries] == [1, 1, 1]
+        assert read_table(spark, job.out_dir, "stats_qtd").count() == 3
+    finally:
+        for query in queries:
+            query.stop()
+
+
 def test_rate_limits(spark, tmp_path):
     for number in range(5):
         write_snapshot(tmp_path / "in", f"2017082710000{number}", [vehicle("A", "10", "10 - x", when=f"2017-08-27 10:00:0{number}")])

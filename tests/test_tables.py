@@ -105,3 +105,25 @@ def test_scoped_conf_leaves_user_settings(spark):
         assert spark.conf.get(key) == "x"
         assert spark.conf.get(other) == "4"
     assert spark.conf.get(key, None) is None
+
+
+def test_jdbc_gets_the_tables_own_columns(gps, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    calls = []
+
+    def jdbc(self, url, table, mode=None, properties=None):
+        calls.append((url, table, mode, properties, self._df.columns))
+
+    monkeypatch.setattr(DataFrameWriter, "jdbc", jdbc)
+    T.jdbc_writer("jdbc:x", {"user": "u"})(gps, 3)
+    assert calls == [("jdbc:x", "gpsdata", "append", {"user": "u"}, TABLES["gpsdata"].fieldNames())]
+
+
+def test_preview_of_a_stream(spark, gps, tmp_path):
+    gps.write.parquet(str(tmp_path / "in"))
+    query = T.preview_stream(spark.readStream.schema(gps.schema).parquet(str(tmp_path / "in")), mode="append")
+    query.processAllAvailable()
+    query.stop()
+    assert query.exception() is None
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 2
