@@ -21,7 +21,7 @@ from fleetlens.sources import stations as places
 from fleetlens.sources import tables
 from fleetlens.streaming import ingest
 from fleetlens.streaming.extrema import running_extrema
-from fleetlens.streaming.replay import replay
+from fleetlens.streaming.replay import replay, time_cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,8 @@ VIEW = Viewport(north=-22.75, south=-23.0, east=-43.2, west=-43.7, zoom=12)
 WRAPPED_VIEW = Viewport(north=-22.8, south=-23.1, east=-43.6, west=-43.3, zoom=3)
 # Times the replayed history is cut at, within an hour so that windows span two runs.
 CUTS = ("2024-01-11 12:30:00", "2024-01-21 06:40:00")
+# Rows of one replayed slice, each of which is one micro-batch.
+SLICE_ROWS = 500_000_000
 
 # Relative error of the checked sketches (the default).
 RSD = 0.05
@@ -379,9 +381,15 @@ def stats_tables(spark, sf_dir):
 # Streams
 
 
-def slices(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The whole history, cut by time."""
-    edges = [None, *CUTS, None]
+def slices(spark: SparkSession, sf_dir: str, fixed: bool = False) -> list[DataFrame]:
+    """The whole history cut by time: where an hour is split, and so that no slice grows too large.
+
+    Only the fixed cuts are made for queries whose result depends on them.
+    """
+    cuts = set(CUTS)
+    if not fixed:
+        cuts |= set(time_cuts(S.table(spark, sf_dir, "events"), "ts", SLICE_ROWS))
+    edges = [None, *sorted(cuts), None]
     return [S.snapshots(spark, sf_dir, lo, hi, repeats=True) for lo, hi in zip(edges, edges[1:])]
 
 
@@ -417,7 +425,8 @@ def stream_speed_1h(spark, sf_dir):
 def stream_speed_log(spark, sf_dir):
     """Independent speed query: the whole update log, interim means included."""
     config = stream_config(spark)
-    replay(slices(spark, sf_dir), config.files_dir, lambda: ingest.finish(ingest.start_speed(spark, config)))
+    parts = slices(spark, sf_dir, fixed=True)
+    replay(parts, config.files_dir, lambda: ingest.finish(ingest.start_speed(spark, config)))
     return tables.read_table(spark, config.out_dir, "stats_vel").drop("atualizacao")
 
 
@@ -437,7 +446,7 @@ def stream_vehicles_1h(spark, sf_dir):
 def stream_late_drop(spark, sf_dir):
     """The middle slice lands last: all of it is older than the watermark by then."""
     config = stream_config(spark)
-    first, middle, last = slices(spark, sf_dir)
+    first, middle, last = slices(spark, sf_dir, fixed=True)
     replay(
         [first, last, middle], config.files_dir, lambda: ingest.finish(ingest.start_positions(spark, config))
     )

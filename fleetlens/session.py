@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -48,12 +49,30 @@ def scoped_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[No
             spark.conf.unset(key)
 
 
+@cache
+def local_base() -> str:
+    return tempfile.mkdtemp(prefix="fleetlens-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under the cluster's shared ``spark.checkpoint.dir``."""
+    """A new path under the cluster's shared ``spark.checkpoint.dir``.
+
+    Only a local session may leave that setting out.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = local_base()
     return f"{base.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
+
+
+def state_partitions(spark: SparkSession) -> dict[str, str]:
+    """Partitions of streaming state: one per core of the cluster.
+
+    A checkpoint keeps its number for good, so it is left to the session where
+    executors come and go.
+    """
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return {}
+    return {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}

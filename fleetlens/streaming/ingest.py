@@ -26,7 +26,7 @@ from fleetlens.functions.vehicle import mean
 from fleetlens.operators.positions import clean_snapshots, dedupe_stream
 from fleetlens.operators.stats import BY_CORRIDOR, grouped, labelled, vehicle_count
 from fleetlens.schemas import PARTITION, stored_schema, with_partition_day
-from fleetlens.session import CHANGELOG, ROCKSDB, STATE_PROVIDER, scoped_conf
+from fleetlens.session import CHANGELOG, ROCKSDB, STATE_PROVIDER, scoped_conf, state_partitions
 from fleetlens.sources.snapshots import stream_snapshots
 from fleetlens.sources.tables import write_batch
 
@@ -89,7 +89,7 @@ def begin(config: IngestConfig, df: DataFrame, name: str, mode: str, sink: Calla
         writer = writer.trigger(availableNow=True)
     elif trigger is not None:
         writer = writer.trigger(processingTime=trigger)
-    with scoped_conf(df.sparkSession, config.conf):
+    with scoped_conf(df.sparkSession, {**state_partitions(df.sparkSession), **config.conf}):
         return sink(writer)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def replay(slices: Iterable[DataFrame], landing: str, run: Callable[[], None]) -> None:
@@ -17,3 +18,19 @@ def replay(slices: Iterable[DataFrame], landing: str, run: Callable[[], None]) -
     for snapshots in slices:
         snapshots.write.mode("append").json(landing)
         run()
+
+
+def time_cuts(history: DataFrame, time: str, rows_per_slice: int) -> list[str]:
+    """Times that cut a history into slices of about ``rows_per_slice`` rows.
+
+    A slice is one micro-batch, as rows of one that was split further could be
+    late for the batch before. Rows of the same instant stay together.
+    """
+    slices = -(-history.count() // rows_per_slice)
+    if slices < 2:
+        return []
+    shares = [i / slices for i in range(1, slices)]
+    picked = history.agg(F.percentile_approx(time, shares).alias("cuts")).select(
+        F.transform(F.array_distinct("cuts"), lambda t: t.cast("string")).alias("cuts")
+    )
+    return picked.first().cuts

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.dashboards import last_update
 from fleetlens.operators.positions import clean_snapshots, dedupe, dedupe_stream
-from fleetlens.operators.stats import window_speed, window_vehicles
+from fleetlens.operators.stats import combined_stats, window_speed, window_vehicles
 from fleetlens.sources.snapshots import read_snapshots, stream_snapshots
 from fleetlens.sources.tables import read_table
 from fleetlens.streaming import ingest
 from fleetlens.streaming.extrema import running_extrema
+from fleetlens.streaming.replay import time_cuts
 
 # (codigo, time, value) per landed file.
 FIVE_RUNS = [
@@ -323,3 +324,41 @@ def test_running_extrema(spark, tmp_path):
     assert seen == [(25.0, 10.0), (40.0, 10.0), (60.0, 10.0)]
     batch = spark.read.schema(SCHEMA).json(str(tmp_path / "in"))
     assert running_extrema(batch, "v", start_min=-1.0).first()[:] == (60.0, -1.0)
+
+
+def test_time_cuts_make_even_slices(spark):
+    history = spark.range(1000).select(F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"))
+    assert time_cuts(history, "ts", 1000) == []
+    cuts = time_cuts(history, "ts", 300)
+    edges = ["0001-01-01", *cuts, "9999-01-01"]
+    sizes = [
+        history.filter(f"ts >= TIMESTAMP_NTZ '{lo}' AND ts < TIMESTAMP_NTZ '{hi}'").count()
+        for lo, hi in zip(edges, edges[1:])
+    ]
+    assert len(sizes) == 4 and sum(sizes) == 1000 and max(sizes) <= 300
+    same = spark.range(900).select(F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+    assert len(time_cuts(same, "ts", 100)) == 1
+
+
+def test_combined_stats_of_a_stream(spark, tmp_path):
+    fleet_files(tmp_path / "files")
+    for name in ("one", "two"):
+        land_file(tmp_path / "files" / name, tmp_path / "landing")
+    stream = dedupe_stream(clean_snapshots(stream_snapshots(spark, str(tmp_path / "landing"))), salt_buckets=2)
+    seen = []
+    query = (
+        combined_stats(stream, approx=True)
+        .drop("datahora", "window_end")
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", str(tmp_path / "ck"))
+        .foreachBatch(lambda df, _: seen.extend(rows(df, "corredor", "linha", "vel_media", "qtd_carros")))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert sorted(seen) == [
+        ("", "99", 7.0, 1),
+        ("TransCarioca", "33", 0.0, 1),
+        ("TransOeste", "10", 10.0, 1),
+        ("TransOeste", "20", 5.0, 1),
+    ]

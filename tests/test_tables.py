@@ -99,6 +99,21 @@ def test_scratch_follows_the_session(spark):
     assert one.startswith(base) and one != two
 
 
+def test_scratch_without_the_setting(spark, monkeypatch):
+    class Bare:
+        def __init__(self, master):
+            self.conf = self
+            self.sparkContext = type("Context", (), {"master": master})
+
+        def get(self, key, default=None):
+            return default
+
+    local = scratch_dir(Bare("local[2]"), "x")
+    assert "/fleetlens/x-" in local
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Bare("yarn"), "x")
+
+
 def test_scoped_conf_leaves_user_settings(spark):
     key, other = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
     with scoped_conf(spark, {key: "x", other: "77"}):
