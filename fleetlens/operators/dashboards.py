@@ -44,8 +44,9 @@ def chart_rows(
 
 
 def last_update(stats: DataFrame, measure: str) -> DataFrame:
-    """Each window's value as of its last update."""
-    return stats.groupBy(DAY, HOUR, "corredor").agg(F.max_by(measure, "atualizacao").alias(measure))
+    """Each window's value as of its last update; of equally late ones the larger."""
+    last = F.max(F.struct("atualizacao", measure)).getField(measure)
+    return stats.groupBy(DAY, HOUR, "corredor").agg(last.alias(measure))
 
 
 def peaks(rows: DataFrame, measure: str, axis: str) -> DataFrame:

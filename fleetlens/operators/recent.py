@@ -46,7 +46,9 @@ def recent_positions(
     since = as_moment(anchor) - timedelta(minutes=minutes)
     rows = gps.filter(F.col("datahora") > moment_literal(since, gps.schema["datahora"].dataType))
     if "data" in gps.columns:
-        rows = rows.filter(F.col("data") >= F.lit(since.date()))
+        # An anchor with a zone of its own may fall on the day before in the table's.
+        first = since.date() - timedelta(days=0 if since.tzinfo is None else 1)
+        rows = rows.filter(F.col("data") >= F.lit(first))
     return for_corridor(rows, corridor).select("latitude", "longitude", "trajeto", "velocidade", "corredor")
 
 

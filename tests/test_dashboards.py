@@ -52,6 +52,15 @@ def test_by_hour_final_takes_the_last_update(speed):
         D.speed_by_hour(speed, ANCHOR, reduce="mean")
 
 
+def test_final_of_rows_without_update_time(speed):
+    got = D.speed_by_day(speed, ANCHOR, days=8, reduce="final")
+    assert {(r.data.day, r.vel_media) for r in got.filter("corredor = 'TransOeste'").collect()} == {
+        (21, 88.0),
+        (27, 99.0),
+        (28, 25.0),
+    }
+
+
 def test_hour_view_mixes_days_unless_bounded(speed):
     assert ("10:00", "TransOeste", 99.0) in rows(D.speed_by_hour(speed, "2017-08-27"), "hora", "corredor", "vel_media")
     bounded = D.speed_by_hour(speed, "2017-08-27", until=date(2017, 8, 27))

@@ -56,6 +56,31 @@ def test_the_bound_reaches_a_stored_table(spark, gps, tmp_path):
     assert titles(got) == ["99 - q"]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kolkata"])
+def test_recent_rows_in_any_zone(spark, tmp_path, zone):
+    from datetime import timezone
+
+    from fleetlens.sources.tables import append, read_table
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        pings = spark.range(0, 48).select(
+            F.col("id").cast("string").alias("trajeto"),
+            F.timestamp_seconds(F.lit(1503792000) + F.col("id") * 3600).alias("datahora"),
+        )
+        append(pings, str(tmp_path / "t"))
+        gps = read_table(spark, str(tmp_path / "t"), "gpsdata")
+        # 2017-08-27 12:00 UTC is the 12th ping, whatever the session's zone
+        got = R.recent_positions(gps, datetime(2017, 8, 27, 12, 30, tzinfo=timezone.utc), minutes=60)
+        assert sorted(int(t) for t in titles(got)) == list(range(12, 48))
+        local = R.recent_positions(gps, "2017-08-28", minutes=60)
+        bound = gps.filter(F.col("datahora") > F.lit("2017-08-27 23:00:00").cast("timestamp"))
+        assert titles(local) == titles(bound)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_markers_and_their_json(gps):
     got = R.markers(R.recent_positions(gps, "2017-08-28", minutes=10))
     icons = {r.title: r.icon for r in got.collect()}
