@@ -31,12 +31,13 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     batch = jobs.add_parser("batch", help="statistics of saved snapshots, printed")
     batch.add_argument("files", nargs="+")
     batch.add_argument("--window", default=C.BATCH_WINDOW)
+    batch.add_argument("--expected-bytes", type=int, help="size of the largest shuffle, to start it with enough partitions")
     return parser.parse_args(argv)
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parse(argv)
-    spark = build_session(f"fleetlens-{args.job}")
+    spark = build_session(f"fleetlens-{args.job}", expected_bytes=getattr(args, "expected_bytes", None))
     if args.job == "batch":
         positions = clean_snapshots(read_snapshots(spark, args.files))
         for stats in batch_stats(positions, args.window):

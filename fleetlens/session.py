@@ -23,12 +23,33 @@ BASE_CONF = {
 }
 
 
-def build_session(app: str = "fleetlens", master: str | None = None, **conf: str) -> SparkSession:
+# What one shuffle partition should hold, and the most partitions a shuffle gets.
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+
+
+def shuffle_conf(expected_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
+    """Settings for shuffles of up to ``expected_bytes``.
+
+    AQE joins small partitions but never makes more than a shuffle starts with, so
+    a job over terabytes must start with enough of them to fit in memory.
+    """
+    partitions = min(max(-(-expected_bytes // partition_bytes), 1), MAX_PARTITIONS)
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
+
+
+def build_session(
+    app: str = "fleetlens", master: str | None = None, expected_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """Session with the settings the jobs expect; ``conf`` names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**BASE_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    sizes = shuffle_conf(expected_bytes) if expected_bytes else {}
+    for key, value in {**BASE_CONF, **sizes, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

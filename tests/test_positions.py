@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.vehicle import corridor_of_line, event_time, line_of_route, mean, parse_float
-from fleetlens.operators.positions import clean_snapshots, dedupe
+from fleetlens.operators.positions import clean, clean_snapshots, dedupe
 from fleetlens.schemas import GPSDATA, SNAPSHOT
 from fleetlens.sources.snapshots import read_snapshots, with_snapshot_time
 
@@ -167,3 +167,36 @@ def test_dedupe_collapses_copies_before_the_shuffle(spark):
 
 def test_millisecond_helper():
     assert ms("1970-01-01 00:00:01", 5) == 1005
+
+
+def test_cleaning_against_plain_rules(spark):
+    import random
+    import re
+
+    rng = random.Random(11)
+
+    def text(alphabet, longest):
+        if rng.random() < 0.05:
+            return None
+        return "".join(rng.choice(alphabet) for _ in range(rng.randrange(longest + 1)))
+
+    data = [(i, text("5A12 ç", 7), text("1235A -", 8)) for i in range(4000)]
+
+    def expected(code, route):
+        if code is None or route is None:
+            return None
+        if not (re.fullmatch("5.{5}", code) or re.fullmatch("..A", code) or re.fullmatch("..", code)):
+            return None
+        line = route.split("-")[0].strip(" ")
+        if len(line) not in (2, 3):
+            return None
+        corridor = {"1": "TransOeste", "2": "TransOeste", "3": "TransCarioca", "5": "TransOlímpica"}.get(line[0], "")
+        return line, corridor
+
+    records = spark.createDataFrame(data, "n int, codlinha string, trajeto string").selectExpr(
+        "CAST(n AS STRING) AS codigo", "codlinha", "trajeto", "TIMESTAMP '2017-08-27 10:00:00' AS datahora",
+        "0D AS latitude", "0D AS longitude", "0D AS velocidade", "'' AS sentido",
+    )
+    got = {int(r.codigo): (r.linha, r.corredor) for r in clean(records).collect()}
+    want = {n: e for n, code, route in data if (e := expected(code, route)) is not None}
+    assert got == want and len(want) > 100

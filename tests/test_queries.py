@@ -70,7 +70,7 @@ def test_batch_job_prints(spark, tmp_path, capfd, monkeypatch):
     from helpers import vehicle, write_snapshot
 
     path = write_snapshot(tmp_path, "20170817182501", [vehicle("A", "50", "50 - x", 40.0)])
-    monkeypatch.setattr(jobs, "build_session", lambda app: spark)
+    monkeypatch.setattr(jobs, "build_session", lambda app, **_: spark)
     jobs.main(["batch", str(path)])
     printed = capfd.readouterr().out
     assert "vel_media" in printed and "qtd_carros" in printed and "TransOlímpica" in printed
@@ -82,7 +82,7 @@ def test_ingest_job(spark, tmp_path, monkeypatch):
     from fleetlens.sources.tables import read_table
 
     write_snapshot(tmp_path / "in", "20170817182501", [vehicle("A", "50", "50 - x", 40.0)])
-    monkeypatch.setattr(jobs, "build_session", lambda app: spark)
+    monkeypatch.setattr(jobs, "build_session", lambda app, **_: spark)
     folders = [str(tmp_path / n) for n in ("in", "out", "ck")]
     jobs.main(["ingest", *folders, "--trigger", "availableNow", "--tz", "America/Sao_Paulo"])
     assert read_table(spark, folders[1], "stats_vel").first().hora == "07:00"

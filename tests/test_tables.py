@@ -7,7 +7,7 @@ from helpers import plan_of, rows
 from pyspark.sql import functions as F
 
 from fleetlens.schemas import STATS_VEL, TABLES, append_to_catalog, create_tables, stored_schema
-from fleetlens.session import scoped_conf, scratch_dir
+from fleetlens.session import scoped_conf, scratch_dir, shuffle_conf
 from fleetlens.sources import tables as T
 
 
@@ -142,3 +142,11 @@ def test_preview_of_a_stream(spark, gps, tmp_path):
     query.stop()
     assert query.exception() is None
     assert sum(p["numInputRows"] for p in query.recentProgress) == 2
+
+
+@pytest.mark.parametrize(
+    "size, partitions", [(0, 1), (1, 1), (256 * 2**20, 1), (10 * 2**40, 40960), (100 * 2**40, 100000)]
+)
+def test_shuffles_start_with_enough_partitions(size, partitions):
+    conf = shuffle_conf(size)
+    assert conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == str(partitions)
