@@ -394,9 +394,15 @@ def slices(spark: SparkSession, sf_dir: str, fixed: bool = False) -> list[DataFr
 
 
 def stream_config(spark: SparkSession) -> ingest.IngestConfig:
+    """New folders and query names; a landed slice is one micro-batch."""
     root = scratch_dir(spark, "stream")
     return ingest.IngestConfig(
-        f"{root}/landing", f"{root}/tables", f"{root}/checkpoints", exact_scale=S.SCALE, max_files=None
+        f"{root}/landing",
+        f"{root}/tables",
+        f"{root}/checkpoints",
+        name_prefix=f"{root.rsplit('-', 1)[-1]}-",
+        exact_scale=S.SCALE,
+        max_files=None,
     )
 
 

@@ -45,6 +45,8 @@ class IngestConfig:
     out_dir: str
     checkpoint_dir: str
     layout: str = "shared"
+    # Put before query names, as a session runs one query of a name at a time.
+    name_prefix: str = ""
     window: str = C.STREAM_WINDOW
     delay: str = C.WATERMARK_DELAY
     rsd: float | None = None
@@ -82,7 +84,7 @@ def measure(config: IngestConfig, name: str):
 
 def begin(config: IngestConfig, df: DataFrame, name: str, mode: str, sink: Callable) -> StreamingQuery:
     """Start a query with its own checkpoint and the configured trigger."""
-    writer = df.writeStream.queryName(name).outputMode(mode)
+    writer = df.writeStream.queryName(config.name_prefix + name).outputMode(mode)
     writer = writer.option("checkpointLocation", f"{config.checkpoint_dir}/{name}")
     trigger = config.trigger.get(name) if isinstance(config.trigger, Mapping) else config.trigger
     if trigger == "availableNow":
