@@ -72,9 +72,9 @@ def window_vehicles(
     return labelled(groups, "qtd_carros", by, positive_only, tz)
 
 
-def batch_stats(snapshots_positions: DataFrame, window: str = C.BATCH_WINDOW) -> tuple[DataFrame, DataFrame]:
+def batch_stats(positions: DataFrame, window: str = C.BATCH_WINDOW) -> tuple[DataFrame, DataFrame]:
     """Mean speed and exact vehicle count of one bounded set of positions."""
-    return window_speed(snapshots_positions, window), window_vehicles(snapshots_positions, window)
+    return window_speed(positions, window), window_vehicles(positions, window)
 
 
 def combined_stats(

@@ -31,7 +31,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     batch = jobs.add_parser("batch", help="statistics of saved snapshots, printed")
     batch.add_argument("files", nargs="+")
     batch.add_argument("--window", default=C.BATCH_WINDOW)
-    batch.add_argument("--expected-bytes", type=int, help="size of the largest shuffle, to start it with enough partitions")
+    batch.add_argument("--expected-bytes", type=int, help="size of the largest shuffle, for its partitions")
     return parser.parse_args(argv)
 
 

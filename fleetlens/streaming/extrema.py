@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def added_points(additions: DataFrame, column: str = "points") -> DataFrame:
+    """Points that come several at a time, in an array of structs, as rows."""
+    return additions.select(F.inline(column))
+
+
 def running_extrema(
     points: DataFrame, value: str = "count", start_max: float | None = None, start_min: float | None = None
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from fleetlens.operators.stats import combined_stats, window_speed, window_vehic
 from fleetlens.sources.snapshots import read_snapshots, stream_snapshots
 from fleetlens.sources.tables import read_table
 from fleetlens.streaming import ingest
-from fleetlens.streaming.extrema import running_extrema
+from fleetlens.streaming.extrema import added_points, running_extrema
 from fleetlens.streaming.replay import time_cuts
 
 # (codigo, time, value) per landed file.
@@ -324,6 +324,8 @@ def test_running_extrema(spark, tmp_path):
     assert seen == [(25.0, 10.0), (40.0, 10.0), (60.0, 10.0)]
     batch = spark.read.schema(SCHEMA).json(str(tmp_path / "in"))
     assert running_extrema(batch, "v", start_min=-1.0).first()[:] == (60.0, -1.0)
+    several = batch.groupBy("codigo").agg(F.collect_list(F.struct("v")).alias("points"))
+    assert running_extrema(added_points(several), "v").first()[:] == (60.0, 10.0)
 
 
 def test_time_cuts_make_even_slices(spark):
