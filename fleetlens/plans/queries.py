@@ -73,7 +73,7 @@ def snapshot_scan(spark, sf_dir):
     docs = S.snapshots(spark, sf_dir, repeats=True)
     day = F.date_trunc("day", F.timestamp_millis(F.col("veiculos")[0].datahora.cast("long")))
     landed = docs.withColumn("landed", F.date_format(day, "yyyyMMddHHmmss"))
-    landed.hint("rebalance", F.col("landed")).write.partitionBy("landed").json(landing)
+    tables.spread(landed, "landed").write.partitionBy("landed").json(landing)
     read = snap.with_snapshot_time(snap.read_snapshots(spark, landing), r"landed=(\d{14})")
     per_doc = read.select("snapshot_ts", F.explode("veiculos").alias("v"))
     return plain_times(

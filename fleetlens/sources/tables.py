@@ -15,6 +15,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from fleetlens.schemas import PARTITION, TABLES, align, stored_schema, with_partition_day
 
+# Parts a folder's rows are spread over before AQE joins small ones.
+FOLDER_PARTS = 32
+
 
 def route(df: DataFrame) -> str:
     """Table a result belongs to, told by its columns."""
@@ -35,20 +38,27 @@ def read_table(spark: SparkSession, root: str, table: str, columns: tuple[str, .
     return df.select(*schema.fieldNames(), *columns)
 
 
+def spread(rows: DataFrame, column: str) -> DataFrame:
+    """Rows spread by a folder column and their source task, for a partitioned write.
+
+    AQE's rebalance cuts what is too large for one task and joins what is small.
+    The source task is part of it as sizes are compressed ones: copies of one
+    row weigh next to nothing, however many a folder gets. Without AQE (as in a
+    stateful micro-batch) nothing would cut a large folder, so rows are left where
+    they are.
+    """
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        return rows
+    part = F.pmod(F.spark_partition_id(), F.lit(FOLDER_PARTS)).alias("part")
+    return rows.select("*", part).hint("rebalance", column, "part").drop("part")
+
+
 def write_batch(
     df: DataFrame, root: str, table: str | None = None, run_id: str | None = None, batch_id: int = 0
 ) -> str:
-    """Write one batch of rows, replacing what the same batch wrote before.
-
-    The rows are spread by day with AQE's rebalance, which cuts a day that is
-    too large for one task and joins days that are small. Without AQE (as in a
-    stateful micro-batch) a spread by day would put a whole day in one task,
-    so rows are written from where they are.
-    """
+    """Write one batch of rows, replacing what the same batch wrote before."""
     table = table or route(df)
-    rows = align(with_partition_day(df), stored_schema(table))
-    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        rows = rows.hint("rebalance", F.col(PARTITION.name))
+    rows = spread(align(with_partition_day(df), stored_schema(table)), PARTITION.name)
     run = run_id or uuid.uuid4().hex
     path = f"{root}/{table}/run_id={run}/batch_id={batch_id}"
     rows.write.mode("overwrite").partitionBy(PARTITION.name).parquet(path)

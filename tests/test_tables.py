@@ -56,11 +56,26 @@ def test_day_filter_prunes_folders(spark, gps, tmp_path):
     assert [r.codigo for r in got.collect()] == ["B"]
 
 
-def test_write_spreads_days_with_aqe_only(spark, gps, tmp_path):
-    rows_ = gps.withColumn("data", F.to_date("datahora")).hint("rebalance", F.col("data"))
-    assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(rows_)
+def test_a_large_day_is_cut_with_aqe(spark, tmp_path):
+    copies = spark.range(0, 40000, 1, 8).select(
+        F.lit("A").alias("codigo"), F.timestamp_seconds(F.lit(1503828000)).alias("datahora")
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "1000")
+    try:
+        T.write_batch(copies, str(tmp_path / "cut"), run_id="r")
+    finally:
+        spark.conf.unset(key)
+    T.write_batch(copies, str(tmp_path / "joined"), run_id="r")
+    files = {name: len(list((tmp_path / name).rglob("*.parquet"))) for name in ("cut", "joined")}
+    assert files["cut"] > 1 and files["joined"] == 1
+    assert T.read_table(spark, str(tmp_path / "cut"), "gpsdata").count() == 40000
+
+
+def test_rows_stay_in_place_without_aqe(spark, gps, tmp_path):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
+        assert "Exchange" not in plan_of(T.spread(gps.withColumn("data", F.to_date("datahora")), "data"))
         T.append(gps, str(tmp_path))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
