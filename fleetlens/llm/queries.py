@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import quality_rules, simhash, warc
+from fleetlens.llm import crf, licenses, mixing, packing, quality_rules, secret_scan, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,3 +38,42 @@ def op3_simhash(spark, sf_dir):
     """Fingerprint and class of near-duplicates of each document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@register
+def op4_mixing(spark, sf_dir):
+    """Words of each document that the mix of all sources takes."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_licenses(spark, sf_dir):
+    """Licences that each document states, by rules over its sentences."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_topk(spark, sf_dir):
+    """The five best candidates of every fiftieth vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register
+def op7_secrets(spark, sf_dir):
+    """Secrets of each document by patterns and entropy."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_packing(spark, sf_dir):
+    """All documents as pieces in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_quality_crf(spark, sf_dir):
+    """Score of each document by a line classifier learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = crf.train(docs, table(spark, sf_dir, "labels").where(~crf.held_out()))
+    found = crf.scores(docs, model)
+    return found.select("doc_id", crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
