@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from fleetlens.session import scratch_dir
+from fleetlens.session import scoped_conf, scratch_dir
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -18,7 +20,9 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     being computed once per use.
     """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    # What the write shuffled is not needed once it is written.
+    with scoped_conf(df.sparkSession, {CLEANUP: "true"}):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

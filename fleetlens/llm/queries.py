@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import crf, licenses, mixing, packing, quality_rules, secret_scan, simhash, topk, warc
+from fleetlens.llm import crf, licenses, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,3 +77,9 @@ def op10_quality_crf(spark, sf_dir):
     model = crf.train(docs, table(spark, sf_dir, "labels").where(~crf.held_out()))
     found = crf.scores(docs, model)
     return found.select("doc_id", crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op9_suffix_dedup(spark, sf_dir):
+    """Bytes of each document that repeat from a document with a smaller id."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
