@@ -118,6 +118,12 @@ class Block:
         places = np.repeat(self.starts - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(len(self.text))
         codes[places] = np.frombuffer(self.text, np.uint8)
         self.codes = codes
+        # Where windows start: they end within the same document.
+        long = self.sizes >= LENGTH
+        edge = np.zeros(total + 1, np.int8)
+        edge[self.starts[long]] = 1
+        edge[(self.starts + self.sizes)[long] - LENGTH + 1] = -1
+        self.fits = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         """Number within the block of the document at each place."""
@@ -141,10 +147,7 @@ class Segment:
         for size in (1, 2, 4, 8):
             names = joined(names, size)
         self.names = names  # of 16 bytes
-        inside = np.arange(start, end)
-        number = block.doc_of(inside)
-        fits = (number >= 0) & (inside + LENGTH <= (block.starts + block.sizes)[number])
-        windows = inside[fits] if len(block.sizes) else inside[:0]
+        windows = np.flatnonzero(block.fits[start:end]) + start
         # The smallest name of a window and, in the low bits, its place in the segment.
         ranked = (names >> PLACE_BITS) << PLACE_BITS
         ranked |= np.arange(len(ranked), dtype=np.uint64)
@@ -159,13 +162,13 @@ class Segment:
         self.name = names[self.anchor - low]
         self.doc = block.doc_of(self.anchor)
 
-    def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names of 84 bytes around each anchor, and of 33 up to and from it."""
-        at = self.anchor - self.low
-        n32 = joined(self.names, 16)
-        n33 = joined(n32, 1)
-        n50 = joined(n32, 18)
-        return pair(n50[at - REACH], n50[at]), n33[at - (HALF - ANCHOR)], n33[at]
+    def longer(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of 84 bytes around some anchors, and of 33 up to and from them."""
+        at = self.anchor[own] - self.low
+        n32 = lambda i: pair(self.names[i], self.names[i + 16])
+        n33 = lambda i: pair(n32(i), n32(i + 1))
+        n50 = lambda i: pair(n32(i), n32(i + 18))
+        return pair(n50(at - REACH), n50(at)), n33(at - (HALF - ANCHOR)), n33(at)
 
     def windows(self, starts: np.ndarray) -> np.ndarray:
         """Names of the 50 bytes from each start."""
@@ -265,12 +268,14 @@ class Reader:
 
     def __init__(self, number: int, block: Block, replies: dict[int, dict[int, bytes]], parts: int):
         self.number, self.block, self.replies, self.parts = number, block, replies, parts
+        self.segments = list(block.segments())
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct names of anchors, sorted, and whether two documents have them."""
-        found = [(s.name, s.doc) for s in self.block.segments()]
-        names, docs = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
-        order = np.lexsort((docs, names))
+        names = np.concatenate([s.name for s in self.segments])
+        docs = np.concatenate([s.doc for s in self.segments])
+        # Anchors come in the order of documents, which a stable sort keeps.
+        order = np.argsort(names, kind="stable")
         names, docs = names[order], docs[order]
         first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else order
         last = np.r_[first[1:], len(names)] - 1 if len(names) else order
@@ -292,25 +297,24 @@ class Reader:
             }
         )
 
-    def shared(self) -> Iterator[tuple[Segment, np.ndarray]]:
-        """Segments and which of their anchors are in several documents."""
+    def shared(self) -> None:
+        """Keep, per segment, the anchors that are in several documents, and their contexts."""
         names, _ = self.anchors()
         (keep,) = unpacked(names, self.parts, self.replies.get(0, {}), 1)
-        names = names[keep]
-        for segment in self.block.segments():
-            yield segment, np.flatnonzero(np.isin(segment.name, names, kind="sort")) if len(names) else np.zeros(0, np.int64)
+        self.own, self.entries_of = [], []
+        for segment in self.segments:
+            own = np.flatnonzero(keep[np.searchsorted(names, segment.name)]) if len(names) else np.zeros(0, np.int64)
+            row = np.zeros(len(own), ENTRY)
+            row["context"], row["left"], row["right"] = segment.longer(own)
+            row["doc"] = self.block.ids[segment.doc[own]]
+            self.own.append(own)
+            self.entries_of.append(row)
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct contexts of the shared anchors with their first document, and anchor names."""
-        rows, keys = [], []
-        for segment, own in self.shared():
-            context, left, right = segment.longer()
-            row = np.zeros(len(own), ENTRY)
-            row["context"], row["left"], row["right"] = context[own], left[own], right[own]
-            row["doc"] = self.block.ids[segment.doc[own]]
-            rows.append(row)
-            keys.append(segment.name[own])
-        rows, keys = (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, ENTRY), np.zeros(0, np.uint64))
+        self.shared()
+        rows = np.concatenate(self.entries_of)
+        keys = np.concatenate([s.name[own] for s, own in zip(self.segments, self.own)])
         order = np.lexsort((rows["doc"], rows["context"]))
         rows, keys = rows[order], keys[order]
         first = np.r_[True, rows["context"][1:] != rows["context"][:-1]][: len(rows)]
@@ -320,14 +324,22 @@ class Reader:
         rows, keys = self.entries()
         return packed(self.number, keys, rows, self.parts)
 
-    def judged(self) -> Iterator[tuple[Segment, np.ndarray, np.ndarray]]:
-        """Segments, their settled anchors, and those whose windows must be compared."""
+    def judge(self) -> None:
+        """Keep, per segment, the settled anchors and the windows that must be compared."""
         rows, keys = self.entries()
         smaller, open_ = unpacked(keys, self.parts, self.replies.get(1, {}), 2)
-        for segment, own in self.shared():
-            at = np.searchsorted(rows["context"], segment.longer()[0][own])
-            settled = smaller[at] | (rows["doc"][at] < self.block.ids[segment.doc[own]])
-            yield segment, own[settled], own[~settled & open_[at]]
+        contexts, first = np.ascontiguousarray(rows["context"]), np.ascontiguousarray(rows["doc"])
+        self.settled, self.starts, self.windows_of = [], [], []
+        for segment, own, entry in zip(self.segments, self.own, self.entries_of):
+            at = np.searchsorted(contexts, entry["context"])
+            settled = smaller[at] | (first[at] < entry["doc"]) if len(own) else np.zeros(0, bool)
+            edges = own[~settled & open_[at]] if len(own) else own
+            starts, docs = self.spread(segment, edges)
+            row = np.zeros(len(starts), WINDOW)
+            row["name"], row["doc"] = segment.windows(starts), docs
+            self.settled.append(own[settled])
+            self.starts.append(starts)
+            self.windows_of.append(row)
 
     def spread(self, segment: Segment, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows of some anchors, and their documents' ids."""
@@ -338,13 +350,8 @@ class Reader:
 
     def compared(self) -> np.ndarray:
         """Distinct windows to compare, with their first document in the block."""
-        rows = []
-        for segment, _, edges in self.judged():
-            starts, docs = self.spread(segment, edges)
-            row = np.zeros(len(starts), WINDOW)
-            row["name"], row["doc"] = segment.windows(starts), docs
-            rows.append(row)
-        rows = np.concatenate(rows) if rows else np.zeros(0, WINDOW)
+        self.judge()
+        rows = np.concatenate(self.windows_of)
         rows = rows[np.lexsort((rows["doc"], rows["name"]))]
         return rows[np.r_[True, rows["name"][1:] != rows["name"][:-1]][: len(rows)]]
 
@@ -358,12 +365,12 @@ class Reader:
         rows = self.compared()
         (smaller,) = unpacked(rows["name"], self.parts, self.replies.get(2, {}), 1)
         edge = np.zeros(len(block.codes) + 1, np.int32)
-        for segment, settled, edges in self.judged():
+        names, first = np.ascontiguousarray(rows["name"]), np.ascontiguousarray(rows["doc"])
+        for segment, settled, starts, own in zip(self.segments, self.settled, self.starts, self.windows_of):
             np.add.at(edge, segment.first[settled], 1)
             np.add.at(edge, segment.last[settled] + LENGTH, -1)
-            starts, docs = self.spread(segment, edges)
-            at = np.searchsorted(rows["name"], segment.windows(starts))
-            gone = starts[smaller[at] | (rows["doc"][at] < docs)] if len(rows) else starts[:0]
+            at = np.searchsorted(names, own["name"])
+            gone = starts[smaller[at] | (first[at] < own["doc"])] if len(rows) else starts
             np.add.at(edge, gone, 1)
             np.add.at(edge, gone + LENGTH, -1)
         removed = np.cumsum(edge[:-1]) > 0
