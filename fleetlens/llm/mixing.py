@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import map_batches, staged, texts_of
+from fleetlens.llm.common import map_batches, partitions, staged, texts_of
 
 BLOCK = 512
 SHARD_SLOTS = 1024
@@ -196,7 +196,7 @@ def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
         "target",
         "shards",
         F.explode(F.expr(f"sequence(g * {FAN}, least((g + 1) * {FAN}, shards) - 1)")).alias("shard"),
-    ).repartition("rank", "shard")
+    ).repartition(partitions(sources.sparkSession), "rank", "shard")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {name: [] for name in ("rank", "shard", "slot", "turn", "block", "words")}
@@ -213,7 +213,10 @@ def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
                 out[name].append(values)
         return {name: np.concatenate(parts) if parts else [] for name, parts in out.items()}
 
-    return map_batches(listed, run, "rank long, shard long, slot long, turn long, block long, words long")
+    found = map_batches(listed, run, "rank long, shard long, slot long, turn long, block long, words long")
+    # Spark cannot know how many rows the function makes; a file's size it does, so it
+    # broadcasts slots only where they are few.
+    return staged(found, "mixing-slots")
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep_text: bool):
