@@ -19,7 +19,9 @@ not read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -38,6 +40,11 @@ END = 0
 BUCKETS = 1024
 # Distinct words a task keeps the ids of; it starts over beyond that.
 CACHE_WORDS = 400_000
+# Bytes of text whose new words are encoded together.
+TEXT_AT_ONCE = 1 << 20
+
+# Marks that end a word: the tokenizer splits them off as well.
+TAIL = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?=\s|$)")
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -48,6 +55,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def words_of(raw: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes on their own.
+
+    It lowers letters too, but not within the names of its special tokens.
+    """
+    return (raw if b"<|" in raw else TAIL.sub(rb" \1", raw.lower())).split()
+
+
 def pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -80,23 +95,39 @@ def pieces(
         known: dict[bytes, bytes] = {}
         end, width = np.array([END], "<u4").tobytes(), 4 * capacity
         schema = pa.schema(kinds)
-        for batch in batches:
+
+        def ids_of(texts: list[list[bytes]]) -> Iterator[bytes]:
+            new = set().union(*texts).difference(known)
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = set().union(*texts)
+            new = list(new)
+            encoded = encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            known.update((word, array("I", ids.ids).tobytes()) for word, ids in zip(new, encoded))
+            for words in texts:
+                yield b"".join([*map(known.__getitem__, words), end])
+
+        def rows_of(docs_: list[int | None], texts: list[list[bytes]]) -> pa.RecordBatch:
             out = [[] for _ in kinds]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
-                words = raw.split()
-                new = list(set(words).difference(known))
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for word, ids in zip(new, encoder.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                    known[word] = np.array(ids.ids, "<u4").tobytes()
-                ids = b"".join([*map(known.__getitem__, words), end])
+            for doc, ids in zip(docs_, ids_of(texts)):
                 for number, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     row = (doc, number, at // 4, len(part) // 4, zlib.crc32(part))
                     for column, value in zip(out, (*row, np.frombuffer(part, "<u4"))):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, kinds)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, kinds)], schema=schema)
+
+        for batch in batches:
+            held_ids, held, size = [], [], 0
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
+                held_ids.append(doc)
+                held.append(words_of(raw))
+                size += len(raw)
+                if size >= TEXT_AT_ONCE:
+                    yield rows_of(held_ids, held)
+                    held_ids, held, size = [], [], 0
+            if held:
+                yield rows_of(held_ids, held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))
