@@ -30,9 +30,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
     """``rows`` turns an Arrow batch into columns of ``schema``, without a shuffle."""
-    target = StructType.fromDDL(schema)
+    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

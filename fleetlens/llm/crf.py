@@ -233,4 +233,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float
         kept = pa.array(keep, pa.int64())
         return {f.name: batch.column(f.name).take(kept) for f in fields}
 
-    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return map_batches(docs, run, docs.schema)

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import map_batches, partitions, staged, texts_of
+from fleetlens.llm.common import map_batches, partitions, staged
 
 BLOCK = 512
 SHARD_SLOTS = 1024
@@ -45,16 +46,19 @@ FAN = 4096
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def sized(docs: DataFrame, text_col: str, keep: DataFrame | None = None) -> DataFrame:
-    """``_size`` (words) of every whole text beside the columns of ``docs``."""
-    fields = docs.schema.fields
+def sized(rows: DataFrame, text_col: str) -> DataFrame:
+    """``_size`` (words) of every whole text beside the columns of ``rows``.
+
+    The text is a column, or a field of the column ``row``.
+    """
+    within = "row" in rows.columns
 
     def run(batch: pa.RecordBatch) -> dict:
-        sizes = [len(raw.split()) for raw in texts_of(batch, text_col)]
+        texts = batch.column("row").field(text_col) if within else batch.column("text")
+        sizes = [0 if (raw := text.as_buffer()) is None else len(raw.to_pybytes().split()) for text in texts]
         return {name: batch.column(name) for name in batch.schema.names} | {"_size": sizes}
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_size long"])
-    return map_batches(docs, run, schema)
+    return map_batches(rows, run, StructType([*rows.schema.fields, StructField("_size", LongType())]))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -219,17 +223,24 @@ def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     return staged(found, "mixing-slots")
 
 
-def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep_text: bool):
-    """Documents with ``_rank`` of the source and ``_at``, their first word in it; sources."""
-    wanted = docs if keep_text else docs.select(id_col, source_col, text_col)
-    rows = sized(wanted.withColumn("_key", F.xxhash64(id_col, text_col)), text_col)
-    rows = staged(rows if keep_text else rows.drop(text_col), "mixing-sizes")
-    sources = staged(targets(rows.select(F.col(source_col).alias("source"), "_size")), "mixing-sources")
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, whole: bool):
+    """Documents with ``_rank`` of the source and ``_at``, their first word in it; sources.
+
+    ``whole`` keeps each row of ``docs`` as the column ``row``, so its columns may have any names.
+    """
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.xxhash64(id_col, text_col).alias("_key"),
+        F.struct("*").alias("row") if whole else F.col(text_col).cast("string").alias("text"),
+    )
+    rows = staged(sized(rows, text_col).drop("text"), "mixing-sizes")
+    sources = staged(targets(rows.select("source", "_size")), "mixing-sources")
     of = sources.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
     # The sources are read from a file of known size: broadcast if small, else shuffled.
-    rows = rows.join(of, rows[source_col].eqNullSafe(of["_source"])).drop("_source")
+    rows = rows.join(of, rows["source"].eqNullSafe(of["_source"])).drop("_source")
     rows = rows.withColumn("_bucket", F.pmod(F.col("_key"), F.lit(BUCKETS)))
-    inside = Window.partitionBy("_rank", "_bucket").orderBy(id_col, "_key", "_size")
+    inside = Window.partitionBy("_rank", "_bucket").orderBy("doc_id", "_key", "_size")
     rows = rows.withColumn("_in", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     sums = rows.groupBy("_rank", "_bucket").agg(F.sum("_size").alias("_sum"))
     upto = Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -262,13 +273,13 @@ def taken(
     seed: int = SEED,
 ) -> DataFrame:
     """Per document its size, its source's size and target, and the words the mix takes."""
-    rows, sources = placed(docs, id_col, text_col, source_col, keep_text=False)
+    rows, sources = placed(docs, id_col, text_col, source_col, whole=False)
     found = pieces(rows, slots(sources, block, shard_slots, seed), block)
     sums = found.groupBy("_rank", "_at").agg(F.sum("count").alias("taken")).withColumn("_full", F.lit(True))
     facts = sources.select(F.col("rank").alias("_rank"), "source_size", "target")
     joined = rows.withColumn("_full", F.col("_size") > 0).join(sums, ["_rank", "_at", "_full"], "left")
     return joined.join(facts, "_rank").select(
-        id_col, F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+        "doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )
 
 
@@ -307,22 +318,21 @@ def mixed(
     text if all words are, else from the run's first word to its last. ``length_col``,
     if there is one, is the length of the new text.
     """
-    rows, sources = placed(docs, id_col, text_col, source_col, keep_text=True)
+    rows, sources = placed(docs, id_col, text_col, source_col, whole=True)
     found = pieces(rows, slots(sources, block, shard_slots, seed), block)
     # A document's pieces are at most its blocks in each pass.
     parts = found.groupBy("_rank", "_at").agg(F.collect_list(F.struct("turn", "first", "count")).alias("_parts"))
-    joined = rows.where("_size > 0").join(parts, ["_rank", "_at"]).drop("_rank", "_at")
-    fields = [f for f in docs.schema.fields]
+    joined = rows.where("_size > 0").join(parts, ["_rank", "_at"]).select("row", "_size", "_parts")
+    names = docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
         places, texts = [], []
-        for at, (raw, size, own) in enumerate(
-            zip(texts_of(batch, text_col), batch.column("_size").to_pylist(), batch.column("_parts"))
-        ):
-            found = cut(raw.decode(), size, merged(own.as_py()))
+        row = batch.column("row")
+        for at, (text, size, own) in enumerate(zip(row.field(text_col), batch.column("_size").to_pylist(), batch.column("_parts"))):
+            found = cut(text.as_py(), size, merged(own.as_py()))
             places += [at] * len(found)
             texts += found
-        chosen = {f.name: batch.column(f.name).take(pa.array(places, pa.int64())) for f in fields if f.name not in (text_col, length_col)}
-        return chosen | {text_col: texts, length_col: [len(t) for t in texts]}
+        chosen = row.take(pa.array(places, pa.int64()))
+        return {name: chosen.field(name) for name in names} | {text_col: texts, length_col: [len(t) for t in texts]}
 
-    return map_batches(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return map_batches(joined, run, docs.schema)

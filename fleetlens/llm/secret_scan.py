@@ -169,4 +169,4 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
             columns[length_col] = [n if a == b else len(b) for a, b, n in zip(old, new, lengths)]
         return columns
 
-    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return map_batches(docs, run, docs.schema)

@@ -199,10 +199,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = own.groupBy("class_fp").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     chosen = chosen.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.text_key").alias("_kept_key")).distinct()
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": text_key(text_col)})
-    matches = keyed["_id"].eqNullSafe(chosen["_kept_id"]) & (keyed["_key"] == chosen["_kept_key"])
+    # Own names beside the row as a whole, so that its columns may have any names.
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"))
+    matches = keyed["id"].eqNullSafe(chosen["_kept_id"]) & (keyed["key"] == chosen["_kept_key"])
     # The join leaves rows partitioned and sorted by the two keys, so this adds no shuffle.
-    return keyed.join(chosen, matches, "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return keyed.join(chosen, matches, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def text_key(text_col: str) -> Column:
