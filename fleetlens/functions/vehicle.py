@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 
+# Microseconds of a timestamp are a 64-bit number.
+LAST_MS = 9.2e15
+
 
 def event_time(epoch_ms: Column) -> Column:
-    """Epoch milliseconds to a timestamp cut to whole seconds."""
-    return F.timestamp_seconds((epoch_ms / F.lit(1000)).cast("long"))
+    """Epoch milliseconds to a timestamp cut to whole seconds; null where no timestamp holds it."""
+    ms = F.when(F.abs(epoch_ms) < F.lit(LAST_MS), epoch_ms)
+    return F.timestamp_seconds((ms / F.lit(1000)).cast("long"))
 
 
 def text_list(values: Iterable[str]) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fleetlens import constants as C
 from fleetlens.functions.vehicle import corridor_icon
+from fleetlens.schemas import partition_day
 
 
 def as_moment(anchor: str | date | datetime) -> datetime:
@@ -41,14 +42,14 @@ def recent_positions(
     """Every ping later than ``anchor`` minus ``minutes``.
 
     The bound is a literal, so the scan gets it. A table partitioned by day is
-    also filtered on that day, as Spark cannot infer it from ``datahora``.
+    also filtered on the bound's day, as Spark cannot infer it from ``datahora``.
     """
     since = as_moment(anchor) - timedelta(minutes=minutes)
-    rows = gps.filter(F.col("datahora") > moment_literal(since, gps.schema["datahora"].dataType))
+    kind = gps.schema["datahora"].dataType
+    bound = moment_literal(since, kind)
+    rows = gps.filter(F.col("datahora") > bound)
     if "data" in gps.columns:
-        # An anchor with a zone of its own may fall on the day before in the table's.
-        first = since.date() - timedelta(days=0 if since.tzinfo is None else 1)
-        rows = rows.filter(F.col("data") >= F.lit(first))
+        rows = rows.filter(F.col("data") >= partition_day(bound, kind))
     return for_corridor(rows, corridor).select("latitude", "longitude", "trajeto", "velocidade", "corredor")
 
 

@@ -356,7 +356,7 @@ def oracles() -> dict[str, str]:
         ),
         "itinerary_stations": after(
             STATIONS,
-            """SELECT CAST(l_orderkey AS INTEGER) AS linha,
+            """SELECT l_orderkey AS linha,
                  CASE WHEN l_returnflag = 'R' THEN 'volta' ELSE 'ida' END AS sentido,
                  l_linestatus AS trajeto, l_returnflag AS destino, CAST(l_linenumber AS INTEGER) AS sequencia,
                  'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS estacao, s.latitude, s.longitude

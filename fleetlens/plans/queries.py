@@ -29,8 +29,8 @@ VIEW = Viewport(north=-22.75, south=-23.0, east=-43.2, west=-43.7, zoom=12)
 WRAPPED_VIEW = Viewport(north=-22.8, south=-23.1, east=-43.6, west=-43.3, zoom=3)
 # Times the replayed history is cut at, within an hour so that windows span two runs.
 CUTS = ("2024-01-11 12:30:00", "2024-01-21 06:40:00")
-# Rows of one replayed slice, each of which is one micro-batch.
-SLICE_ROWS = 500_000_000
+# Days of one replayed slice, each of which is one micro-batch.
+SLICE_DAYS = 30
 
 # Relative error of the checked sketches (the default).
 RSD = 0.05
@@ -382,13 +382,13 @@ def stats_tables(spark, sf_dir):
 
 
 def slices(spark: SparkSession, sf_dir: str, fixed: bool = False) -> list[DataFrame]:
-    """The whole history cut by time: where an hour is split, and so that no slice grows too large.
+    """The whole history cut by time: where an hour is split, and every ``SLICE_DAYS`` days.
 
     Only the fixed cuts are made for queries whose result depends on them.
     """
     cuts = set(CUTS)
     if not fixed:
-        cuts |= set(time_cuts(S.table(spark, sf_dir, "events"), "ts", SLICE_ROWS))
+        cuts |= set(time_cuts(S.table(spark, sf_dir, "events"), "ts", SLICE_DAYS))
     edges = [None, *sorted(cuts), None]
     return [S.snapshots(spark, sf_dir, lo, hi, repeats=True) for lo, hi in zip(edges, edges[1:])]
 

@@ -148,7 +148,7 @@ def stations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def itinerary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops in order: an order's line items, each at its supplier's station."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "CAST(l_orderkey AS INT) AS linha",
+        "l_orderkey AS linha",
         "CASE WHEN l_returnflag = 'R' THEN 'volta' ELSE 'ida' END AS sentido",
         "l_linestatus AS trajeto",
         "l_returnflag AS destino",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,7 +88,7 @@ STATS = T.StructType(
 
 ITINERARY = T.StructType(
     [
-        T.StructField("linha", T.IntegerType()),
+        T.StructField("linha", T.LongType()),
         T.StructField("sentido", T.StringType()),
         T.StructField("trajeto", T.StringType()),
         T.StructField("destino", T.StringType()),
@@ -114,7 +114,14 @@ def with_partition_day(df: DataFrame) -> DataFrame:
     """Add the partition day from the event time where the rows do not have one."""
     if PARTITION.name in df.columns:
         return df
-    return df.withColumn(PARTITION.name, F.to_date("datahora"))
+    return df.withColumn(PARTITION.name, partition_day(F.col("datahora"), df.schema["datahora"].dataType))
+
+
+def partition_day(time: Column, kind: T.DataType) -> Column:
+    """The day of an event time in UTC, whatever the session's zone; a time without zone has its own."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.to_date(time)
+    return F.date_from_unix_date(F.floor(F.unix_seconds(time) / F.lit(86400)).cast("int"))
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -23,9 +23,8 @@ BASE_CONF = {
 }
 
 
-# What one shuffle partition should hold, and the most partitions a shuffle gets.
+# What one shuffle partition should hold.
 PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 100_000
 
 
 def shuffle_conf(expected_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
@@ -34,7 +33,7 @@ def shuffle_conf(expected_bytes: int, partition_bytes: int = PARTITION_BYTES) ->
     AQE joins small partitions but never makes more than a shuffle starts with, so
     a job over terabytes must start with enough of them to fit in memory.
     """
-    partitions = min(max(-(-expected_bytes // partition_bytes), 1), MAX_PARTITIONS)
+    partitions = max(-(-expected_bytes // partition_bytes), 1)
     return {
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),

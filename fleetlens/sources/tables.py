@@ -34,8 +34,30 @@ def read_table(spark: SparkSession, root: str, table: str, columns: tuple[str, .
     Filters on ``data`` prune folders; ``stats_*`` have it as a column anyway.
     """
     schema = stored_schema(table)
-    df = spark.read.schema(schema).parquet(f"{root}/{table}")
-    return df.select(*schema.fieldNames(), *columns)
+    read = spark.read.schema(schema)
+    wanted = [*schema.fieldNames(), *columns]
+    sink = sink_path(root, table)
+    if not exists(spark, sink):
+        return read.parquet(f"{root}/{table}").select(*wanted)
+    streamed = read.parquet(sink)
+    streamed = streamed.select(*schema.fieldNames(), *[F.lit(None).cast("string").alias(c) for c in columns])
+    if not exists(spark, f"{root}/{table}"):
+        return streamed
+    return read.parquet(f"{root}/{table}").select(*wanted).unionByName(streamed)
+
+
+def sink_path(root: str, table: str) -> str:
+    """Where Spark's file sink writes a table.
+
+    Readers of such a folder see only the files in the sink's own log, so other
+    writers must not share it.
+    """
+    return f"{root}/{table}-stream"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def spread(rows: DataFrame, column: str) -> DataFrame:

@@ -28,7 +28,7 @@ from fleetlens.operators.stats import BY_CORRIDOR, grouped, labelled, vehicle_co
 from fleetlens.schemas import PARTITION, stored_schema, with_partition_day
 from fleetlens.session import CHANGELOG, ROCKSDB, STATE_PROVIDER, scoped_conf, state_partitions
 from fleetlens.sources.snapshots import stream_snapshots
-from fleetlens.sources.tables import write_batch
+from fleetlens.sources.tables import sink_path, write_batch
 
 # Planned trigger intervals of the three independent queries.
 PLANNED_TRIGGERS = {"positions": "1 minute", "speed": "1 hour", "vehicles": "1 day"}
@@ -97,7 +97,10 @@ def begin(config: IngestConfig, df: DataFrame, name: str, mode: str, sink: Calla
 
 def query_run(df: DataFrame) -> str:
     """Id a streaming query keeps for the life of its checkpoint."""
-    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not run:
+        raise RuntimeError("not inside a streaming query: a replayed batch could not replace itself")
+    return run
 
 
 def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
@@ -138,14 +141,14 @@ def start_stats(
 def start_positions_shared(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
     rows = with_partition_day(realtime_positions(spark, config))
     rows = for_files(rows.select(*stored_schema("gpsdata").fieldNames()), config)
-    path = f"{config.out_dir}/gpsdata"
+    path = sink_path(config.out_dir, "gpsdata")
     return begin(
         config, rows, "positions", "append", lambda w: w.partitionBy(PARTITION.name).format("parquet").start(path)
     )
 
 
 def start_stats_shared(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
-    path, schema = f"{config.out_dir}/gpsdata", stored_schema("gpsdata")
+    path, schema = sink_path(config.out_dir, "gpsdata"), stored_schema("gpsdata")
     # A stream cannot start on a folder that is not there yet; this makes an empty one.
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy(PARTITION.name).parquet(path)
     gps = spark.readStream.schema(schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,14 @@ def replay(slices: Iterable[DataFrame], landing: str, run: Callable[[], None]) -
         run()
 
 
-def time_cuts(history: DataFrame, time: str, rows_per_slice: int) -> list[str]:
-    """Times that cut a history into slices of about ``rows_per_slice`` rows.
+def time_cuts(history: DataFrame, time: str, days: int) -> list[str]:
+    """Times that cut a history into slices of ``days`` days from its first row on.
 
-    A slice is one micro-batch, as rows of one that was split further could be
-    late for the batch before. Rows of the same instant stay together.
+    The length of a slice is event time, so the number of rows plays no part.
     """
-    slices = -(-history.count() // rows_per_slice)
-    if slices < 2:
+    first, last = history.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
+    if first is None:
         return []
-    shares = [i / slices for i in range(1, slices)]
-    picked = history.agg(F.percentile_approx(time, shares).alias("cuts")).select(
-        F.transform(F.array_distinct("cuts"), lambda t: t.cast("string")).alias("cuts")
-    )
-    return picked.first().cuts
+    start, end = datetime.fromisoformat(first), datetime.fromisoformat(last)
+    steps = range(1, (end - start) // timedelta(days=days) + 1)
+    return [(start + timedelta(days=days * i)).isoformat(sep=" ") for i in steps]

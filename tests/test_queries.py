@@ -8,10 +8,18 @@ import duckdb
 import pytest
 from helpers import plan_of
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from fleetlens.plans import jobs
+from fleetlens.plans.oracle import oracles as oracle_sql
+from fleetlens.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
+
+
+def queries():
+    return QUERIES
+
+
 # Only the sketch itself has no SQL; its error is checked by other queries.
 WITHOUT_SQL = {"vehicles_1h_approx"}
 

@@ -6,7 +6,9 @@ import pytest
 from helpers import plan_of, rows
 from pyspark.sql import functions as F
 
-from fleetlens.schemas import STATS_VEL, TABLES, append_to_catalog, create_tables, stored_schema
+from fleetlens.functions.vehicle import event_time
+from fleetlens.operators.recent import recent_positions
+from fleetlens.schemas import STATS_VEL, TABLES, append_to_catalog, create_tables, stored_schema, with_partition_day
 from fleetlens.session import scoped_conf, scratch_dir, shuffle_conf
 from fleetlens.sources import tables as T
 
@@ -160,8 +162,40 @@ def test_preview_of_a_stream(spark, gps, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "size, partitions", [(0, 1), (1, 1), (256 * 2**20, 1), (10 * 2**40, 40960), (100 * 2**40, 100000)]
+    "size, partitions", [(0, 1), (1, 1), (256 * 2**20, 1), (10 * 2**40, 40960), (100 * 2**40, 409600)]
 )
 def test_shuffles_start_with_enough_partitions(size, partitions):
     conf = shuffle_conf(size)
     assert conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == str(partitions)
+
+
+def test_layouts_do_not_hide_rows(spark, gps, tmp_path):
+    root = str(tmp_path)
+    T.append(gps, root)
+    stored = with_partition_day(gps).select(*stored_schema("gpsdata").fieldNames())
+    stored.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "in"))
+    writer = source.writeStream.format("parquet").partitionBy("data").option("checkpointLocation", str(tmp_path / "cp"))
+    writer.trigger(availableNow=True).start(T.sink_path(root, "gpsdata")).awaitTermination()
+    assert T.read_table(spark, root, "gpsdata").count() == 2 * gps.count()
+    T.append(gps, root)
+    assert T.read_table(spark, root, "gpsdata").count() == 3 * gps.count()
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, tmp_path):
+    df = spark.sql("SELECT 'A' AS codigo, timestamp'2017-08-28 00:58:00Z' AS datahora")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        T.append(df, str(tmp_path), "gpsdata")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        got = recent_positions(T.read_table(spark, str(tmp_path), "gpsdata"), "2017-08-28 01:00:00")
+        assert got.count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_absurd_times_are_null(spark):
+    df = spark.sql("SELECT explode(array(1e30D, 1e16D, -1e18D, double('NaN'), null, 1503828000789D)) AS ms")
+    got = [r.t for r in df.select(event_time(F.col("ms")).cast("long").alias("t")).collect()]
+    assert got == [None, None, None, None, None, 1503828000]
