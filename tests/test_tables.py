@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.vehicle import event_time
 from fleetlens.operators.recent import recent_positions
-from fleetlens.schemas import STATS_VEL, TABLES, append_to_catalog, create_tables, stored_schema, with_partition_day
+from fleetlens.schemas import STATS_VEL, TABLES, align, append_to_catalog, create_tables, stored_schema, with_partition_day
 from fleetlens.session import scoped_conf, scratch_dir, shuffle_conf
 from fleetlens.sources import tables as T
 
@@ -172,7 +172,7 @@ def test_shuffles_start_with_enough_partitions(size, partitions):
 def test_layouts_do_not_hide_rows(spark, gps, tmp_path):
     root = str(tmp_path)
     T.append(gps, root)
-    stored = with_partition_day(gps).select(*stored_schema("gpsdata").fieldNames())
+    stored = align(with_partition_day(gps), stored_schema("gpsdata"))
     stored.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "in"))
     writer = source.writeStream.format("parquet").partitionBy("data").option("checkpointLocation", str(tmp_path / "cp"))
