@@ -38,8 +38,8 @@ END = 0
 # Parts in which pieces of one length are counted; raise for more than some
 # billion pieces.
 BUCKETS = 1024
-# Distinct words a task keeps the ids of; it starts over beyond that.
-CACHE_WORDS = 400_000
+# Distinct words a Python worker keeps the ids of; it starts over beyond that.
+CACHE_WORDS = 800_000
 # Bytes of text whose new words are encoded together.
 TEXT_AT_ONCE = 1 << 20
 
@@ -89,10 +89,13 @@ def pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        encoder = Tokenizer.from_file(tokenizer)
-        known: dict[bytes, bytes] = {}
+        # The tokenizer and its words stay with the Python worker from task to task.
+        kept = vars(tokenizers).setdefault("_kept_words", {})
+        if tokenizer not in kept:
+            kept[tokenizer] = tokenizers.Tokenizer.from_file(tokenizer), {}
+        encoder, known = kept[tokenizer]
         end, width = np.array([END], "<u4").tobytes(), 4 * capacity
         schema = pa.schema(kinds)
 
