@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fleetlens import constants as C
+
 POSITIONS = """
 raw AS (
   SELECT CAST(user_id AS VARCHAR) AS codigo,
@@ -106,19 +108,17 @@ SELECT {keys},
 FROM {cells} GROUP BY {keys}
 """
 
-GROUPS = """,
-groups(grupo, linha) AS (
-  SELECT grupo, unnest(string_split(lines, ' ')) FROM (VALUES
-    ('transoeste', '10 11 12 13 14 15 17 18 19 20 20A 21 22 23 24'),
-    ('transcarioca', '30 31 33 35 36 38 40 41 42'),
-    ('transolimpica', '41 50 51 53'),
-    ('lote_zero', '18 21 22 23 24 40 50 53')) AS g(grupo, lines))
-"""
+GROUP_ROWS = ", ".join(f"('{group}', '{line}')" for group, lines in C.LINE_GROUPS.items() for line in lines)
+GROUPS = f", groups(grupo, linha) AS (VALUES {GROUP_ROWS})"
 
-FLAT_LINES = (
-    "'10','11','12','13','14','15','17','18','19','20','21','21A','22','23','24','30','31','33',"
-    "'35','36','38','40','41','42','50','51','53'"
-)
+FLAT_LINES = ", ".join(f"'{line}'" for line in C.ALL_LINES)
+
+EXACT_VEHICLES = """
+SELECT CAST(w AS DATE) AS data, strftime(w, '%H:%M') AS hora, corredor,
+  count(DISTINCT codigo) AS exact, true AS close
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, datahora) AS w FROM positions)
+GROUP BY w, corredor
+"""
 
 STATIONS = """
 named AS (
@@ -227,12 +227,17 @@ def oracles() -> dict[str, str]:
                 having="",
             ),
         ),
-        "vehicles_1h_approx_error": after(
+        "speed_10m_plain": after(
             POSITIONS,
-            """SELECT time_bucket(INTERVAL 1 HOUR, datahora) AS window_start, corredor,
-                 count(DISTINCT codigo) AS exact, true AS close
+            """SELECT time_bucket(INTERVAL 10 MINUTE, datahora) AS window_start, corredor, true AS close
                FROM positions GROUP BY 1, 2""",
         ),
+        "vehicles_1h_approx": after(POSITIONS, EXACT_VEHICLES),
+        "vehicles_1h_approx_error": after(
+            POSITIONS,
+            """SELECT count(*) AS windows, true AS few_far, true AS mean_error_small
+               FROM (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, datahora), corredor FROM positions)""",
+        ),
         "stats_by_line": after(
             POSITIONS,
             f"""SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, corredor, linha, sentido,
@@ -388,13 +393,7 @@ def oracles() -> dict[str, str]:
                 GROUP BY r.corredor, r.hour, r.run
                 HAVING {MEAN} > 0""",
         ),
-        "stream_vehicles_1h": after(
-            POSITIONS,
-            """SELECT CAST(w AS DATE) AS data, strftime(w, '%H:%M') AS hora, corredor,
-                 count(DISTINCT codigo) AS exact, true AS close
-               FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, datahora) AS w FROM positions)
-               GROUP BY w, corredor""",
-        ),
+        "stream_vehicles_1h": after(POSITIONS, EXACT_VEHICLES),
         "stream_late_drop": after(RUNS, f"SELECT {COLUMNS} FROM runs WHERE run <> 1"),
         "stream_extrema": after(
             POSITIONS, "SELECT max(velocidade) AS max, min(velocidade) AS min FROM positions"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.geo import Viewport
-from fleetlens.functions.vehicle import corridor_icon
+from fleetlens.functions.vehicle import corridor_icon, mean
 from fleetlens.operators import dashboards, dimensions, heatmap, recent, stats, yearly
 from fleetlens.operators.positions import clean_snapshots, dedupe
 from fleetlens.plans import surrogate as S
@@ -53,9 +54,14 @@ def plain_times(df: DataFrame) -> DataFrame:
     )
 
 
-def close_enough() -> Column:
-    """Sketch within six standard errors of the exact count, or one vehicle."""
-    return F.expr(f"abs(approx - exact) <= greatest(1.0D, {6 * RSD}D * exact)")
+def close_enough(errors: int = 6) -> Column:
+    """Sketch within so many standard errors of the exact count, or one vehicle."""
+    return F.expr(f"abs(approx - exact) <= greatest(1.0D, {errors * RSD}D * exact)")
+
+
+def before(**span: int) -> datetime:
+    """A time before the anchor."""
+    return recent.as_moment(S.ANCHOR) - timedelta(**span)
 
 
 # Snapshots to positions
@@ -112,23 +118,50 @@ def vehicles_10m_exact(spark, sf_dir):
     return stats.window_vehicles(S.positions(spark, sf_dir)).drop("atualizacao")
 
 
+@register
+def speed_10m_plain(spark, sf_dir):
+    """The mean a user gets by default, in doubles, against the one of exact decimals."""
+    rows = S.positions(spark, sf_dir)
+    means = {"plain": mean(F.col("velocidade")), "exact": mean(F.col("velocidade"), S.SCALE)}
+    groups = stats.grouped(rows, C.BATCH_WINDOW, ("corredor",), means)
+    close = F.expr("abs(plain - exact) <= 1e-9D * greatest(1.0D, abs(exact))").alias("close")
+    return groups.select(F.col("window.start").alias("window_start"), "corredor", close)
+
+
 @register
 def vehicles_1h_approx(spark, sf_dir):
+    """Sketched counts of every window next to the exact ones."""
     rows = S.positions(spark, sf_dir)
-    return stats.window_vehicles(rows, C.STREAM_WINDOW, positive_only=True, approx=True).drop("atualizacao")
+    sketched = stats.window_vehicles(rows, C.STREAM_WINDOW, positive_only=True, approx=True, rsd=RSD)
+    return next_to_exact(rows, sketched)
+
+
+def next_to_exact(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Each window's exact count, and whether the sketched one is near it."""
+    keys = ["data", "hora", "corredor"]
+    approx = sketched.select(*keys, F.col("qtd_carros").alias("approx"))
+    exact = stats.window_vehicles(rows, C.STREAM_WINDOW).withColumnRenamed("qtd_carros", "exact")
+    return exact.join(approx, keys, "full").select(*keys, "exact", close_enough().alias("close"))
 
 
 @register
 def vehicles_1h_approx_error(spark, sf_dir):
-    """Sketch against exact count."""
+    """Error of the sketches over all windows.
+
+    About 0.3 % of normal errors are beyond three standard errors; 1 % are allowed.
+    """
     groups = stats.grouped(
         S.positions(spark, sf_dir),
         C.STREAM_WINDOW,
         ("corredor",),
         {"exact": stats.vehicle_count(), "approx": stats.vehicle_count(approx=True, rsd=RSD)},
     )
-    return groups.select(
-        F.col("window.start").alias("window_start"), "corredor", "exact", close_enough().alias("close")
+    far = F.count_if(~close_enough(3))
+    error = F.avg(F.expr("abs(approx - exact) / CAST(exact AS DOUBLE)"))
+    return groups.agg(
+        F.count("*").alias("windows"),
+        (far * 100 <= F.count("*")).alias("few_far"),
+        (error <= RSD).alias("mean_error_small"),
     )
 
 
@@ -145,37 +178,46 @@ def stats_rollup(spark, sf_dir):
 # Charts
 
 
+def speed_days(spark, sf_dir, days):
+    """The speed log from the first hour a chart of so many days may show."""
+    return S.speed_log(spark, sf_dir, before(days=days))
+
+
+def vehicle_days(spark, sf_dir, days):
+    return S.vehicle_log(spark, sf_dir, before(days=days))
+
+
 @register
 def speed_by_hour(spark, sf_dir):
-    return dashboards.speed_by_hour(S.speed_log(spark, sf_dir), S.ANCHOR)
+    return dashboards.speed_by_hour(speed_days(spark, sf_dir, C.HOUR_VIEW_DAYS), S.ANCHOR)
 
 
 @register
 def speed_by_hour_final(spark, sf_dir):
-    return dashboards.speed_by_hour(S.speed_log(spark, sf_dir), S.ANCHOR, reduce="final")
+    return dashboards.speed_by_hour(speed_days(spark, sf_dir, C.HOUR_VIEW_DAYS), S.ANCHOR, reduce="final")
 
 
 @register
 def speed_by_day(spark, sf_dir):
-    return dashboards.speed_by_day(S.speed_log(spark, sf_dir), S.ANCHOR)
+    return dashboards.speed_by_day(speed_days(spark, sf_dir, C.SPEED_VIEW_DAYS), S.ANCHOR)
 
 
 @register
 def vehicles_by_hour(spark, sf_dir):
-    return dashboards.vehicles_by_hour(S.vehicle_log(spark, sf_dir), S.ANCHOR)
+    return dashboards.vehicles_by_hour(vehicle_days(spark, sf_dir, C.HOUR_VIEW_DAYS), S.ANCHOR)
 
 
 @register
 def vehicles_by_day(spark, sf_dir):
-    return dashboards.vehicles_by_day(S.vehicle_log(spark, sf_dir), S.ANCHOR)
+    return dashboards.vehicles_by_day(vehicle_days(spark, sf_dir, C.VEHICLE_VIEW_DAYS), S.ANCHOR)
 
 
 def speed_rows(spark, sf_dir, days):
-    return dashboards.chart_rows(S.speed_log(spark, sf_dir), "vel_media", S.ANCHOR, days)
+    return dashboards.chart_rows(speed_days(spark, sf_dir, days), "vel_media", S.ANCHOR, days)
 
 
 def vehicle_rows(spark, sf_dir, days):
-    return dashboards.chart_rows(S.vehicle_log(spark, sf_dir), "qtd_carros", S.ANCHOR, days)
+    return dashboards.chart_rows(vehicle_days(spark, sf_dir, C.VEHICLE_VIEW_DAYS), "qtd_carros", S.ANCHOR, days)
 
 
 @register
@@ -211,7 +253,7 @@ def categories_day(spark, sf_dir):
 @register
 def speed_chart(spark, sf_dir):
     """The chart's arrays, taken apart again to rows."""
-    chart = dashboards.speed_chart(S.speed_log(spark, sf_dir), S.ANCHOR, per_day=False)
+    chart = dashboards.speed_chart(speed_days(spark, sf_dir, C.SPEED_VIEW_DAYS), S.ANCHOR, per_day=False)
     per_series = chart.select("categories", F.inline("content"))
     cells = per_series.select("name", F.posexplode(F.arrays_zip("categories", "data")).alias("position", "cell"))
     return cells.select(
@@ -221,43 +263,40 @@ def speed_chart(spark, sf_dir):
 
 @register
 def vehicle_chart_json(spark, sf_dir):
-    return tables.to_json_rows(dashboards.vehicle_chart(S.vehicle_log(spark, sf_dir), S.ANCHOR))
+    return tables.to_json_rows(dashboards.vehicle_chart(vehicle_days(spark, sf_dir, C.HOUR_VIEW_DAYS), S.ANCHOR))
 
 
 # Positions and heat map
 
 
+def lately(spark, sf_dir, minutes=C.RECENT_MINUTES, corridor=None):
+    rows = S.positions(spark, sf_dir, before(minutes=minutes))
+    return recent.markers(recent.recent_positions(rows, S.ANCHOR, minutes, corridor))
+
+
 @register
 def recent_positions_3m(spark, sf_dir):
-    return recent.markers(recent.recent_positions(S.positions(spark, sf_dir), S.ANCHOR))
+    return lately(spark, sf_dir)
 
 
 @register
 def recent_positions_corridor(spark, sf_dir):
-    rows = recent.recent_positions(S.positions(spark, sf_dir), S.ANCHOR, corridor=C.TRANS_OLIMPICA)
-    return recent.markers(rows)
+    return lately(spark, sf_dir, corridor=C.TRANS_OLIMPICA)
 
 
 @register
 def marker_json(spark, sf_dir):
-    rows = recent.recent_positions(S.positions(spark, sf_dir), S.ANCHOR)
-    return tables.to_json_rows(recent.markers(rows).select("title", "icon"))
+    return tables.to_json_rows(lately(spark, sf_dir).select("title", "icon"))
 
 
 @register
 def heat_points_10m(spark, sf_dir):
-    rows = recent.recent_positions(
-        S.positions(spark, sf_dir), S.ANCHOR, minutes=C.HEAT_MINUTES, corridor=C.ALL_CORRIDORS
-    )
-    return heatmap.heat_points(recent.markers(rows))
+    return heatmap.heat_points(lately(spark, sf_dir, C.HEAT_MINUTES, C.ALL_CORRIDORS))
 
 
 @register
 def heat_points_corridor(spark, sf_dir):
-    rows = recent.recent_positions(
-        S.positions(spark, sf_dir), S.ANCHOR, minutes=C.HEAT_MINUTES, corridor=C.TRANS_CARIOCA
-    )
-    return heatmap.heat_points(recent.markers(rows))
+    return heatmap.heat_points(lately(spark, sf_dir, C.HEAT_MINUTES, C.TRANS_CARIOCA))
 
 
 @register
@@ -442,10 +481,7 @@ def stream_vehicles_1h(spark, sf_dir):
     config = replace(stream_config(spark), rsd=RSD)
     replay(slices(spark, sf_dir), config.files_dir, lambda: ingest.finish(ingest.start_vehicles(spark, config)))
     log = tables.read_table(spark, config.out_dir, "stats_qtd")
-    counted = dashboards.last_update(log, "qtd_carros").withColumnRenamed("qtd_carros", "approx")
-    exact = stats.window_vehicles(S.positions(spark, sf_dir), C.STREAM_WINDOW).withColumnRenamed("qtd_carros", "exact")
-    both = exact.join(counted, ["data", "hora", "corredor"], "full")
-    return both.select("data", "hora", "corredor", "exact", close_enough().alias("close"))
+    return next_to_exact(S.positions(spark, sf_dir), dashboards.last_update(log, "qtd_carros"))
 
 
 @register

@@ -5,6 +5,8 @@ Every row of a table becomes one record; nothing is left out here.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,17 @@ def snapshots(
     return events.selectExpr(f"{content} AS veiculos")
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean positions, times without zone as the table has them."""
+def positions(spark: SparkSession, sf_dir: str, since: datetime | None = None) -> DataFrame:
+    """Clean positions, times without zone as the table has them.
+
+    ``since`` bounds the raw time, which the scan can use; Spark cannot infer that bound
+    from one on the time cut to seconds.
+    """
     fields = {("codlinha" if name == "linha" else name): expr for name, expr in FEED.items()}
-    records = table(spark, sf_dir, "events").selectExpr(
+    events = table(spark, sf_dir, "events")
+    if since is not None:
+        events = events.filter(f"ts >= TIMESTAMP_NTZ '{since.isoformat(sep=' ')}'")
+    records = events.selectExpr(
         "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ) AS datahora",
         *[f"{expr} AS {name}" for name, expr in fields.items()],
     )
@@ -92,13 +101,14 @@ def log_rows(updates: DataFrame, measure: str) -> DataFrame:
     )
 
 
-def speed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def speed_log(spark: SparkSession, sf_dir: str, since: datetime | None = None) -> DataFrame:
     """Speed log as an update-mode stream leaves it: hourly means so far, every 20 minutes.
 
     Pings are summed per update first; the running sums go over three rows an hour.
+    ``since`` must be a full hour: hours are then in the log whole or not at all.
     """
     parts = (
-        positions(spark, sf_dir)
+        positions(spark, sf_dir, since)
         .selectExpr(HOUR, SLOT, *BY_CORRIDOR, f"CAST(velocidade AS DECIMAL(18,{SCALE})) AS v")
         .groupBy("hour", *BY_CORRIDOR, "slot")
         .agg(F.sum("v").alias("s"), F.count("v").alias("n"))
@@ -108,10 +118,10 @@ def speed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_rows(parts.withColumn("vel_media", mean), "vel_media")
 
 
-def vehicle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vehicle_log(spark: SparkSession, sf_dir: str, since: datetime | None = None) -> DataFrame:
     """Vehicle log in the same form, exact counts."""
     first_seen = (
-        positions(spark, sf_dir)
+        positions(spark, sf_dir, since)
         .selectExpr(HOUR, SLOT, *BY_CORRIDOR, "codigo")
         .groupBy("hour", *BY_CORRIDOR, "codigo")
         .agg(F.min("slot").alias("slot"))
