@@ -63,15 +63,18 @@ def dedupe(positions: DataFrame) -> DataFrame:
 
 
 def dedupe_stream(
-    positions: DataFrame, delay: str = C.WATERMARK_DELAY, salt_buckets: int = 32
+    positions: DataFrame, delay: str = C.WATERMARK_DELAY, salt_buckets: int | None = None
 ) -> DataFrame:
     """One ping per vehicle and second, stream form; late pings are dropped.
 
     Streaming dedupe shuffles every row to its key's task before looking at it.
     So that a key with very many copies does not meet in one task, a first
     dedupe runs per (key, salt) and a second on the key alone, which sees at
-    most ``salt_buckets`` copies. ``salt_buckets=1`` leaves the first one out.
+    most ``salt_buckets`` copies. There are as many salts as the session's shuffles
+    have partitions unless told otherwise; ``salt_buckets=1`` leaves the first dedupe out.
     """
+    if salt_buckets is None:
+        salt_buckets = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = positions.withWatermark("datahora", delay)
     if salt_buckets > 1:
         salt = F.pmod(F.spark_partition_id(), F.lit(salt_buckets))

@@ -442,6 +442,7 @@ def stream_config(spark: SparkSession) -> ingest.IngestConfig:
         name_prefix=f"{root.rsplit('-', 1)[-1]}-",
         exact_scale=S.SCALE,
         max_files=None,
+        state_partitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
 
 

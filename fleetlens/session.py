@@ -10,6 +10,7 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -54,19 +55,26 @@ def build_session(
 
 
 @contextmanager
-def scoped_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
-    """Apply settings the user has not set, for the time a query is started.
+def scoped_conf(
+    spark: SparkSession, settings: Mapping[str, str], overrides: Mapping[str, str] | None = None
+) -> Iterator[None]:
+    """Apply settings the user has not set, and ``overrides``, for the time a query is started.
 
     A streaming query keeps the settings it was started with.
     """
-    unset = [key for key in settings if spark.conf.get(key, None) is None]
-    for key in unset:
-        spark.conf.set(key, settings[key])
+    own = {key: value for key, value in settings.items() if spark.conf.get(key, None) is None}
+    changed = {**own, **(overrides or {})}
+    old = {key: spark.conf.get(key, None) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        for key in unset:
-            spark.conf.unset(key)
+        for key, value in old.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 @cache
@@ -81,18 +89,31 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = local_base()
     return f"{base.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
 
 
-def state_partitions(spark: SparkSession) -> dict[str, str]:
-    """Partitions of streaming state: one per core of the cluster.
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
 
-    A checkpoint keeps its number for good, so it is left to the session where
-    executors come and go.
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions a shuffle of this session starts with."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(first or spark.conf.get(SHUFFLE_PARTITIONS))
+
+
+def state_partitions(spark: SparkSession, wanted: int | None) -> int:
+    """Partitions of streaming state.
+
+    A checkpoint keeps its number for good, so on a cluster it must be stated: the
+    executors that happen to be registered when a job starts tell nothing. Only a local
+    session may leave it out.
     """
-    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
-        return {}
-    return {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    if wanted is not None:
+        return wanted
+    if not is_local(spark):
+        raise ValueError("state the number of state partitions: a checkpoint keeps it for good")
+    return int(spark.conf.get(SHUFFLE_PARTITIONS, str(spark.sparkContext.defaultParallelism)))

@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fleetlens.schemas import PARTITION, TABLES, align, stored_schema, with_partition_day
-
-# Parts a folder's rows are spread over before AQE joins small ones.
-FOLDER_PARTS = 32
-
+from fleetlens.session import shuffle_width
 
 def route(df: DataFrame) -> str:
     """Table a result belongs to, told by its columns."""
@@ -65,13 +62,14 @@ def spread(rows: DataFrame, column: str) -> DataFrame:
 
     AQE's rebalance cuts what is too large for one task and joins what is small.
     The source task is part of it as sizes are compressed ones: copies of one
-    row weigh next to nothing, however many a folder gets. Without AQE (as in a
+    row weigh next to nothing, however many a folder gets. There are as many parts as a
+    shuffle has partitions; AQE joins small ones. Without AQE (as in a
     stateful micro-batch) nothing would cut a large folder, so rows are left where
     they are.
     """
     if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
         return rows
-    part = F.pmod(F.spark_partition_id(), F.lit(FOLDER_PARTS)).alias("part")
+    part = F.pmod(F.spark_partition_id(), F.lit(shuffle_width(rows.sparkSession))).alias("part")
     return rows.select("*", part).hint("rebalance", column, "part").drop("part")
 
 

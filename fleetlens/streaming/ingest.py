@@ -26,9 +26,16 @@ from fleetlens.functions.vehicle import mean
 from fleetlens.operators.positions import clean_snapshots, dedupe_stream
 from fleetlens.operators.stats import BY_CORRIDOR, grouped, labelled, vehicle_count
 from fleetlens.schemas import PARTITION, stored_schema, with_partition_day
-from fleetlens.session import CHANGELOG, ROCKSDB, STATE_PROVIDER, scoped_conf, state_partitions
+from fleetlens.session import (
+    CHANGELOG,
+    ROCKSDB,
+    SHUFFLE_PARTITIONS,
+    STATE_PROVIDER,
+    scoped_conf,
+    state_partitions,
+)
 from fleetlens.sources.snapshots import stream_snapshots
-from fleetlens.sources.tables import sink_path, write_batch
+from fleetlens.sources.tables import append_jdbc, sink_path, write_batch
 
 # Planned trigger intervals of the three independent queries.
 PLANNED_TRIGGERS = {"positions": "1 minute", "speed": "1 hour", "vehicles": "1 day"}
@@ -52,7 +59,11 @@ class IngestConfig:
     rsd: float | None = None
     exact_scale: int | None = None
     tz: str | None = None
-    salt_buckets: int = 32
+    # Partitions of all state; must be stated on a cluster, as checkpoints keep it.
+    state_partitions: int | None = None
+    # Tasks a repeated ping is spread over before the last dedupe; as many as there
+    # are state partitions unless stated, 1 for none.
+    salt_buckets: int | None = None
     max_files: int | None = C.MAX_FILES_PER_TRIGGER
     max_bytes: int | None = None
     # Without it every state partition writes its own file per day and batch; a
@@ -62,6 +73,10 @@ class IngestConfig:
     # "1 minute" is a processing-time interval, a mapping has one per query name;
     # None runs batches back to back.
     trigger: str | Mapping[str, str] | None = "availableNow"
+    # Database all three results go to instead of the path tables (layout
+    # ``independent`` only). Credentials belong in the properties.
+    jdbc_url: str | None = None
+    jdbc_properties: Mapping[str, str] = field(default_factory=dict, repr=False)
     # Settings a query is started with where the session has none of its own.
     conf: dict[str, str] = field(default_factory=lambda: dict(STATE_CONF))
 
@@ -69,7 +84,8 @@ class IngestConfig:
 def realtime_positions(spark: SparkSession, config: IngestConfig) -> DataFrame:
     """Clean, deduplicated position stream."""
     snapshots = stream_snapshots(spark, config.files_dir, config.max_files, config.max_bytes)
-    return dedupe_stream(clean_snapshots(snapshots), config.delay, config.salt_buckets)
+    salts = config.salt_buckets or state_partitions(spark, config.state_partitions)
+    return dedupe_stream(clean_snapshots(snapshots), config.delay, salts)
 
 
 def for_files(rows: DataFrame, config: IngestConfig) -> DataFrame:
@@ -91,7 +107,8 @@ def begin(config: IngestConfig, df: DataFrame, name: str, mode: str, sink: Calla
         writer = writer.trigger(availableNow=True)
     elif trigger is not None:
         writer = writer.trigger(processingTime=trigger)
-    with scoped_conf(df.sparkSession, {**state_partitions(df.sparkSession), **config.conf}):
+    partitions = state_partitions(df.sparkSession, config.state_partitions)
+    with scoped_conf(df.sparkSession, config.conf, {SHUFFLE_PARTITIONS: str(partitions)}):
         return sink(writer)
 
 
@@ -103,6 +120,14 @@ def query_run(df: DataFrame) -> str:
     return run
 
 
+def save(rows: DataFrame, config: IngestConfig, run: str, batch_id: int) -> None:
+    """One batch of a table's rows to the job's sink."""
+    if config.jdbc_url is None:
+        write_batch(rows, config.out_dir, run_id=run, batch_id=batch_id)
+    else:
+        append_jdbc(rows, config.jdbc_url, dict(config.jdbc_properties))
+
+
 def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
     """Write each measure of a micro-batch to its own log.
 
@@ -119,7 +144,7 @@ def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
         try:
             for name in measures:
                 rows = labelled(groups, name, BY_CORRIDOR, True, config.tz)
-                write_batch(rows.repartition(PARTITION.name), config.out_dir, run_id=run, batch_id=batch_id)
+                save(rows.repartition(PARTITION.name), config, run, batch_id)
         finally:
             if shared:
                 groups.unpersist()
@@ -158,7 +183,7 @@ def start_stats_shared(spark: SparkSession, config: IngestConfig) -> StreamingQu
 
 def start_positions(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
     def write(rows: DataFrame, batch_id: int) -> None:
-        write_batch(rows, config.out_dir, "gpsdata", query_run(rows), batch_id)
+        save(rows, config, query_run(rows), batch_id)
 
     rows = for_files(realtime_positions(spark, config), config)
     return begin(config, rows, "positions", "update", lambda w: w.foreachBatch(write).start())
@@ -194,6 +219,8 @@ def run_ingest(spark: SparkSession, config: IngestConfig) -> list[StreamingQuery
     """
     if config.layout not in ("shared", "independent"):
         raise ValueError(f"unknown layout {config.layout!r}")
+    if config.jdbc_url is not None and config.layout == "shared":
+        raise ValueError("the shared layout streams statistics from position files; a database needs 'independent'")
     if config.layout == "shared":
         starts = [start_positions_shared, start_stats_shared]
     else:

@@ -99,3 +99,15 @@ def test_ingest_job(spark, tmp_path, monkeypatch):
     with pytest.raises(SystemExit):
         jobs.parse(["ingest", "only-one"])
     assert "fleetlens.plans.jobs" in sys.modules
+
+
+def test_ingest_command_line_reaches_the_job(tmp_path):
+    secrets = tmp_path / "db.json"
+    secrets.write_text('{"user": "u", "password": "p"}')
+    more = "--window|2 hours|--delay|5 minutes|--state-partitions|64|--salt-buckets|1|--files-per-batch|2".split("|")
+    args = jobs.parse(["ingest", "in", "out", "ck", *more, "--jdbc-url", "jdbc:x", "--jdbc-properties", str(secrets)])
+    job = jobs.ingest_config(args)
+    assert (job.window, job.delay, job.state_partitions, job.salt_buckets) == ("2 hours", "5 minutes", 64, 1)
+    assert (job.files_per_batch, job.layout, job.jdbc_url) == (2, "independent", "jdbc:x")
+    assert job.jdbc_properties == {"user": "u", "password": "p"} and "password" not in repr(job)
+    assert jobs.ingest_config(jobs.parse(["ingest", "in", "out", "ck"])).layout == "shared"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.dashboards import last_update
 from fleetlens.operators.positions import clean_snapshots, dedupe, dedupe_stream
 from fleetlens.operators.stats import combined_stats, window_speed, window_vehicles
+from fleetlens.schemas import TABLES
 from fleetlens.sources.snapshots import read_snapshots, stream_snapshots
 from fleetlens.sources.tables import read_table
 from fleetlens.streaming import ingest
@@ -357,3 +358,45 @@ def test_combined_stats_of_a_stream(spark, tmp_path):
         ("TransOeste", "10", 10.0, 1),
         ("TransOeste", "20", 5.0, 1),
     ]
+
+
+def test_database_sink_gets_all_three_results(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    calls = []
+
+    def jdbc(self, url, table, mode=None, properties=None):
+        calls.append((url, table, mode, properties, self._df.columns, self._df.count()))
+
+    monkeypatch.setattr(DataFrameWriter, "jdbc", jdbc)
+    job = config(tmp_path, layout="independent", jdbc_url="jdbc:x", jdbc_properties={"user": "u"})
+    fleet_files(tmp_path / "files")
+    land_file(tmp_path / "files" / "one", tmp_path / "landing")
+    ingest.run_ingest(spark, job)
+    written = {c[1]: c for c in calls if c[5]}
+    assert set(written) == set(TABLES)
+    for table, (url, _, mode, properties, columns, _) in written.items():
+        assert (url, mode, properties) == ("jdbc:x", "append", {"user": "u"})
+        assert columns == TABLES[table].fieldNames()
+    assert not (tmp_path / "tables").exists()
+    with pytest.raises(ValueError, match="independent"):
+        ingest.run_ingest(spark, config(tmp_path, jdbc_url="jdbc:x"))
+
+
+def test_state_partitions_are_kept_by_the_checkpoint(spark, tmp_path):
+    job = config(tmp_path, state_partitions=3)
+    fleet_files(tmp_path / "files")
+    land_file(tmp_path / "files" / "one", tmp_path / "landing")
+    queries = ingest.run_ingest(spark, job)
+    states = [o for q in queries for p in q.recentProgress for o in p["stateOperators"]]
+    assert states and {o["numShufflePartitions"] for o in states} == {3}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_a_cluster_must_state_its_partitions():
+    class Cluster:
+        sparkContext = type("Context", (), {"master": "spark://x:1", "defaultParallelism": 2})
+
+    with pytest.raises(ValueError, match="state partitions"):
+        ingest.state_partitions(Cluster, None)
+    assert ingest.state_partitions(Cluster, 400) == 400
