@@ -232,6 +232,18 @@ def oracles() -> dict[str, str]:
             """SELECT time_bucket(INTERVAL 10 MINUTE, datahora) AS window_start, corredor, true AS close
                FROM positions GROUP BY 1, 2""",
         ),
+        "vehicles_1h_known": after(
+            POSITIONS,
+            """SELECT corredor, count(DISTINCT codigo) AS qtd_carros, CAST(w AS DATE) AS data, strftime(w, '%H:%M') AS hora
+               FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, datahora) AS w FROM positions)
+               WHERE CAST(codigo AS BIGINT) % 4 = 0 GROUP BY w, corredor""",
+        ),
+        "stats_update_time": after(
+            POSITIONS,
+            """SELECT corredor, CAST(w AS DATE) AS data, strftime(w, '%H:%M') AS hora, true AS updated
+               FROM (SELECT DISTINCT corredor, time_bucket(INTERVAL 1 HOUR, datahora) AS w FROM positions)
+               CROSS JOIN (VALUES (1), (2)) AS log(number)""",
+        ),
         "vehicles_1h_approx": after(POSITIONS, EXACT_VEHICLES),
         "vehicles_1h_approx_error": after(
             POSITIONS,
@@ -378,6 +390,14 @@ def oracles() -> dict[str, str]:
             """SELECT CAST(datahora AS DATE) AS data, corredor, 2 * count(*) AS pings FROM positions
                GROUP BY 1, 2""",
         ),
+        "gps_table_archive": after(
+            POSITIONS, "SELECT CAST(datahora AS DATE) AS data, corredor, count(*) AS pings FROM positions GROUP BY 1, 2"
+        ),
+        "gps_catalog": after(
+            POSITIONS,
+            """SELECT CAST(datahora AS DATE) AS data, corredor, 2 * count(*) AS pings FROM positions
+               WHERE datahora >= TIMESTAMP '2024-01-30' GROUP BY 1, 2""",
+        ),
         "stats_tables": after(
             LOGS,
             """SELECT data, label, corredor, vel_media, qtd_carros

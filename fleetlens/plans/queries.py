@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from fleetlens.functions.vehicle import corridor_icon, mean
 from fleetlens.operators import dashboards, dimensions, heatmap, recent, stats, yearly
 from fleetlens.operators.positions import clean_snapshots, dedupe
 from fleetlens.plans import surrogate as S
-from fleetlens.schemas import STATION
+from fleetlens.schemas import STATION, append_to_catalog, create_tables
 from fleetlens.session import scratch_dir
 from fleetlens.sources import snapshots as snap
 from fleetlens.sources import stations as places
@@ -165,6 +165,22 @@ def vehicles_1h_approx_error(spark, sf_dir):
     )
 
 
+@register
+def vehicles_1h_known(spark, sf_dir):
+    """Windows in which no vehicle is known are left out."""
+    vehicle = F.when(F.col("codigo").cast("long") % 4 == 0, F.col("codigo"))
+    rows = S.positions(spark, sf_dir).withColumn("codigo", vehicle)
+    return stats.window_vehicles(rows, C.STREAM_WINDOW, positive_only=True).drop("atualizacao")
+
+
+@register
+def stats_update_time(spark, sf_dir):
+    """Every row of both logs carries the time it was computed at."""
+    rows, started = S.positions(spark, sf_dir), F.lit(datetime.now(timezone.utc))
+    logs = [log.select("corredor", "data", "hora", (F.col("atualizacao") >= started).alias("updated")) for log in stats.batch_stats(rows, C.STREAM_WINDOW)]
+    return logs[0].unionByName(logs[1])
+
+
 @register
 def stats_by_line(spark, sf_dir):
     return stats.combined_stats(S.positions(spark, sf_dir), exact_scale=S.SCALE).drop("datahora")
@@ -404,6 +420,31 @@ def gps_table_scan(spark, sf_dir):
     return tables.read_table(spark, root, "gpsdata").groupBy("data", "corredor").agg(F.count("*").alias("pings"))
 
 
+@register
+def gps_table_archive(spark, sf_dir):
+    """Days that are over are archived in two steps, the first one twice, and read with the open ones."""
+    root, history = scratch_dir(spark, "tables"), scratch_dir(spark, "archive")
+    tables.append(S.positions(spark, sf_dir), root)
+    first, middle, anchor = date(1970, 1, 1), date(2024, 1, 15), recent.as_moment(S.ANCHOR).date()
+    for since, before in ((first, middle), (first, middle), (middle, anchor)):
+        tables.archive(spark, root, "gpsdata", history, since, before)
+    rows = tables.read_archived(spark, root, "gpsdata", history, anchor)
+    return rows.groupBy("data", "corredor").agg(F.count("*").alias("pings"))
+
+
+@register
+def gps_catalog(spark, sf_dir):
+    """Catalog tables: created, appended to twice, read by day."""
+    place = scratch_dir(spark, "catalog")
+    database = f"fleet_{place.rsplit('-', 1)[-1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{place}'")
+    create_tables(spark, database)
+    for _ in range(2):
+        append_to_catalog(S.positions(spark, sf_dir), "gpsdata", database)
+    days = spark.table(f"{database}.gpsdata").where(F.col("data") >= F.lit(recent.as_moment(S.ANCHOR).date()))
+    return days.groupBy("data", "corredor").agg(F.count("*").alias("pings"))
+
+
 @register
 def stats_tables(spark, sf_dir):
     """Both logs routed to their tables by columns, charted from there."""

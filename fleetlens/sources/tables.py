@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,26 @@ def write_batch(
     return path
 
 
+def archive(spark: SparkSession, root: str, table: str, history: str, since: date, before: date) -> str:
+    """Copy the days from ``since`` up to ``before`` to the table in ``history``, in few files.
+
+    Days that are over do not change any more, so the many small folders a stream left of
+    them may be read from the copy instead, see ``read_archived``. Archiving the same days
+    again replaces the copy. The originals are left alone: no reader of the archive looks
+    at them, and they may be removed at any time after.
+    """
+    days = F.col(PARTITION.name)
+    rows = read_table(spark, root, table).where((days >= F.lit(since)) & (days < F.lit(before)))
+    return write_batch(rows, history, table, run_id=f"archive-{since:%Y%m%d}", batch_id=int(f"{before:%Y%m%d}"))
+
+
+def read_archived(spark: SparkSession, root: str, table: str, history: str, before: date) -> DataFrame:
+    """A table whose days before ``before`` are read from its archive, the others from where they were written."""
+    days = F.col(PARTITION.name)
+    old = read_table(spark, history, table).where(days < F.lit(before))
+    return old.unionByName(read_table(spark, root, table).where(days >= F.lit(before)))
+
+
 def append(df: DataFrame, root: str, table: str | None = None) -> str:
     """Append rows to a table, columns matched by name."""
     return write_batch(df, root, table)
