@@ -332,7 +332,8 @@ def reassemble(records: DataFrame) -> DataFrame:
             F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"),
             F.count_if(F.col("segment") == 1).alias("copies"),
         )
-        .withColumn("whole_block", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))"))
+        # Joined as strings, byte by byte and in one pass, however many segments there are.
+        .withColumn("whole_block", F.expr("cast(array_join(transform(parts, p -> cast(p.block as string)), '') as binary)"))
         .withColumn(
             "whole",
             F.expr(

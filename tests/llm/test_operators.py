@@ -123,6 +123,13 @@ def test_warc_round_trip(spark):
     assert got == want
 
 
+def test_warc_record_of_many_segments(spark):
+    html = "".join(f"<p>{i} é</p>" for i in range(60_000))
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    row = warc.round_trip(pages, segment_bytes=256).first()
+    assert row.valid and row.payload_digest == hashlib.sha256(html.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("harm", ["missing", "length", "chunk"])
 def test_warc_damage_is_told(spark, tmp_path, harm):
     path = str(tmp_path / "w")
