@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fleetlens.llm import quality_rules as Q
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_warc"] = """
@@ -21,6 +23,82 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+# What a measure is, and the least distance of its bound from the quartile, in bins.
+RATIOS = {
+    "symbol_share": "n_symbols / CAST(word_chars AS DOUBLE)",
+    "dup_line_share": "n_dup_lines / CAST(n_lines AS DOUBLE)",
+    "repeat_share": "n_repeat_words / CAST(n_words AS DOUBLE)",
+    "long_words": "word_chars / CAST(n_words AS DOUBLE)",
+    "short_words": "word_chars / CAST(n_words AS DOUBLE)",
+}
+REACH = ", ".join(f"('{name}', {high}, {slack / Q.BIN!r}::DOUBLE)" for name, (high, slack) in Q.MEASURES.items())
+BINS = ", ".join(f"{{m: '{name}', bin: CAST(floor({ratio} / {Q.BIN}::DOUBLE) AS BIGINT)}}" for name, ratio in RATIOS.items())
+
+# Rows are numbered, as ids may repeat; bins of a group are its quantile sketch.
+ORACLES["op2_quality_rules"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d
+), places AS (
+  SELECT r, unnest(range(1, len(words) - {Q.WINDOW} + 2)) AS pos, words FROM w WHERE len(words) > {Q.WINDOW}
+), windows AS (
+  SELECT r, pos, array_to_string(words[pos : pos + {Q.WINDOW - 1}], ' ') AS name FROM places
+), twice AS (
+  SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY r, name) > 1
+), repeated AS (
+  SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(pos, pos + {Q.WINDOW})) AS place FROM twice) GROUP BY r
+), lines AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
+), per_doc AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+), counts AS (
+  SELECT d.r, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM d JOIN w USING (r) LEFT JOIN repeated USING (r) LEFT JOIN per_doc USING (r)
+), bins AS (
+  SELECT r, lang, source, unnest([{BINS}], recursive := true) FROM counts WHERE n_words > 0
+), sketch AS (
+  SELECT lang, source, m, bin, count(*) AS n FROM bins GROUP BY ALL
+), levels AS (
+  SELECT *, sum(n) OVER own AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total
+  FROM (
+    SELECT 0 AS level, lang, source, m, bin, sum(n) AS n FROM sketch GROUP BY ALL
+    UNION ALL SELECT 1, lang, NULL, m, bin, sum(n) FROM sketch GROUP BY ALL
+    UNION ALL SELECT 2, NULL, NULL, m, bin, sum(n) FROM sketch GROUP BY ALL
+  ) WINDOW own AS (PARTITION BY level, lang, source, m ORDER BY bin)
+), quartiles AS (
+  SELECT level, lang, source, m, max(total) AS rows, min(bin) FILTER (upto * 4 >= total) AS low,
+    min(bin) FILTER (upto * 4 >= total * 2) AS mid, min(bin) FILTER (upto * 4 >= total * 3) AS high
+  FROM levels GROUP BY ALL
+), used AS (
+  SELECT a.lang, a.source, a.m,
+    CASE WHEN a.rows >= {Q.MIN_ROWS} THEN a WHEN b.rows >= {Q.MIN_ROWS} THEN b ELSE c END AS q
+  FROM quartiles a
+  JOIN quartiles b ON b.level = 1 AND b.m = a.m AND b.lang IS NOT DISTINCT FROM a.lang
+  JOIN quartiles c ON c.level = 2 AND c.m = a.m
+  WHERE a.level = 0
+), bounds AS (
+  SELECT lang, source, m, above, CASE WHEN above
+      THEN q.high + greatest(abs(q.high - q.mid) * {Q.SPREAD}::DOUBLE, slack)
+      ELSE q.low - greatest(abs(q.low - q.mid) * {Q.SPREAD}::DOUBLE, slack) END AS bound
+  FROM used JOIN (VALUES {REACH}) AS s(m, above, slack) USING (m)
+), failures AS (
+  SELECT b.r, string_agg(b.m, ',' ORDER BY list_position({list(Q.MEASURES)}, b.m)) AS failed
+  FROM bins b JOIN bounds t ON t.m = b.m AND t.lang IS NOT DISTINCT FROM b.lang AND t.source IS NOT DISTINCT FROM b.source
+  WHERE CASE WHEN above THEN b.bin > bound ELSE b.bin < bound END GROUP BY b.r
+), judged AS (
+  SELECT *, coalesce(failed, '') AS failures, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM counts LEFT JOIN failures USING (r)
+)
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+  failures AS failed, NOT base_failed AND failures = '' AS kept
+FROM judged
+"""
+
 ORACLES["op6_topk"] = """
 WITH w AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -38,6 +116,40 @@ WITH w AS (
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
 
+# Texts in hexadecimal, two digits a byte, cut in overlapping parts so that windows are
+# taken from short strings.
+ORACLES["op9_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+    hex(encode(coalesce(text, ''))) AS h
+  FROM documents
+), parts AS (
+  SELECT r, k, 512 * p AS first, substr(h, 1024 * p + 1, 1122) AS part
+  FROM (SELECT r, k, h, unnest(range(0, length(h) // 1024 + 1)) AS p FROM d)
+), windows AS (
+  SELECT r, k, first + i AS pos, substr(part, 2 * i + 1, 100) AS name
+  FROM (SELECT r, k, first, part, unnest(range(0, least(512, length(part) // 2 - 49))) AS i FROM parts WHERE length(part) >= 100)
+), repeated AS (
+  SELECT r, pos FROM windows QUALIFY min(k) OVER (PARTITION BY name) < k
+), marked AS (
+  SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS new FROM repeated
+), numbered AS (
+  SELECT r, pos, sum(new) OVER (PARTITION BY r ORDER BY pos) AS run FROM marked
+), spans AS (
+  SELECT r, run, min(pos) AS a, max(pos) + 50 AS b FROM numbered GROUP BY r, run
+), gaps AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM spans
+), per_doc AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last_end,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+  FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_end, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per_doc USING (r)
+"""
+
 
 def oracles() -> dict[str, str]:
     return dict(ORACLES)

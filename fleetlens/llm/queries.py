@@ -30,7 +30,8 @@ def op1_warc(spark, sf_dir):
 @register
 def op2_quality_rules(spark, sf_dir):
     """Counts of each document and the verdict of thresholds by language and source."""
-    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    found = quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return found.withColumn("failed", F.array_join("failed", ","))
 
 
 @register
