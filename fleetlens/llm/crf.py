@@ -177,7 +177,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> Mod
     x = np.concatenate(rows)
     chains = Chains(sizes)
     each = np.repeat(labels.astype(float), sizes)
-    # A document counts as one, however many lines it has.
+    # Every line counts alike, as the likelihood of a chain grows with its lines.
     observed_steps = np.diag([((sizes - 1) * (labels == 0)).sum(), ((sizes - 1) * (labels == 1)).sum()]).astype(float)
     scale = 1.0 / len(x)
     moments = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
