@@ -24,8 +24,8 @@ for a name that every block has: it costs its part 16 to 32 bytes a block. For s
 corpora ``BLOCK_BYTES`` is the number to raise.
 
 Names are not compared byte by byte: two different strings with one 64-bit name would
-count as equal. Among n names that is expected n^2 / 2^65 times: 0.002 times for the
-contexts of a terabyte's thousandth, some 2,000 times for those of a terabyte.
+count as equal. Among n names that is expected n^2 / 2^65 times at most, with a name for
+every 17 bytes: 0.0001 times in a gigabyte, 100 times in a terabyte.
 
 Edge cases: a null text is an empty one; texts under 50 bytes keep everything; matches
 never cross documents; a repeat within one document alone stays; null ids count as
