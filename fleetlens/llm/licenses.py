@@ -1,13 +1,15 @@
 """License scans by sentence rules.
 
 A text is cut into sentences, each is normalised (lower case, letters and digits only)
-and looked up among known licence sentences. What is then matched is the sequence of
-sentence ids, against ordered rules: a rule is a licence and the ids that must follow
+and looked up among known licence sentences, which are cut the same way and whose parts
+have an id each; equal parts share one. What is then matched is the sequence of
+ids, against ordered rules: a rule is a licence and the ids that must follow
 each other, with at most ``GAP`` unknown sentences between two of them. Rules are tried
 at each known sentence in order, longer rules first; a match uses up its sentences.
+The endorsement sentence is known with any holder's name in it.
 
 Edge cases: a null text has no sentences; a known sentence that no rule can use is
-counted as loose; a licence found twice is two hits and one entry of ``licenses``; texts
+counted as loose, each part of it for itself; a licence found twice is two hits and one entry of ``licenses``; texts
 of any length are read whole; rows that repeat an id each get a row; an empty table gives
 no rows; other columns are not read.
 """
@@ -24,6 +26,12 @@ from fleetlens.llm.common import map_batches
 
 GAP = 1
 
+# A sentence ends with a mark before white space, a colon or semicolon too, or at a
+# blank line. A single line end is white space, as licences are wrapped; lines that are
+# a known sentence on their own are found as well, see ``sentences``.
+ENDS = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n")
+APART = re.compile(r"[^0-9a-z]+")
+
 # Sentences of public licences, by id.
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -56,8 +64,8 @@ SENTENCES = {
     "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
 
-# Rules in the order tried among those of equal length.
-RULES = (
+# Rules in the order tried among those of equal length, by whole sentences.
+WHOLE_RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-released",)),
     ("MIT", ("mit-licensed",)),
@@ -79,19 +87,41 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
 )
 
-# A sentence ends with a mark before white space, a colon or semicolon too, or at a
-# blank line. A single line end is white space, as licences are wrapped; lines that are
-# a known sentence on their own are found as well, see ``sentences``.
-ENDS = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n")
-APART = re.compile(r"[^0-9a-z]+")
-
-
 def normal(sentence: str) -> str:
     return APART.sub(" ", sentence.lower()).strip()
 
 
+def cut_sentences() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
+    """Ids of the normalised parts of all known sentences, and the ids of each sentence's parts."""
+    known: dict[str, str] = {}
+    parts: dict[str, tuple[str, ...]] = {}
+    for name, sentence in SENTENCES.items():
+        cut = [normal(part) for part in ENDS.split(sentence)]
+        parts[name] = tuple(
+            known.setdefault(part, name if len(cut) == 1 else f"{name}-{i}") for i, part in enumerate(cut, 1)
+        )
+    return known, parts
+
+
 def known_sentences() -> dict[str, str]:
-    return {normal(sentence): name for name, sentence in SENTENCES.items()}
+    return cut_sentences()[0]
+
+
+PARTS = cut_sentences()[1]
+RULES = tuple((licence, tuple(part for name in names for part in PARTS[name])) for licence, names in WHOLE_RULES)
+
+# The endorsement sentence before and after the holder's name. Marks in a name
+# ("Example, Inc.") may cut it, into a few pieces.
+ENDORSE, HOLDER = "bsd-endorse", "the copyright holder"
+BEFORE_HOLDER, AFTER_HOLDER = normal(SENTENCES[ENDORSE]).split(HOLDER)
+HOLDER_PIECES = 4
+
+
+def name_of(sentence: str, known: dict[str, str]) -> str | None:
+    key = normal(sentence)
+    if key.startswith(BEFORE_HOLDER) and key.endswith(AFTER_HOLDER) and len(key) > len(BEFORE_HOLDER) + len(AFTER_HOLDER):
+        return ENDORSE
+    return known.get(key)
 
 
 def sentences(text: str, known: dict[str, str]) -> list[str | None]:
@@ -100,11 +130,17 @@ def sentences(text: str, known: dict[str, str]) -> list[str | None]:
     A sentence of several lines that is not known as a whole is taken line by line.
     """
     found: list[str | None] = []
-    for sentence in ENDS.split(text):
-        name = known.get(normal(sentence))
+    cut, at = ENDS.split(text), 0
+    while at < len(cut):
+        sentence, at = cut[at], at + 1
+        name = name_of(sentence, known)
+        if name is None and normal(sentence).startswith(BEFORE_HOLDER.rstrip()):
+            whole = next((n for n in range(1, HOLDER_PIECES) if name_of(" ".join([sentence, *cut[at : at + n]]), known)), 0)
+            if whole:
+                name, at = ENDORSE, at + whole
         if name is None and "\n" in sentence:
             lines = [line for line in sentence.split("\n") if line.strip()]
-            found += [known.get(normal(line)) for line in lines]
+            found += [name_of(line, known) for line in lines]
         elif name is not None or sentence.strip():
             found.append(name)
     return found

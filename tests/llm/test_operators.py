@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from array import array
 from collections import Counter
@@ -356,6 +357,28 @@ def test_every_rule_matches_its_own_sentences():
             assert licenses.match(ids, licenses.by_length())[0][0][0] in (licence, "BSD-3-Clause")
 
 
+def test_every_rule_matches_its_full_text(spark):
+    texts = []
+    for licence, names in licenses.WHOLE_RULES:
+        whole = [licenses.SENTENCES[name] for name in names]
+        wrapped = "\n\n".join("# " + "\n# ".join(textwrap.wrap(sentence, 70)) for sentence in whole)
+        texts += [(licence, "\n\n".join(whole)), (licence, wrapped), (licence, "Some words.\n\n" + wrapped + "\n\nMore words.")]
+        if licence != "Apache-2.0":  # whose sentence before the address has no mark at its end
+            texts.append((licence, " ".join(whole)))
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [(rows[i].licenses, rows[i].n_hits, rows[i].n_loose) for i in range(len(texts))] == [(x, 1, 0) for x, _ in texts]
+    assert all(any(hint in part for hint in licenses.HINTS) for part in licenses.known_sentences())
+
+
+@pytest.mark.parametrize("holder", ["the University of California, Berkeley", "Example Co. Ltd.", "Example, Inc.", "the author"])
+def test_endorsement_with_the_holders_name(holder):
+    names = ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")
+    text = "\n".join(f"{i or ''}. {licenses.SENTENCES[name]}" for i, name in enumerate(names))
+    ids = licenses.sentences(text.replace("the copyright holder", holder), licenses.known_sentences())
+    assert [hit[0] for hit in licenses.match(ids, licenses.by_length())[0]] == ["BSD-3-Clause"]
+
+
 # Top-k
 
 
