@@ -61,8 +61,9 @@ ALLOWED = (
     re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+"),  # a long word
     re.compile(r"([A-Za-z]+[-_/+=])+[A-Za-z]*"),  # words joined by signs
     re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # identifiers
-    re.compile(r".*(EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh|ABCDEFGH).*"),  # placeholders
 )
+# No window reaches into a placeholder; what is before and after it is read.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|X{4,}|x{4,}|0123456789|abcdefgh|ABCDEFGH")
 
 WEIGHT = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -118,12 +119,18 @@ def cover(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
     return held
 
 
+def between_placeholders(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    edges = [start, *(edge for m in PLACEHOLDER.finditer(text, start, end) for edge in m.span()), end]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b - a >= WINDOW]
+
+
 def entropy_spans(candidates: list[re.Match], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     parts = [
-        (candidate.string, *candidate.span())
+        (candidate.string, *part)
         for candidate in candidates
         if not any(rule.fullmatch(candidate[0]) for rule in ALLOWED)
+        for part in between_placeholders(candidate.string, *candidate.span())
     ]
     for kind, alphabet, least, digits in CLASSES if parts else ():
         held, added = cover(base + found), []

@@ -468,6 +468,15 @@ def test_plain_runs_are_no_secrets(text):
     assert not [s for s in secret_scan.spans_of(text)[1] if s[0].startswith("entropy")]
 
 
+def test_a_placeholder_hides_only_itself():
+    strange = "Zx9Kq2Lm7Pw4Rt8Yv1Bn5Cd3Fg6Hj0"
+    for text in (f"api/example/v1/{strange}", f"{strange}xxxx{strange}", f"{strange}/EXAMPLE"):
+        covered = {x for _, a, b in secret_scan.spans_of(text)[1] for x in range(a, b)}
+        assert {x for m in re.finditer(strange, text) for x in range(*m.span())} <= covered
+        assert strange not in secret_scan.mask(text)
+        assert secret_scan.mask(secret_scan.mask(text)) == secret_scan.mask(text)
+
+
 # Packing
 
 
