@@ -8,12 +8,15 @@ score is the mean of its lines' forward-backward marginals of "good", weighted b
 length of the lines.
 
 The fit sees at most ``SAMPLE`` labelled documents, those with the smallest hash of
-their id, so the driver holds a bounded number of feature rows; everything else runs in
-tasks over whole texts. Features come from the text alone.
+their id and text, where copies of a text under one id are one document, and at most
+``SAMPLE_LINES`` of their lines: beyond that the documents with the most lines give only
+their first ones, all of them equally many. So the driver holds a bounded number of feature
+rows; everything else runs in tasks over whole texts, and whole texts are scored.
+Features come from the text alone.
 
 Edge cases: a null or empty text is one empty line and gets a score; very long texts
 are chains of as many lines as they have; labels that are null are not learned from; a
-document labelled twice counts twice; if nothing is labelled every score is 0.5; rows
+document labelled good and bad counts twice; if nothing is labelled every score is 0.5; rows
 that repeat an id each get a row; an empty table gives no rows; other columns are kept by
 ``accepted`` and not read by ``scores``.
 """
@@ -25,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_batches, texts_of
+from fleetlens.llm.common import map_batches, staged, texts_of
 
 SAMPLE = 4000
+SAMPLE_LINES = 500_000
 ROUNDS = 250
 RATE = 0.1
 RIDGE = 1e-3
@@ -191,19 +195,42 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> Mod
     return Model(weights, step)
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows (doc_id, quality) of ``labelled`` that ``docs`` has."""
-    known = labelled.where("quality IN (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    ids = texts.select("_id").join(known, "_id")
-    chosen = ids.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample).distinct()
+def line_limit(counts: list[int], total: int) -> int:
+    """The most lines a document may give so that all give at most ``total``, one each at least."""
+    left = total
+    for at, count in enumerate(sorted(counts)):
+        share = left // (len(counts) - at)
+        if count > share:
+            return max(share, 1)
+        left -= count
+    return max(counts, default=1)
+
+
+def train(
+    docs: DataFrame,
+    labelled: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample: int = SAMPLE,
+    lines: int = SAMPLE_LINES,
+) -> Model:
+    """Fit on at most ``sample`` documents of ``docs`` in ``labelled`` (doc_id, quality) and ``lines`` of their lines."""
+    known = labelled.where("quality IN (0, 1)").select(F.col("doc_id").alias("_id"), "quality").distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_hash"))
+    ids = texts.select("_id", "_hash").distinct().join(known, "_id")
+    chosen = ids.orderBy(F.xxhash64("_id", "_hash"), "_id", "_hash", "quality").limit(sample)
+    # ``chosen`` has at most ``sample`` rows of three numbers; of copies one is taken.
+    found = texts.join(F.broadcast(chosen), ["_id", "_hash"]).groupBy("_id", "_hash", "quality").agg(F.min("text").alias("text"))
+    found = staged(found, "crf-sample")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    limit = line_limit([r["n"] for r in found.select(n_lines.alias("n")).collect()], lines)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [features(raw)[0] for raw in texts_of(batch, "text")]
-        return {"quality": batch.column("quality"), "_id": batch.column("_id"), "x": [f.astype("<f4").tobytes() for f in found]}
+        given = [features(raw)[0][:limit] for raw in texts_of(batch, "text")]
+        return {"quality": batch.column("quality"), "_id": batch.column("_id"), "x": [f.astype("<f4").tobytes() for f in given]}
 
-    # ``chosen`` has at most ``sample`` rows of two numbers.
-    picked = map_batches(texts.join(F.broadcast(chosen), "_id"), rows, "quality int, _id long, x binary")
+    picked = map_batches(found.select("_id", "quality", "text"), rows, "quality int, _id long, x binary")
     table = sorted(picked.collect(), key=lambda r: (r["_id"], r["quality"], bytes(r["x"])))
     return fit(
         [np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float) for r in table],

@@ -598,6 +598,21 @@ def test_classifier_holds_out(spark):
     assert sum(tried) / len(tried) >= 0.95
 
 
+def test_fit_takes_copies_once_and_a_bounded_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(crf, "fit", lambda rows, labels: (rows, labels))
+    rows = [(i % 3, f"copy of {i % 3}\n") for i in range(90)] + [(i, f"text {i} of its own " + "w " * i) for i in range(10, 16)]
+    rows += [(20, "a line\n" * 999 + "the end"), (21, None), (1, "another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(30), *range(3)]], "doc_id long, quality int")
+    whole, _ = crf.train(df, labels)
+    assert sorted(map(len, whole)) == [1] * 8 + [2] * 3 + [1000]
+    some, marks = crf.train(df, labels, sample=8)
+    assert len(some) == len(marks) == 8 and len({x.tobytes() for x in some}) >= 6
+    cut, _ = crf.train(df, labels, lines=50)
+    assert sorted(map(len, cut)) == [1] * 8 + [2] * 3 + [36]
+    assert crf.line_limit([], 5) == 1 and crf.line_limit([3, 4], 7) == 4 and crf.line_limit([9, 9, 1], 7) == 3
+
+
 def test_scores_do_not_depend_on_other_rows(docs):
     rng = np.random.default_rng(0)
     model = crf.Model(rng.normal(size=crf.FEATURES), rng.normal(size=(2, 2)))
