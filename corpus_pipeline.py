@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix with their place in sequences."""
-    return packing.pack(docs)
+    """Pieces of the mix with their tokens and their place in sequences."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -648,3 +648,13 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF_DIR).collect()
     check_sequences([(r.sequence_id, r.offset, r.length) for r in packed])
     assert {r.doc_id for r in packed} == {r.doc_id for r in after.select("doc_id").collect()}
+
+
+def test_pipeline_gives_whole_sequences(spark):
+    packed = corpus_pipeline.run(spark, SF_DIR).cache()
+    rows = packed.collect()
+    assert all(len(r.ids) == r.length for r in rows)
+    size = Counter()
+    for r in rows:
+        size[r.sequence_id] += r.length
+    assert {r.sequence_id: len(r.ids) for r in packing.sequences(packed).collect()} == dict(size)
