@@ -150,6 +150,48 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN per_doc USING (r)
 """
 
+# Every contiguous run of one to five words of a piece; whole numbers of 128 bits.
+ORACLES["op13_collocations"] = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM d
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM places, (VALUES (1), (2), (3), (4), (5)) AS s(size) WHERE i + size - 1 <= len(w)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, count(*) AS n FROM places GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size >= 2
+), scores AS (
+  SELECT c.lang, c.phrase, c.a, c.size, c.k, x.f AS l, y.f AS r, n.n,
+    (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT DISTINCT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, a
+  FROM (SELECT lang, a, size, string_split(phrase, ' ') AS w, unnest(range(1, size + 1)) AS i FROM (SELECT lang, phrase, size, f AS a FROM f WHERE size >= 2)),
+    (VALUES (2), (3), (4)) AS t(s)
+  WHERE s < size AND i + s - 1 <= size
+), whole AS (
+  SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN whole o USING (lang, phrase) WHERE o.most IS NULL OR o.most < c.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS "rank",
+  phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY "rank" <= 2000
+"""
+
 
 def oracles() -> dict[str, str]:
     return dict(ORACLES)

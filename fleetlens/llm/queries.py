@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import crf, licenses, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, warc
+from fleetlens.llm import collocations, crf, licenses, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,3 +84,9 @@ def op10_quality_crf(spark, sf_dir):
 def op9_suffix_dedup(spark, sf_dir):
     """Bytes of each document that repeat from a document with a smaller id."""
     return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register
+def op13_collocations(spark, sf_dir):
+    """The first 2000 phrase collocations of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
