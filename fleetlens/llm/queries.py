@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import collocations, crf, licenses, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, warc
+from fleetlens.llm import collocations, crf, hard_negatives, licenses, mixing, nnls_packing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,6 +86,21 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@register
+def op11_hard_negatives(spark, sf_dir):
+    """Ten negatives for each positive of every hundredth vector."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label)
+
+
+@register
+def op12_nnls_packing(spark, sf_dir):
+    """All documents as pieces in sequences of 1024 tokens, nearly without padding."""
+    packed = nnls_packing.pack(table(spark, sf_dir, "documents"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
 @register
 def op13_collocations(spark, sf_dir):
     """The first 2000 phrase collocations of each language."""
