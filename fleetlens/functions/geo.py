@@ -61,6 +61,18 @@ def pixel_y(lat: Column, view: Viewport) -> Column:
     return round_half_up(world_y(lat, view.zoom) - world_y(F.lit(float(view.north)), view.zoom))
 
 
+def view_size(view: Viewport) -> tuple[int, int]:
+    """Width and height of a viewport in pixels, as whole numbers."""
+    size = float(C.TILE_SIZE * 2**view.zoom)
+
+    def merc(lat: float) -> float:
+        sin_lat = min(max(math.sin(math.radians(lat)), -C.MAX_SIN_LAT), C.MAX_SIN_LAT)
+        return math.log((1.0 + sin_lat) / (1.0 - sin_lat)) / (4.0 * math.pi)
+
+    across = (view.east - view.west) % 360.0 if view.wraps else view.east - view.west
+    return math.ceil(size * across / 360.0), math.ceil(size * (merc(view.north) - merc(view.south)))
+
+
 def point_radius(
     radius: Column | None, default: float | None, zoom: int, scale_radius: bool = False
 ) -> Column:

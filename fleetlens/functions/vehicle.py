@@ -63,7 +63,12 @@ def mean(value: Column, exact_scale: int | None = None) -> Column:
     return total(value, exact_scale) / F.count(value)
 
 
+def summand(value: Column, exact_scale: int | None = None) -> Column:
+    """What is added up: the value, or a decimal, whose sums do not depend on their order."""
+    return value if exact_scale is None else value.cast(f"decimal(18,{exact_scale})")
+
+
 def total(value: Column, exact_scale: int | None = None) -> Column:
     if exact_scale is None:
         return F.sum(value)
-    return F.sum(value.cast(f"decimal(18,{exact_scale})")).cast("double")
+    return F.sum(summand(value, exact_scale)).cast("double")

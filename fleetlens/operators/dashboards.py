@@ -133,14 +133,26 @@ def chart_payload(
     return gathered.select(content.alias("content"), F.col("rows.label").alias("categories"))
 
 
-def speed_chart(stats_vel: DataFrame, anchor: str | date | datetime, per_day: bool = True) -> DataFrame:
+def speed_chart(
+    stats_vel: DataFrame,
+    anchor: str | date | datetime,
+    per_day: bool = True,
+    until: date | None = None,
+    reduce: str = "max",
+) -> DataFrame:
     """Chart of mean speed: by hour (``per_day``), or by day over the last seven."""
     days, axis = (C.HOUR_VIEW_DAYS, HOUR) if per_day else (C.SPEED_VIEW_DAYS, DAY)
-    return chart_payload(chart_rows(stats_vel, "vel_media", anchor, days), "vel_media", axis)
+    return chart_payload(chart_rows(stats_vel, "vel_media", anchor, days, until, reduce), "vel_media", axis)
 
 
-def vehicle_chart(stats_qtd: DataFrame, anchor: str | date | datetime, per_day: bool = True) -> DataFrame:
+def vehicle_chart(
+    stats_qtd: DataFrame,
+    anchor: str | date | datetime,
+    per_day: bool = True,
+    until: date | None = None,
+    reduce: str = "max",
+) -> DataFrame:
     """Chart of vehicle counts: by hour (``per_day``), or by day over the last six."""
     days, axis = (C.HOUR_VIEW_DAYS, HOUR) if per_day else (C.VEHICLE_VIEW_DAYS, DAY)
-    rows = chart_rows(stats_qtd, "qtd_carros", anchor, days)
+    rows = chart_rows(stats_qtd, "qtd_carros", anchor, days, until, reduce)
     return chart_payload(rows, "qtd_carros", axis, stack=C.VEHICLE_STACK)

@@ -14,6 +14,8 @@ from fleetlens.functions.vehicle import mean
 STAT_COLUMNS = ("data", "hora", "atualizacao")
 BY_CORRIDOR = ("corredor",)
 LEVELS = ("corredor", "linha", "sentido")
+# The measure that is a sketch of vehicles, see ``operators.sketches``.
+SKETCH = "carros"
 
 
 def vehicle_count(approx: bool = False, rsd: float | None = None) -> Column:
@@ -35,7 +37,8 @@ def grouped(
 def labelled(groups: DataFrame, measure: str, by: Sequence[str], positive_only: bool, tz: str | None) -> DataFrame:
     """One measure of windowed groups with day, hour label and update time."""
     start = F.col("window.start")
-    kept = groups.filter(F.col(measure) > 0) if positive_only else groups
+    size = F.hll_sketch_estimate(measure) if measure == SKETCH else F.col(measure)
+    kept = groups.filter(size > 0) if positive_only else groups
     return kept.select(
         *by,
         measure,

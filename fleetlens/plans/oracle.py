@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from fleetlens import constants as C
+from fleetlens.functions.geo import Viewport, view_size
+from fleetlens.operators.nearest import squeeze_at
 
 POSITIONS = """
 raw AS (
@@ -20,7 +22,7 @@ raw AS (
     CASE WHEN event_id % 23 = 0 THEN 0.0e0 ELSE value END AS velocidade,
     CASE WHEN event_id % 2 = 0 THEN 'ida' ELSE 'volta' END AS sentido,
     -23.1e0 + (user_id % 100) * 0.004e0 AS latitude,
-    -43.8e0 + (user_id % 140) * 0.005e0 AS longitude
+    -43.8e0 + (user_id % 140) * 0.005e0 AS longitude, event_id
   FROM events),
 lined AS (
   SELECT *, trim(split_part(trajeto, '-', 1)) AS linha
@@ -28,7 +30,7 @@ lined AS (
   WHERE trajeto IS NOT NULL AND codlinha IS NOT NULL
     AND (codlinha LIKE '5_____' OR codlinha LIKE '__A' OR codlinha LIKE '__')),
 positions AS (
-  SELECT codigo, linha, latitude, longitude, datahora, ts, velocidade, sentido, trajeto,
+  SELECT codigo, linha, latitude, longitude, datahora, ts, event_id, velocidade, sentido, trajeto,
     CASE WHEN linha LIKE '1%' OR linha LIKE '2%' THEN 'TransOeste'
          WHEN linha LIKE '3%' OR linha LIKE '4%' THEN 'TransCarioca'
          WHEN linha LIKE '5%' THEN 'TransOlímpica'
@@ -181,6 +183,21 @@ year_rows AS (
   SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) + 1 AS VARCHAR), CAST(o_orderkey AS DOUBLE), NULL FROM orders)
 """
 
+METRICS = """
+WITH objects AS (
+  SELECT o_orderkey, year(o_orderdate) AS y, o_totalprice, o_custkey FROM orders),
+metrics AS (
+  SELECT o_orderkey, CAST(y AS VARCHAR) AS year, 'internet' AS metric, o_totalprice AS value FROM objects
+  UNION ALL SELECT o_orderkey, CAST(y AS VARCHAR), 'm' || (o_custkey % 5), CAST(o_custkey AS DOUBLE) FROM objects
+  UNION ALL SELECT o_orderkey, CAST(y AS VARCHAR), 'note', NULL FROM objects
+  UNION ALL SELECT o_orderkey, CAST(y + 1 AS VARCHAR), '0', CAST(o_orderkey AS DOUBLE) FROM objects)
+"""
+
+DAY_VEHICLES = """
+SELECT CAST(datahora AS DATE) AS data, corredor, count(DISTINCT codigo) AS exact, true AS close
+FROM positions GROUP BY 1, 2
+"""
+
 # Runs the replayed history is cut into, and the hourly mean after each run.
 RUNS = (
     POSITIONS
@@ -194,6 +211,45 @@ runs AS (
 )
 
 
+# Pings of a tenth come last; those of an hour that is closed by then are late.
+ROUTED = (
+    POSITIONS
+    + """,
+opened AS (
+  SELECT date_trunc('hour', max(datahora) - INTERVAL 10 MINUTE) AS since FROM positions WHERE event_id % 10 <> 0),
+fates AS (
+  SELECT p.*, event_id % 10 = 0 AND datahora < since AS late FROM positions p, opened),
+kept AS (SELECT * FROM fates WHERE NOT late)
+"""
+)
+
+
+def kernel(zoom: int) -> str:
+    """Heat of one zoom: cells of 8 pixels within a point's radius."""
+    view = Viewport(north=-22.75, south=-23.0, east=-43.2, west=-43.7, zoom=zoom)
+    width, height = view_size(view)
+    pixels = PIXELS.format(
+        size=f"{256 * 2**zoom}.0e0",
+        lng="longitude",
+        west="-43.7e0",
+        merc=merc("latitude"),
+        merc_north=merc("-22.75e0"),
+        radius="CASE WHEN velocidade > 50 THEN CAST(CAST(floor(velocidade) AS BIGINT) % 30 + 10 AS DOUBLE) ELSE 10.0e0 END",
+        inside=INSIDE,
+    )
+    return f"""
+        SELECT {zoom} AS zoom, cell_x, cell_y,
+          CAST(sum(CAST(floor(v * (1.0e0 - share) * 1000000.0e0) AS BIGINT)) AS DOUBLE) / 1000000.0e0 AS intensity,
+          CAST(sum(n) AS BIGINT) AS points
+        FROM (
+          SELECT *, (((cell_x + 0.5e0) * 8.0e0 - x) * ((cell_x + 0.5e0) * 8.0e0 - x)
+            + ((cell_y + 0.5e0) * 8.0e0 - y) * ((cell_y + 0.5e0) * 8.0e0 - y)) / (radius * radius) AS share
+          FROM (SELECT x, y, radius, CAST(sum(CAST(count AS DECIMAL(18,2))) AS DOUBLE) AS v, count(*) AS n
+                FROM ({pixels}) GROUP BY ALL),
+            range(0, {(width - 1) // 8 + 1}) AS cx(cell_x), range(0, {(height - 1) // 8 + 1}) AS cy(cell_y))
+        WHERE share < 1 GROUP BY cell_x, cell_y"""
+
+
 def after(ctes: str, query: str) -> str:
     return f"WITH {ctes} {query}"
 
@@ -415,6 +471,102 @@ def oracles() -> dict[str, str]:
         ),
         "stream_vehicles_1h": after(POSITIONS, EXACT_VEHICLES),
         "stream_late_drop": after(RUNS, f"SELECT {COLUMNS} FROM runs WHERE run <> 1"),
+        "heat_kernel": after(POSITIONS, " UNION ALL ".join(kernel(zoom) for zoom in (9, 11, 12))),
+        "heat_levels": after(
+            POSITIONS,
+            f"""SELECT zoom,
+                  array_to_string(list_transform(range(zoom - 1, -1, -1),
+                    lambda i: ((tile_y >> i) & 1) * 2 + ((tile_x >> i) & 1)), '') AS quadkey, tile_x, tile_y,
+                  CAST(sum(CAST(velocidade AS DECIMAL(18,2))) AS DOUBLE) AS intensity, count(*) AS points
+                FROM (
+                  SELECT CAST(z AS INTEGER) AS zoom, velocidade,
+                    CAST(floor((1 << z) * (0.5e0 + longitude / 360.0e0)) AS BIGINT) AS tile_x,
+                    CAST(floor((1 << z) * (0.5e0 - {merc("latitude")})) AS BIGINT) AS tile_y
+                  FROM positions, range(6, 15) AS t(z))
+                GROUP BY zoom, tile_x, tile_y""",
+        ),
+        "gps_by_place": after(
+            POSITIONS,
+            """SELECT CAST(datahora AS DATE) AS data, corredor, count(*) AS pings, true AS skips FROM positions
+               WHERE latitude BETWEEN -22.86e0 AND -22.80e0 AND longitude BETWEEN -43.48e0 AND -43.36e0
+               GROUP BY 1, 2""",
+        ),
+        "nearest_station": after(
+            POSITIONS + "," + STATIONS,
+            f"""SELECT codigo, datahora, estacao, distance2
+                FROM positions JOIN (
+                  SELECT p.latitude, p.longitude, s.estacao,
+                    (p.latitude - s.latitude) * (p.latitude - s.latitude)
+                      + (p.longitude - s.longitude) * (p.longitude - s.longitude) * {squeeze_at(-22.9)!r}::DOUBLE AS distance2
+                  FROM (SELECT DISTINCT latitude, longitude FROM positions) p, stations s
+                  WHERE s.latitude IS NOT NULL AND s.longitude IS NOT NULL
+                  QUALIFY row_number() OVER (PARTITION BY p.latitude, p.longitude ORDER BY distance2, s.estacao) = 1)
+                USING (latitude, longitude)""",
+        ),
+        "next_stop": after(
+            POSITIONS + "," + STATIONS + """, stops AS (
+              SELECT CAST(l_orderkey AS VARCHAR) AS linha, CASE WHEN l_returnflag = 'R' THEN 'volta' ELSE 'ida' END AS sentido,
+                CAST(l_linenumber AS INTEGER) AS sequencia, 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS estacao
+              FROM lineitem),
+            following AS (
+              SELECT linha, sentido, estacao, proxima FROM (
+                SELECT *, lead(estacao) OVER (PARTITION BY linha, sentido ORDER BY sequencia, estacao) AS proxima FROM stops)
+              QUALIFY row_number() OVER (PARTITION BY linha, sentido, estacao ORDER BY sequencia, proxima NULLS FIRST) = 1)""",
+            f"""SELECT codigo, datahora, linha, sentido, estacao, proxima
+                FROM positions LEFT JOIN (
+                  SELECT p.latitude, p.longitude, p.linha, p.sentido, t.estacao,
+                    (p.latitude - s.latitude) * (p.latitude - s.latitude)
+                      + (p.longitude - s.longitude) * (p.longitude - s.longitude) * {squeeze_at(-22.9)!r}::DOUBLE AS distance2
+                  FROM (SELECT DISTINCT linha, sentido, latitude, longitude FROM positions) p
+                  JOIN (SELECT DISTINCT linha, sentido, estacao FROM stops) t ON t.linha = p.linha AND t.sentido = p.sentido
+                  JOIN stations s ON s.source = 'supplier' AND s.estacao = t.estacao AND s.latitude IS NOT NULL
+                  QUALIFY row_number() OVER (
+                    PARTITION BY p.linha, p.sentido, p.latitude, p.longitude ORDER BY distance2, t.estacao) = 1)
+                USING (latitude, longitude, linha, sentido)
+                LEFT JOIN following USING (linha, sentido, estacao)""",
+        ),
+        "metric_rows": METRICS + " SELECT * FROM metrics",
+        "metric_extent": METRICS
+        + """ SELECT metric, min(make_date(CAST(year AS INTEGER), 1, 1)) AS first_year,
+               max(make_date(CAST(year AS INTEGER), 1, 1)) AS last_year, min(value) AS least, max(value) AS most,
+               count(value) AS values FROM metrics GROUP BY metric""",
+        "vehicles_day_sketched": after(POSITIONS, DAY_VEHICLES),
+        "stream_vehicles_day": after(POSITIONS, DAY_VEHICLES),
+        "vehicles_rollup_sketched": after(
+            POSITIONS,
+            """SELECT corredor, data, CAST(2 - bit_count(CAST(grouping(corredor, data) AS INTEGER)) AS INTEGER) AS level,
+                 count(DISTINCT codigo) AS exact, true AS close
+               FROM (SELECT *, CAST(datahora AS DATE) AS data FROM positions) GROUP BY ROLLUP (corredor, data)""",
+        ),
+        "stream_upsert": after(POSITIONS, speed_1h),
+        "stream_late_table": after(
+            ROUTED,
+            """SELECT corredor, count(*) AS sent, count(*) FILTER (WHERE NOT late) AS kept, count(*) FILTER (WHERE late) AS late,
+                 true AS whole
+               FROM fates GROUP BY corredor""",
+        ),
+        "stream_routed_speed": after(
+            ROUTED,
+            WINDOW.format(measure="vel_media", length="1 HOUR", expr=MEAN, source="kept", having="WHERE vel_media > 0"),
+        ),
+        "stream_progress": after(
+            RUNS.replace("FROM deduped)", "FROM positions)"),
+            """SELECT 'positions' AS name, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS dropped_rows,
+                 true AS all_runs
+               FROM runs WHERE run = 1""",
+        ),
+        "stream_rate_limit": after(
+            POSITIONS, "SELECT corredor, count(*) AS pings, true AS limited FROM deduped GROUP BY corredor"
+        ),
+        "stream_chart": after(
+            POSITIONS + ", hourly AS (" + speed_1h + "), shown AS ("
+            "SELECT hora, corredor, max(vel_media) AS vel_media FROM hourly WHERE data = DATE '2024-01-30' GROUP BY ALL)",
+            """SELECT n.name, CAST(row_number() OVER (PARTITION BY n.name ORDER BY d.hora) - 1 AS INTEGER) AS position,
+                 d.hora AS category, s.vel_media AS value
+               FROM (SELECT DISTINCT hora FROM shown) d
+               CROSS JOIN (VALUES ('TransCarioca'), ('TransOeste'), ('TransOlímpica')) AS n(name)
+               LEFT JOIN shown s ON s.hora = d.hora AND s.corredor = n.name""",
+        ),
         "stream_extrema": after(
             POSITIONS, "SELECT max(velocidade) AS max, min(velocidade) AS min FROM positions"
         ),

@@ -1,12 +1,14 @@
-"""The registered queries: one per operator, over the test tables."""
+"""The registered queries: one per operator, over the test tables.
+
+Those of the map, of table upkeep and of streaming state have modules of their own.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime, timedelta, timezone
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -14,56 +16,32 @@ from fleetlens.functions.geo import Viewport
 from fleetlens.functions.vehicle import corridor_icon, mean
 from fleetlens.operators import dashboards, dimensions, heatmap, recent, stats, yearly
 from fleetlens.operators.positions import clean_snapshots, dedupe
+from fleetlens.plans import map_queries, state_queries, table_queries  # noqa: F401
 from fleetlens.plans import surrogate as S
+from fleetlens.plans.feeds import slices, stream_config
+from fleetlens.plans.registry import QUERIES, before, plain_times, register  # noqa: F401
 from fleetlens.schemas import STATION, append_to_catalog, create_tables
 from fleetlens.session import scratch_dir
 from fleetlens.sources import snapshots as snap
 from fleetlens.sources import stations as places
 from fleetlens.sources import tables
+from fleetlens.sources.paths import spread
 from fleetlens.streaming import ingest
 from fleetlens.streaming.extrema import running_extrema
-from fleetlens.streaming.replay import replay, time_cuts
-
-Query = Callable[[SparkSession, str], DataFrame]
+from fleetlens.streaming.replay import replay
 
 VIEW = Viewport(north=-22.75, south=-23.0, east=-43.2, west=-43.7, zoom=12)
 WRAPPED_VIEW = Viewport(north=-22.8, south=-23.1, east=-43.6, west=-43.3, zoom=3)
-# Times the replayed history is cut at, within an hour so that windows span two runs.
-CUTS = ("2024-01-11 12:30:00", "2024-01-21 06:40:00")
-# Days of one replayed slice, each of which is one micro-batch.
-SLICE_DAYS = 30
 
 # Relative error of the checked sketches (the default).
 RSD = 0.05
 
-QUERIES: dict[str, Query] = {}
-
-
-def register(query: Query) -> Query:
-    QUERIES[query.__name__] = query
-    return query
-
-
-def plain_times(df: DataFrame) -> DataFrame:
-    """Timestamps without zone, as the test tables have them."""
-    return df.select(
-        *[
-            F.col(name).cast("timestamp_ntz").alias(name) if kind == "timestamp" else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
-
 
 def close_enough(errors: int = 6) -> Column:
     """Sketch within so many standard errors of the exact count, or one vehicle."""
     return F.expr(f"abs(approx - exact) <= greatest(1.0D, {errors * RSD}D * exact)")
 
 
-def before(**span: int) -> datetime:
-    """A time before the anchor."""
-    return recent.as_moment(S.ANCHOR) - timedelta(**span)
-
-
 # Snapshots to positions
 
 
@@ -79,7 +57,7 @@ def snapshot_scan(spark, sf_dir):
     docs = S.snapshots(spark, sf_dir, repeats=True)
     day = F.date_trunc("day", F.timestamp_millis(F.col("veiculos")[0].datahora.cast("long")))
     landed = docs.withColumn("landed", F.date_format(day, "yyyyMMddHHmmss"))
-    tables.spread(landed, "landed").write.partitionBy("landed").json(landing)
+    spread(landed, "landed").write.partitionBy("landed").json(landing)
     read = snap.with_snapshot_time(snap.read_snapshots(spark, landing), r"landed=(\d{14})")
     per_doc = read.select("snapshot_ts", F.explode("veiculos").alias("v"))
     return plain_times(
@@ -420,18 +398,6 @@ def gps_table_scan(spark, sf_dir):
     return tables.read_table(spark, root, "gpsdata").groupBy("data", "corredor").agg(F.count("*").alias("pings"))
 
 
-@register
-def gps_table_archive(spark, sf_dir):
-    """Days that are over are archived in two steps, the first one twice, and read with the open ones."""
-    root, history = scratch_dir(spark, "tables"), scratch_dir(spark, "archive")
-    tables.append(S.positions(spark, sf_dir), root)
-    first, middle, anchor = date(1970, 1, 1), date(2024, 1, 15), recent.as_moment(S.ANCHOR).date()
-    for since, before in ((first, middle), (first, middle), (middle, anchor)):
-        tables.archive(spark, root, "gpsdata", history, since, before)
-    rows = tables.read_archived(spark, root, "gpsdata", history, anchor)
-    return rows.groupBy("data", "corredor").agg(F.count("*").alias("pings"))
-
-
 @register
 def gps_catalog(spark, sf_dir):
     """Catalog tables: created, appended to twice, read by day."""
@@ -461,32 +427,6 @@ def stats_tables(spark, sf_dir):
 # Streams
 
 
-def slices(spark: SparkSession, sf_dir: str, fixed: bool = False) -> list[DataFrame]:
-    """The whole history cut by time: where an hour is split, and every ``SLICE_DAYS`` days.
-
-    Only the fixed cuts are made for queries whose result depends on them.
-    """
-    cuts = set(CUTS)
-    if not fixed:
-        cuts |= set(time_cuts(S.table(spark, sf_dir, "events"), "ts", SLICE_DAYS))
-    edges = [None, *sorted(cuts), None]
-    return [S.snapshots(spark, sf_dir, lo, hi, repeats=True) for lo, hi in zip(edges, edges[1:])]
-
-
-def stream_config(spark: SparkSession) -> ingest.IngestConfig:
-    """New folders and query names; a landed slice is one micro-batch."""
-    root = scratch_dir(spark, "stream")
-    return ingest.IngestConfig(
-        f"{root}/landing",
-        f"{root}/tables",
-        f"{root}/checkpoints",
-        name_prefix=f"{root.rsplit('-', 1)[-1]}-",
-        exact_scale=S.SCALE,
-        max_files=None,
-        state_partitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
-
-
 @register
 def stream_positions(spark, sf_dir):
     """Replay through the positions query, restarted after every slice."""

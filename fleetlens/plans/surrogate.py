@@ -49,10 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def snapshots(
-    spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None, repeats: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    since: str | None = None,
+    until: str | None = None,
+    repeats: bool = False,
+    where: str = "true",
 ) -> DataFrame:
     """Snapshot documents; with ``repeats`` every third vehicle is in its document twice."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").filter(where)
     if since is not None:
         events = events.filter(f"ts >= TIMESTAMP_NTZ '{since}'")
     if until is not None:
@@ -184,3 +189,12 @@ def country_years(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey AS o_custkey", "n_name AS country"
     )
     return year_objects(spark, sf_dir).join(homes, "o_custkey").select("o_orderkey", "country", "body")
+
+
+def metric_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON objects of metrics by year: an order's metrics depend on its customer, and one is a list."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        """concat('{"', year(o_orderdate), '": {"internet": ', o_totalprice, ', "m', o_custkey % 5, '": ', o_custkey,
+            ', "note": "x"}, "', year(o_orderdate) + 1, '": [', o_orderkey, ']}') AS body""",
+    )

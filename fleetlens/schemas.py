@@ -73,6 +73,17 @@ STATS_QTD = T.StructType(
     ]
 )
 
+# Sketches of distinct vehicles, which add up where the counts of ``stats_qtd`` do not.
+STATS_SKETCH = T.StructType(
+    [
+        T.StructField("corredor", T.StringType()),
+        T.StructField("carros", T.BinaryType()),
+        T.StructField("data", T.DateType()),
+        T.StructField("hora", T.StringType()),
+        T.StructField("atualizacao", T.TimestampType()),
+    ]
+)
+
 STATS = T.StructType(
     [
         T.StructField("window_start", T.TimestampType()),
@@ -97,7 +108,14 @@ ITINERARY = T.StructType(
     ]
 )
 
-TABLES = {"gpsdata": GPSDATA, "stats_vel": STATS_VEL, "stats_qtd": STATS_QTD}
+TABLES = {
+    "gpsdata": GPSDATA,
+    "stats_vel": STATS_VEL,
+    "stats_qtd": STATS_QTD,
+    "stats_sketch": STATS_SKETCH,
+    # Pings whose hour was closed when they came.
+    "gpsdata_late": GPSDATA,
+}
 
 # Every table is partitioned by day. ``gpsdata`` has no day of its own, so one
 # is derived from ``datahora`` when it is written.
@@ -136,7 +154,7 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """Create the three tables in the session catalog, partitioned by day."""
+    """Create the tables in the session catalog, partitioned by day."""
     for table in TABLES:
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored_schema(table).fields)
         spark.sql(

@@ -7,15 +7,15 @@ Layout: ``<root>/<table>/run_id=<run>/batch_id=<n>/data=<day>/*.parquet``. One
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from datetime import date
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fleetlens.schemas import PARTITION, TABLES, align, stored_schema, with_partition_day
-from fleetlens.session import shuffle_width
+from fleetlens.sources.paths import exists, spread
+
 
 def route(df: DataFrame) -> str:
     """Table a result belongs to, told by its columns."""
@@ -23,25 +23,37 @@ def route(df: DataFrame) -> str:
         return "stats_vel"
     if "qtd_carros" in df.columns:
         return "stats_qtd"
+    if "carros" in df.columns:
+        return "stats_sketch"
     return "gpsdata"
 
 
-def read_table(spark: SparkSession, root: str, table: str, columns: tuple[str, ...] = ()) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    columns: tuple[str, ...] = (),
+    metadata: Mapping[str, str] | None = None,
+    streamed: bool = True,
+) -> DataFrame:
     """A table's own columns, its day, and any layout ``columns`` asked for.
 
-    Filters on ``data`` prune folders; ``stats_*`` have it as a column anyway.
+    Filters on ``data`` prune folders; ``stats_*`` have it as a column anyway. ``metadata`` adds
+    fields of Spark's file metadata under names of the caller's. ``streamed=False`` leaves out what
+    Spark's file sink wrote.
     """
     schema = stored_schema(table)
     read = spark.read.schema(schema)
-    wanted = [*schema.fieldNames(), *columns]
+    of_file = [F.col(f"_metadata.{field}").alias(name) for name, field in (metadata or {}).items()]
+    wanted = [*schema.fieldNames(), *columns, *of_file]
     sink = sink_path(root, table)
-    if not exists(spark, sink):
+    if not streamed or not exists(spark, sink):
         return read.parquet(f"{root}/{table}").select(*wanted)
-    streamed = read.parquet(sink)
-    streamed = streamed.select(*schema.fieldNames(), *[F.lit(None).cast("string").alias(c) for c in columns])
+    sunk = read.parquet(sink)
+    sunk = sunk.select(*schema.fieldNames(), *[F.lit(None).cast("string").alias(c) for c in columns], *of_file)
     if not exists(spark, f"{root}/{table}"):
-        return streamed
-    return read.parquet(f"{root}/{table}").select(*wanted).unionByName(streamed)
+        return sunk
+    return read.parquet(f"{root}/{table}").select(*wanted).unionByName(sunk)
 
 
 def sink_path(root: str, table: str) -> str:
@@ -53,27 +65,6 @@ def sink_path(root: str, table: str) -> str:
     return f"{root}/{table}-stream"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def spread(rows: DataFrame, column: str) -> DataFrame:
-    """Rows spread by a folder column and their source task, for a partitioned write.
-
-    AQE's rebalance cuts what is too large for one task and joins what is small.
-    The source task is part of it as sizes are compressed ones: copies of one
-    row weigh next to nothing, however many a folder gets. There are as many parts as a
-    shuffle has partitions; AQE joins small ones. Without AQE (as in a
-    stateful micro-batch) nothing would cut a large folder, so rows are left where
-    they are.
-    """
-    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
-        return rows
-    part = F.pmod(F.spark_partition_id(), F.lit(shuffle_width(rows.sparkSession))).alias("part")
-    return rows.select("*", part).hint("rebalance", column, "part").drop("part")
-
-
 def write_batch(
     df: DataFrame, root: str, table: str | None = None, run_id: str | None = None, batch_id: int = 0
 ) -> str:
@@ -86,26 +77,6 @@ def write_batch(
     return path
 
 
-def archive(spark: SparkSession, root: str, table: str, history: str, since: date, before: date) -> str:
-    """Copy the days from ``since`` up to ``before`` to the table in ``history``, in few files.
-
-    Days that are over do not change any more, so the many small folders a stream left of
-    them may be read from the copy instead, see ``read_archived``. Archiving the same days
-    again replaces the copy. The originals are left alone: no reader of the archive looks
-    at them, and they may be removed at any time after.
-    """
-    days = F.col(PARTITION.name)
-    rows = read_table(spark, root, table).where((days >= F.lit(since)) & (days < F.lit(before)))
-    return write_batch(rows, history, table, run_id=f"archive-{since:%Y%m%d}", batch_id=int(f"{before:%Y%m%d}"))
-
-
-def read_archived(spark: SparkSession, root: str, table: str, history: str, before: date) -> DataFrame:
-    """A table whose days before ``before`` are read from its archive, the others from where they were written."""
-    days = F.col(PARTITION.name)
-    old = read_table(spark, history, table).where(days < F.lit(before))
-    return old.unionByName(read_table(spark, root, table).where(days >= F.lit(before)))
-
-
 def append(df: DataFrame, root: str, table: str | None = None) -> str:
     """Append rows to a table, columns matched by name."""
     return write_batch(df, root, table)
@@ -135,7 +106,7 @@ def append_jdbc(df: DataFrame, url: str, properties: dict[str, str], table: str
 
 
 def jdbc_writer(url: str, properties: dict[str, str], table: str | None = None) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function over JDBC; a replayed batch is appended again."""
+    """``foreachBatch`` function over JDBC; a replayed batch is appended again, unlike by ``sources.database``."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         append_jdbc(df, url, properties, table)

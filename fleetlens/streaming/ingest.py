@@ -10,6 +10,9 @@ its watermark is never ahead of the rows it still has to read.
 
 ``independent`` starts three queries, each from the snapshots, as separate as
 they can be: one may be stopped, rescaled or restarted without the others.
+
+``routed`` is one query that loses nothing: late pings have a table of their own and
+statistics are those of all that was kept (``streaming.routed``).
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from fleetlens import constants as C
 from fleetlens.functions.vehicle import mean
 from fleetlens.operators.positions import clean_snapshots, dedupe_stream
-from fleetlens.operators.stats import BY_CORRIDOR, grouped, labelled, vehicle_count
+from fleetlens.operators.sketches import vehicle_sketch
+from fleetlens.operators.stats import BY_CORRIDOR, SKETCH, grouped, labelled, vehicle_count
 from fleetlens.schemas import PARTITION, stored_schema, with_partition_day
 from fleetlens.session import (
     CHANGELOG,
@@ -35,7 +39,10 @@ from fleetlens.session import (
     state_partitions,
 )
 from fleetlens.sources.snapshots import stream_snapshots
-from fleetlens.sources.tables import append_jdbc, sink_path, write_batch
+from fleetlens.sources.database import append_once
+from fleetlens.sources.tables import sink_path, write_batch
+from fleetlens.sources.upsert import upsert_batch
+from fleetlens.streaming.progress import ProgressTable
 
 # Planned trigger intervals of the three independent queries.
 PLANNED_TRIGGERS = {"positions": "1 minute", "speed": "1 hour", "vehicles": "1 day"}
@@ -57,6 +64,10 @@ class IngestConfig:
     window: str = C.STREAM_WINDOW
     delay: str = C.WATERMARK_DELAY
     rsd: float | None = None
+    # Base-2 logarithm of the size of vehicle sketches; without it none are kept.
+    sketch_lg_k: int | None = None
+    # One row per window and corridor, replaced by later updates, instead of the update log.
+    upsert: bool = False
     exact_scale: int | None = None
     tz: str | None = None
     # Partitions of all state; must be stated on a cluster, as checkpoints keep it.
@@ -66,6 +77,10 @@ class IngestConfig:
     salt_buckets: int | None = None
     max_files: int | None = C.MAX_FILES_PER_TRIGGER
     max_bytes: int | None = None
+    # Limit of the statistics' micro-batches in the shared layout. A part of a commit of
+    # positions then moves the watermark, so ``stats_delay`` must cover the event times of one.
+    stats_max_bytes: int | None = None
+    stats_delay: str | None = None
     # Without it every state partition writes its own file per day and batch; a
     # number spreads each batch's new positions evenly over that many tasks.
     files_per_batch: int | None = None
@@ -77,6 +92,8 @@ class IngestConfig:
     # ``independent`` only). Credentials belong in the properties.
     jdbc_url: str | None = None
     jdbc_properties: Mapping[str, str] = field(default_factory=dict, repr=False)
+    # Table of progress reports, kept if stated.
+    progress_dir: str | None = None
     # Settings a query is started with where the session has none of its own.
     conf: dict[str, str] = field(default_factory=lambda: dict(STATE_CONF))
 
@@ -92,7 +109,13 @@ def for_files(rows: DataFrame, config: IngestConfig) -> DataFrame:
     return rows if config.files_per_batch is None else rows.repartition(config.files_per_batch)
 
 
+def measures_of(config: IngestConfig) -> tuple[str, ...]:
+    return ("vel_media", "qtd_carros", *([SKETCH] if config.sketch_lg_k else []))
+
+
 def measure(config: IngestConfig, name: str):
+    if name == SKETCH:
+        return vehicle_sketch(config.sketch_lg_k)
     if name == "vel_media":
         return mean(F.col("velocidade"), config.exact_scale)
     return vehicle_count(approx=True, rsd=config.rsd)
@@ -121,11 +144,11 @@ def query_run(df: DataFrame) -> str:
 
 
 def save(rows: DataFrame, config: IngestConfig, run: str, batch_id: int) -> None:
-    """One batch of a table's rows to the job's sink."""
+    """One batch of a table's rows to the job's sink; a replayed batch is there once in each."""
     if config.jdbc_url is None:
         write_batch(rows, config.out_dir, run_id=run, batch_id=batch_id)
     else:
-        append_jdbc(rows, config.jdbc_url, dict(config.jdbc_properties))
+        append_once(rows, config.jdbc_url, dict(config.jdbc_properties), run, batch_id)
 
 
 def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
@@ -144,7 +167,10 @@ def stats_sink(config: IngestConfig, measures: tuple[str, ...]) -> Callable:
         try:
             for name in measures:
                 rows = labelled(groups, name, BY_CORRIDOR, True, config.tz)
-                save(rows.repartition(PARTITION.name), config, run, batch_id)
+                if config.upsert:
+                    upsert_batch(rows, config.out_dir, run, batch_id)
+                else:
+                    save(rows.repartition(PARTITION.name), config, run, batch_id)
         finally:
             if shared:
                 groups.unpersist()
@@ -176,9 +202,11 @@ def start_stats_shared(spark: SparkSession, config: IngestConfig) -> StreamingQu
     path, schema = sink_path(config.out_dir, "gpsdata"), stored_schema("gpsdata")
     # A stream cannot start on a folder that is not there yet; this makes an empty one.
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy(PARTITION.name).parquet(path)
-    gps = spark.readStream.schema(schema).parquet(path)
-    marked = gps.withWatermark("datahora", config.delay)
-    return start_stats(config, marked, ("vel_media", "qtd_carros"), "stats")
+    reader = spark.readStream.schema(schema)
+    if config.stats_max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", config.stats_max_bytes)
+    marked = reader.parquet(path).withWatermark("datahora", config.stats_delay or config.delay)
+    return start_stats(config, marked, measures_of(config), "stats")
 
 
 def start_positions(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
@@ -194,7 +222,7 @@ def start_speed(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
 
 
 def start_vehicles(spark: SparkSession, config: IngestConfig) -> StreamingQuery:
-    return start_stats(config, realtime_positions(spark, config), ("qtd_carros",), "vehicles")
+    return start_stats(config, realtime_positions(spark, config), measures_of(config)[1:], "vehicles")
 
 
 def finish(query: StreamingQuery) -> None:
@@ -203,7 +231,10 @@ def finish(query: StreamingQuery) -> None:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped, over the progress reports Spark keeps."""
+    """Rows the watermark dropped, over the last hundred reports, which Spark keeps.
+
+    ``streaming.progress`` has those of a query's whole life.
+    """
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress
@@ -217,20 +248,35 @@ def run_ingest(spark: SparkSession, config: IngestConfig) -> list[StreamingQuery
     A bounded run is over when this returns. Otherwise the queries are running
     and ``wait_all`` waits for them.
     """
-    if config.layout not in ("shared", "independent"):
+    from fleetlens.streaming.routed import start_routed
+
+    layouts = {
+        "shared": [start_positions_shared, start_stats_shared],
+        "independent": [start_positions, start_speed, start_vehicles],
+        "routed": [start_routed],
+    }
+    if config.layout not in layouts:
         raise ValueError(f"unknown layout {config.layout!r}")
-    if config.jdbc_url is not None and config.layout == "shared":
-        raise ValueError("the shared layout streams statistics from position files; a database needs 'independent'")
-    if config.layout == "shared":
-        starts = [start_positions_shared, start_stats_shared]
-    else:
-        starts = [start_positions, start_speed, start_vehicles]
+    if config.jdbc_url is not None and config.layout != "independent":
+        raise ValueError(f"the {config.layout} layout reads its position files; a database needs 'independent'")
+    if config.jdbc_url is not None and config.upsert:
+        raise ValueError("a database gets the update log; rows are replaced in path tables only")
+    if config.stats_max_bytes is not None and config.stats_delay is None:
+        raise ValueError("limited statistics need stats_delay, as long as the event times of one commit of positions")
+    bounded, listener = config.trigger == "availableNow", None
+    if config.progress_dir is not None:
+        listener = ProgressTable(spark, config.progress_dir)
+        spark.streams.addListener(listener)
     queries = []
-    for start in starts:
-        query = start(spark, config)
-        if config.trigger == "availableNow":
-            finish(query)
-        queries.append(query)
+    try:
+        for start in layouts[config.layout]:
+            query = start(spark, config)
+            if bounded:
+                (listener.finish if listener else finish)(query)
+            queries.append(query)
+    finally:
+        if listener and bounded:
+            spark.streams.removeListener(listener)
     return queries
 
 
