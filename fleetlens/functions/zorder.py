@@ -39,10 +39,11 @@ def interleaved(x: Column, y: Column) -> Column:
 
 
 def axis_cell(value: Column, low: float, high: float, bits: int) -> Column:
-    """Cell of a value on an axis, in one of ``2^bits``; values beyond the ends are in the outermost ones."""
+    """Cell of a value on an axis, in one of ``2^bits``; values beyond the ends are in the outermost
+    ones, a null in none."""
     cells = float(2**bits)
     cell = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(cells))
-    return F.least(F.greatest(cell, F.lit(0)), F.lit(2**bits - 1))
+    return F.when(value.isNotNull(), F.least(F.greatest(cell, F.lit(0)), F.lit(2**bits - 1)))
 
 
 def z_key(lat: Column, lng: Column, bits: int = BITS) -> Column:

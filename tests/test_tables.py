@@ -1,7 +1,6 @@
 """Tables: routing, append by name, replays, catalog, pruning."""
 
 from datetime import date, datetime
-from pathlib import Path
 
 import pytest
 from helpers import plan_of, rows
@@ -12,6 +11,7 @@ from fleetlens.operators.recent import recent_positions
 from fleetlens.schemas import STATS_VEL, TABLES, align, append_to_catalog, create_tables, stored_schema, with_partition_day
 from fleetlens.session import scoped_conf, scratch_dir, shuffle_conf
 from fleetlens.sources import tables as T
+from fleetlens.sources.paths import spread
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +78,7 @@ def test_a_large_day_is_cut_with_aqe(spark, tmp_path):
 def test_rows_stay_in_place_without_aqe(spark, gps, tmp_path):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        assert "Exchange" not in plan_of(T.spread(gps.withColumn("data", F.to_date("datahora")), "data"))
+        assert "Exchange" not in plan_of(spread(gps.withColumn("data", F.to_date("datahora")), "data"))
         T.append(gps, str(tmp_path))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -200,20 +200,3 @@ def test_absurd_times_are_null(spark):
     df = spark.sql("SELECT explode(array(1e30D, 1e16D, -1e18D, double('NaN'), null, 1503828000789D)) AS ms")
     got = [r.t for r in df.select(event_time(F.col("ms")).cast("long").alias("t")).collect()]
     assert got == [None, None, None, None, None, 1503828000]
-
-
-def test_archive_reads_back_every_row(spark, tmp_path):
-    root, history = str(tmp_path / "live"), str(tmp_path / "history")
-    days = spark.sql(
-        "SELECT 'A' AS codigo, timestamp'2017-08-26 10:00:00Z' + make_dt_interval(CAST(id AS INT)) AS datahora FROM range(4)"
-    )
-    for _ in range(3):
-        T.append(days, root, "gpsdata")
-    first, before = date(2017, 1, 1), date(2017, 8, 28)
-    for _ in range(2):
-        path = T.archive(spark, root, "gpsdata", history, first, before)
-    assert len(list(Path(path).glob("data=*/*.parquet"))) == 2
-    T.append(days, root, "gpsdata")  # rows of closed days that come after do not count
-    both = T.read_archived(spark, root, "gpsdata", history, before)
-    assert sorted(r["count"] for r in both.groupBy("data").count().collect()) == [3, 3, 4, 4]
-    assert both.schema == T.read_table(spark, root, "gpsdata").schema
