@@ -13,6 +13,7 @@ from fleetlens.operators.dashboards import last_update
 from fleetlens.operators.positions import clean_snapshots, dedupe, dedupe_stream
 from fleetlens.operators.stats import combined_stats, window_speed, window_vehicles
 from fleetlens.schemas import TABLES
+from fleetlens.sources import database
 from fleetlens.sources.snapshots import read_snapshots, stream_snapshots
 from fleetlens.sources.tables import read_table
 from fleetlens.streaming import ingest
@@ -361,9 +362,11 @@ def test_combined_stats_of_a_stream(spark, tmp_path):
 
 
 def test_database_sink_gets_all_three_results(spark, tmp_path, monkeypatch):
-    from pyspark.sql.readwriter import DataFrameWriter
+    from pyspark.sql.readwriter import DataFrameReader, DataFrameWriter
 
     calls = []
+    # No batch is in the ledger yet.
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda *_, **__: spark.createDataFrame([], database.LEDGER_SCHEMA))
 
     def jdbc(self, url, table, mode=None, properties=None):
         calls.append((url, table, mode, properties, self._df.columns, self._df.count()))
@@ -374,10 +377,10 @@ def test_database_sink_gets_all_three_results(spark, tmp_path, monkeypatch):
     land_file(tmp_path / "files" / "one", tmp_path / "landing")
     ingest.run_ingest(spark, job)
     written = {c[1]: c for c in calls if c[5]}
-    assert set(written) == set(TABLES)
+    assert set(written) == {"gpsdata", "stats_vel", "stats_qtd", database.LEDGER}
     for table, (url, _, mode, properties, columns, _) in written.items():
         assert (url, mode, properties) == ("jdbc:x", "append", {"user": "u"})
-        assert columns == TABLES[table].fieldNames()
+        assert table == database.LEDGER or columns == [*TABLES[table].fieldNames(), database.ATTEMPT]
     assert not (tmp_path / "tables").exists()
     with pytest.raises(ValueError, match="independent"):
         ingest.run_ingest(spark, config(tmp_path, jdbc_url="jdbc:x"))
