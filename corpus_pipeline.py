@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written to
 the shared folder and read back as the next one's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever else they are called.
+
+Edge cases: a document with a null or empty text is one empty line to the classifier, which scores it; if it
+stays, all such documents are one group of near-duplicates, and the mix takes no words of them. Rows that repeat an
+id are documents each; equal ones are near-duplicates, so one of them stays. A null id takes part like any other.
+If nothing is labelled, every score is 0.5 and nothing is rejected. An empty table gives no rows. Very long texts go
+through whole.
 """
 
 from __future__ import annotations

@@ -26,6 +26,11 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows_at_once(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows, for rows that are megabytes each."""
+    return scoped_conf(spark, {}, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,3 +66,21 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     for value in batch.column(column):
         raw = value.as_buffer()
         yield raw.to_pybytes() if raw is not None else b""
+
+
+def printable() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies, reversed.
+
+    Bytes that print stand for themselves, the others take the characters from 256 on in order.
+    """
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+PRINTABLE = printable()
+
+
+def bytes_of(word: str) -> bytes:
+    """Bytes of an entry of a byte-level vocabulary."""
+    return bytes(PRINTABLE[c] for c in word)

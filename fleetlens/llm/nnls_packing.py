@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import staged, texts_of
+from fleetlens.llm.common import bytes_of, staged, texts_of
 from fleetlens.llm.packing import tokenizer_path
 
 WINDOW = 1024
@@ -125,23 +125,6 @@ def encoder(tokenizer: str):
     return lambda texts: map(one, texts)
 
 
-def printable() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies, reversed.
-
-    Bytes that print stand for themselves, the others take the characters from 256 on in order.
-    """
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-PRINTABLE = printable()
-
-
-def bytes_of(word: str) -> bytes:
-    return bytes(PRINTABLE[c] for c in word)
-
-
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """Sets of two or three of the lengths that fill the window, descending, padded with 0."""
     occurs = np.zeros(window + 1, bool)

@@ -10,7 +10,8 @@ histogram of lengths, which has at most ``capacity`` entries whatever the corpus
 
 Equal lengths are handled in runs, so the plan is a list of runs "pieces i to j of length
 n lie in sequences a to b at offset o". Its size depends on the capacity alone. Pieces
-are numbered within their length by a distributed count and look their run up.
+are numbered within their length by the task that made them and a count of the tasks before, and
+look their run up; neither pieces nor ids are shuffled.
 
 Edge cases: a null text is an empty one, which is the end mark alone; rows that
 repeat an id are packed each on its own; an empty table gives no rows; other columns are
@@ -21,9 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import staged, texts_of
+from fleetlens.llm.common import bytes_of, staged, texts_of
 
 CAPACITY = 2048
 END = 0
-# Parts in which pieces of one length are counted; raise for more than some
-# billion pieces.
-BUCKETS = 1024
 # Distinct words a Python worker keeps the ids of; it starts over beyond that.
 CACHE_WORDS = 800_000
 # Bytes of text whose new words are encoded together.
@@ -46,6 +44,11 @@ TEXT_AT_ONCE = 1 << 20
 # Marks that end a word: the tokenizer splits them off as well.
 TAIL = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?=\s|$)")
 
+# Words the fast encoder takes: printable, and of letters whose lower case and composed form every
+# library agrees on.
+PLAIN = "[!-~\u00a1-\u024f]+"
+WORD_END, END_BYTE = "</w>", b"\0"
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,6 +66,105 @@ def words_of(raw: bytes) -> list[bytes]:
     return (raw if b"<|" in raw else TAIL.sub(rb" \1", raw.lower())).split()
 
 
+class Words(dict):
+    """Gives every new word the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def raw_word(word: str) -> bytes:
+    """Bytes of a vocabulary entry, a byte of its own for the end of a word."""
+    return bytes_of(word[: -len(WORD_END)]) + END_BYTE if word.endswith(WORD_END) else bytes_of(word)
+
+
+class Encoder:
+    """Ids of texts, word by word: each distinct word is encoded once."""
+
+    def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
+        import tokenizers
+
+        self.whole = tokenizers.Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        vocabulary, merges = read["model"]["vocab"], read["model"]["merges"]
+        self.split = regex.compile(read["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.plain = regex.compile(PLAIN).fullmatch
+        # The same merges for an encoder of byte strings: a word's end is a byte of its own, which
+        # joins the byte before it first of all.
+        ends = [w for w in vocabulary if w.endswith(WORD_END) and len(w) == 1 + len(WORD_END)]
+        words = [*ends, *("".join(pair) for pair in merges), *(w for w in vocabulary if len(w) == 1)]
+        ranks = {raw_word(word): rank for rank, word in enumerate(words)}
+        known = [vocabulary[word] for word in words]
+        for byte in range(256):
+            ranks.setdefault(bytes([byte]), len(ranks))
+        self.ids = np.array(known + [-1] * (len(ranks) - len(known)), np.int64)
+        self.closes = np.zeros(len(ranks), bool)
+        self.closes[[rank for raw, rank in ranks.items() if raw.endswith(END_BYTE)]] = True
+        self.fast = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.flat, self.sizes = Words(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        own, parts, counts, others = [], [], [], []
+        for place, word in enumerate(words):
+            if word.isalpha():
+                own.append(place)
+                parts.append(word.lower().decode())
+                counts.append(1)
+                continue
+            text = word.decode()
+            if self.plain(text) and "<|" not in text:
+                found = self.split(text.lower())
+                own.append(place)
+                parts += found
+                counts.append(len(found))
+            else:
+                others.append((place, self.whole.encode(text, add_special_tokens=False).ids))
+        # All at once: the ends of the parts tell where the words end.
+        tokens = np.array(self.fast.encode_ordinary("\0".join([*parts, ""])), np.int64)
+        ends = np.r_[0, np.flatnonzero(self.closes[tokens]) + 1][np.r_[0, np.cumsum(counts, dtype=np.int64)]]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[own] = np.diff(ends)
+        for place, ids in others:
+            sizes[place] = len(ids)
+        flat, starts = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        plain = np.zeros(len(flat), bool)
+        plain[np.arange(len(tokens)) + np.repeat(starts[own] - ends[:-1], np.diff(ends))] = True
+        flat[plain] = self.ids[tokens]
+        for place, ids in others:
+            flat[starts[place] : starts[place] + len(ids)] = ids
+        return flat, sizes
+
+    def texts(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of each text, the end mark last."""
+        if len(self.words) > CACHE_WORDS:
+            self.forget()
+        own = [np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in texts]
+        new = list(islice(reversed(self.words), len(self.words) - len(self.sizes)))[::-1]
+        if new:
+            flat, sizes = self.encode(new)
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(self.sizes) - self.sizes
+        out = []
+        for numbers in own:
+            sizes = self.sizes[numbers]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = np.full(total + 1, END, np.uint32)
+            ids[:total] = self.flat[np.arange(total) + np.repeat(starts[numbers] - (ends - sizes), sizes)]
+            out.append(ids)
+        return out
+
+
 def pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -74,66 +176,54 @@ def pieces(
     """Pieces of every whole text, with the checksum of their ids (and the ids).
 
     The tokenizer drops white space and never joins what it separates, so ids are
-    found word by word, and each distinct word is encoded once.
+    found word by word, and each distinct word is encoded once. ``part`` and ``place`` number the
+    pieces of a length: the task that made them, and the piece within it.
     """
-    kinds = [
-        ("doc_id", pa.int64()),
-        ("piece", pa.int32()),
-        ("start", pa.int64()),
-        ("length", pa.int64()),
-        ("ids_crc32", pa.int64()),
-        *([("ids", pa.list_(pa.int32()))] if with_ids else []),
-    ]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
+        from pyspark import TaskContext
 
         # The tokenizer and its words stay with the Python worker from task to task.
         kept = vars(tokenizers).setdefault("_kept_words", {})
         if tokenizer not in kept:
-            kept[tokenizer] = tokenizers.Tokenizer.from_file(tokenizer), {}
-        encoder, known = kept[tokenizer]
-        end, width = np.array([END], "<u4").tobytes(), 4 * capacity
-        schema = pa.schema(kinds)
-
-        def ids_of(texts: list[list[bytes]]) -> Iterator[bytes]:
-            new = set().union(*texts).difference(known)
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set().union(*texts)
-            new = list(new)
-            encoded = encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((word, array("I", ids.ids).tobytes()) for word, ids in zip(new, encoded))
-            for words in texts:
-                yield b"".join([*map(known.__getitem__, words), end])
-
-        def rows_of(docs_: list[int | None], texts: list[list[bytes]]) -> pa.RecordBatch:
-            out = [[] for _ in kinds]
-            for doc, ids in zip(docs_, ids_of(texts)):
-                for number, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    row = (doc, number, at // 4, len(part) // 4, zlib.crc32(part))
-                    for column, value in zip(out, (*row, np.frombuffer(part, "<u4"))):
-                        column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, kinds)], schema=schema)
+            kept[tokenizer] = Encoder(tokenizer)
+        encoder, part, places = kept[tokenizer], TaskContext.get().partitionId(), [0] * (capacity + 1)
+
+        def rows_of(owners: list[int | None], texts: list[list[bytes]]) -> pa.RecordBatch:
+            found, rows = encoder.texts(texts), []
+            for owner, ids in zip(owners, found):
+                raw = ids.astype("<u4").tobytes()
+                for number, at in enumerate(range(0, len(ids), capacity)):
+                    length = min(capacity, len(ids) - at)
+                    crc = zlib.crc32(raw[4 * at : 4 * (at + length)])
+                    rows.append((owner, number, at, length, crc, part, places[length]))
+                    places[length] += 1
+            columns = list(zip(*rows))
+            arrays = [pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns)]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(columns[3])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(found).astype(np.int32)))
+            return pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
 
         for batch in batches:
-            held_ids, held, size = [], [], 0
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
-                held_ids.append(doc)
+            owners, held, size = [], [], 0
+            for owner, raw in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
+                owners.append(owner)
                 held.append(words_of(raw))
                 size += len(raw)
                 if size >= TEXT_AT_ONCE:
-                    yield rows_of(held_ids, held)
-                    held_ids, held, size = [], [], 0
+                    yield rows_of(owners, held)
+                    owners, held, size = [], [], 0
             if held:
-                yield rows_of(held_ids, held)
+                yield rows_of(owners, held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, PIECE + ", part long, place long" + (", ids array<int>" if with_ids else ""))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -216,17 +306,16 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
     found = staged(pieces(docs, tokenizer or tokenizer_path(), id_col, text_col, capacity, with_ids), "packing-pieces")
-    keyed = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
-    counts = staged(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "packing-counts")
+    counts = staged(found.groupBy("length", "part").agg(F.count("*").alias("n")), "packing-counts")
     # At most ``capacity`` rows reach the driver.
-    histogram = dict(counts.groupBy("length").agg(F.sum("_n")).collect())
+    histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())
     runs = plan(histogram, capacity)
-    upto = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counts.withColumn("_start", F.sum("_n").over(upto) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("_in", F.row_number().over(inside)).join(starts, ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_in") - 1)
-    columns = found.columns
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")
+    # One row per task and length: written, so that its size is known when the join is planned.
+    starts = staged(counts.select("length", "part", first), "packing-starts")
+    ranked = found.join(starts, ["length", "part"]).withColumn("_rank", F.col("_first") + F.col("place"))
+    columns = [c for c in found.columns if c not in ("part", "place")]
     lengths, firsts = runs[:, 0], runs[:, 1]
     bounds = {int(n): (int(a), int(b)) for n, a, b in zip(*(np.unique(lengths, return_index=True)), np.r_[np.unique(lengths, return_index=True)[1][1:], len(runs)])}
 
