@@ -1,28 +1,33 @@
 """Exact top-k search by inner product with a pivot table.
 
-Vectors are turned into whole numbers. For every vector its distances to the pivots are
-computed once. For a query ``q`` and a candidate ``x``, each pivot ``p`` gives the lower bound
-``|d(q,p) - d(x,p)|`` of their distance; the largest bound of all pivots gives an upper
-bound of the inner product, ``(|q|^2 + |x|^2 - bound^2) / 2``. Candidates are evaluated in
-the order of that bound until the k-th best score is out of reach of the next one.
+Components are turned into whole numbers. For every vector its distances to the pivots are
+computed once. They tell where a vector lies in the space the pivots span and how far it
+is from that space. For a query ``q`` and a candidate ``x`` with places ``a`` and ``b`` in that space and
+distances ``r`` and ``s`` from it, ``|a - b|^2 + (r - s)^2`` is the largest lower bound of their squared
+distance that these distances allow, at least that of every single pivot or pair. It gives the upper
+bound ``a.b + r s`` of the inner product. Candidates are evaluated in the order of that bound until the
+k-th best score is out of reach of the next one.
 
 Queries and candidates meet in blocks: every vector has a block number; a block of
 candidates and a block of queries are one task's work and give at most ``k`` rows per
 query. Blocks have a bounded number of vectors, so memory does not depend on the input.
-The k best of the pivots themselves start each query's threshold, in every block.
+The k-th best score of the pool starts each query's threshold, in every block.
 
 Pivots are chosen from the ``POOL`` vectors with the smallest hash of their id, farthest
-first; this sets the speed only, results are exact for any pivots.
+first; this sets the speed only, results are exact for any pivots. Where a score could pass 2^53 it is
+computed in Python's whole numbers and its candidate is not subject to bounds.
 
-Edge cases: vectors that are null or empty or hold null or non-finite components take no
-part, nor do those too long for their scores to fit a 64-bit number; shorter vectors count as padded with zeros; ties in score go to the smaller
-id; a query never finds a row of its own id; rows that repeat an id are candidates
-each; rows with a null id take no part; a query without candidates, and an empty
-table, give no rows; other columns are not read.
+Edge cases: vectors that are null or hold null or non-finite components take no
+part; an empty vector takes part, with scores of zero; shorter vectors count as padded with zeros;
+ties in score go to the smaller id; a query never finds a row of its own id; rows that repeat an id are
+candidates each; rows with a null id take no part; a query without candidates, and an empty
+table, give no rows; other columns are not read. A score that is returned must fit a long.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,25 +38,27 @@ from fleetlens.llm.common import map_batches, staged
 
 K = 5
 SCALE = 256
-PIVOTS = 64
+PIVOTS = 48
 POOL = 2048
 CANDIDATES = 4096
-QUERIES = 512
+QUERIES = 4096
+# Queries whose bounds are computed together.
+AT_ONCE = 256
 # Candidates evaluated at once in the order of their bounds.
-STEP = 256
+STEP = 64
 EXACT = float(1 << 53)
+# Components beyond it are left to whole numbers altogether.
+LARGE = float(1 << 40)
+# Directions of the pivots' space that are too short to be told from rounding.
+SHORT = 1e-4
 
 
-def whole(docs: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``vec_id`` and ``v``, the whole numbers of each vector that takes part."""
-    vector = F.col(vector_col)
-    usable = F.expr(
-        f"size(`{vector_col}`) > 0 AND forall(`{vector_col}`, x -> x IS NOT NULL AND NOT isnan(x)) AND "
-        f"aggregate(`{vector_col}`, 0D, (a, x) -> a + pow(cast(x as double) * {scale} + 1, 2)) < pow(2D, 62)"
-    )
-    return docs.where(F.col(id_col).isNotNull() & usable).select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"),
+def taking_part(docs: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``vec_id`` and ``v`` of each vector that takes part."""
+    v = F.col(vector_col).cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return docs.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(
+        F.col(id_col).cast("long").alias("vec_id"), v.alias("v")
     )
 
 
@@ -60,13 +67,16 @@ def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     width = max(int(sizes.max(initial=0)), width or 0)
-    if len(sizes) and (sizes == width).all():
-        return flat.reshape(len(sizes), width)
     out = np.zeros((len(sizes), width))
     out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
+def whole_numbers(row: np.ndarray, scale: int) -> list[int]:
+    """``floor(scale * x)`` of each component, exactly."""
+    return [int(x) * scale if abs(x) >= 2.0**52 else int(np.floor(x * scale)) for x in row.tolist()]
+
+
 def widened(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
@@ -89,35 +99,101 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def products(block: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products; beyond 2^53 by whole numbers instead of floating point."""
-    width = max(block.shape[1], len(query))
-    block = widened(block, width)
-    query = np.pad(query, (0, width - len(query)))
-    if np.abs(block).max(initial=0) * np.abs(query).max(initial=0) * width < EXACT:
-        return (block @ query).astype(np.int64)
-    return block.astype(np.int64) @ query.astype(np.int64)
-
-
-def best_of(ids, vectors, square, table, qid, query, q_square, q_table, start, k) -> list[tuple[int, int]]:
-    """The k best (score, id) of one block, evaluated in the order of their bounds."""
-    bound = np.abs(table - q_table).max(axis=1) if table.shape[1] else np.zeros(len(ids))
-    upper = (square + q_square - bound**2) / 2
-    # Rounding of the distances must not lower a bound.
-    upper += 1e-6 * (square + q_square) + 1
-    upper[ids == qid] = -np.inf
-    order = np.argsort(-upper, kind="stable")
+class Space:
+    """The space the pivots span: places in it from distances to the pivots."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        left, sizes, _ = np.linalg.svd(pivots, full_matrices=False)
+        own = sizes > SHORT * sizes.max(initial=0)
+        self.turn = left[:, own] / sizes[own]
+        self.squares = (pivots**2).sum(axis=1)
+
+    def places(self, table: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates of vectors, by distances to the pivots and own squares, and distances from the space."""
+        products = (squares[:, None] + self.squares[None, :] - table**2) / 2
+        at = products @ self.turn
+        return at, np.sqrt(np.maximum(squares - (at**2).sum(axis=1), 0))
+
+
+def scores_of(rows: np.ndarray, raw: np.ndarray, tops: np.ndarray, query: np.ndarray, raw_query: np.ndarray, scale: int) -> list[int]:
+    """Exact inner products: in doubles where they stay below 2^53, else in whole numbers."""
+    width = max(len(query), 1)
+    safe = tops * np.abs(query).max(initial=0) * width < EXACT
+    if safe.all():
+        return (rows @ query).astype(np.int64).tolist()
+    own = whole_numbers(raw_query, scale)
+    return [
+        int(row @ query) if ok else sum(a * b for a, b in zip(whole_numbers(exact, scale), own))
+        for row, exact, ok in zip(rows, raw, safe)
+    ]
+
+
+def best_of(ids, upper: np.ndarray, qid: int, start: float, k: int, scores) -> tuple[list[tuple[int, int]], int]:
+    """The k best (score, id) of one block, in the order of their bounds, and how many were evaluated.
+
+    ``scores`` gives the exact scores of candidates by place.
+    """
+    open_ = np.flatnonzero((upper >= start) & (ids != qid))
+    order = open_[np.argsort(-upper[open_], kind="stable")]
     top: list[tuple[int, int]] = []
+    done = 0
     for at in range(0, len(order), STEP):
         part = order[at : at + STEP]
         least = max(start, top[-1][0]) if len(top) == k else start
         part = part[upper[part] >= least]
         if not len(part):
             break
-        scores = products(vectors[part], query)
-        found = [(int(s), int(i)) for s, i in zip(scores, ids[part]) if s >= least and i != qid]
+        done += len(part)
+        found = [(s, i) for s, i in zip(scores(part), ids[part].tolist()) if s >= least]
         top = sorted(top + found, key=lambda x: (-x[0], x[1]))[:k]
-    return top
+    return top, done
+
+
+class Block:
+    """Candidates of one block with what their bounds need."""
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, table: np.ndarray, space: Space | None, scale: int):
+        self.ids, self.raw, self.scale, self.space = ids, raw, scale, space
+        self.rows = np.floor(raw * scale)
+        self.tops = np.abs(self.rows).max(axis=1, initial=0)
+        self.squares = (np.where(self.tops[:, None] < LARGE, self.rows, 0) ** 2).sum(axis=1)
+        if space is not None:
+            self.places, self.off = space.places(np.where(self.tops[:, None] < LARGE, table, 0), self.squares)
+
+    def bounds(self, other: Block) -> np.ndarray:
+        """Upper bounds of the products of these rows and the other's, one row for each of these."""
+        if self.space is None:
+            return np.full((len(self.ids), len(other.ids)), np.inf)
+        upper = self.places @ other.places.T + self.off[:, None] * other.off[None, :]
+        # Rounding must not lower a bound.
+        upper += 1e-6 * (self.squares[:, None] + other.squares[None, :]) + 1
+        # What is beyond doubles is evaluated whatever the bound.
+        width = max(self.rows.shape[1], 1)
+        upper[self.tops[:, None] * other.tops[None, :] * width >= EXACT] = np.inf
+        upper[self.tops >= LARGE] = np.inf
+        upper[:, other.tops >= LARGE] = np.inf
+        return upper
+
+    def search(self, queries: Block, starts: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
+        """(query, id, score) of the k best of each query, and how many candidates were evaluated."""
+        out, done = [], 0
+        for at in range(0, len(queries.ids), AT_ONCE):
+            some = queries.part(slice(at, at + AT_ONCE))
+            for i, upper in enumerate(some.bounds(self)):
+                exact = partial(self.scores, some, i)
+                top, count = best_of(self.ids, upper, int(some.ids[i]), starts[at + i], k, exact)
+                out += [(int(some.ids[i]), vec, score) for score, vec in top]
+                done += count
+        return out, done
+
+    def scores(self, queries: Block, i: int, part: np.ndarray) -> list[int]:
+        return scores_of(self.rows[part], self.raw[part], self.tops[part], queries.rows[i], queries.raw[i], self.scale)
+
+    def part(self, rows: slice) -> Block:
+        own = object.__new__(Block)
+        own.__dict__ = {n: v[rows] if isinstance(v, np.ndarray) else v for n, v in vars(self).items()}
+        return own
 
 
 def search(
@@ -137,48 +213,57 @@ def search(
     ``is_query`` is a condition on ``vec_id``. Queries that repeat an id are one query if
     their vectors are equal; else each vector is a query and the best of all count.
     """
-    vectors = whole(docs, id_col, vector_col, scale)
-    # At most ``pool`` vectors reach the driver, ``pivots`` of them go to the tasks.
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pool).toArrow()
+    vectors = taking_part(docs, id_col, vector_col)
+    # At most ``pool`` vectors reach the driver and go to the tasks.
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pool).toArrow()
     spark = docs.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not sample.num_rows:
         return empty
-    pooled = matrix(sample.column("v").combine_chunks())
-    chosen = farthest(pooled, pivots)
-    centres, centre_ids = pooled[chosen], sample.column("vec_id").to_numpy()[chosen]
+    pooled = np.floor(matrix(sample.column("v").combine_chunks()) * scale)
+    usual = pooled[np.abs(pooled).max(axis=1, initial=0) < LARGE]
+    centres = usual[farthest(usual, pivots)] if len(usual) and usual.any() else None
+    space = None if centres is None else Space(centres)
+    pool_ids, pool_v = sample.column("vec_id").to_numpy(), sample.column("v").combine_chunks()
+
+    def table_of(raw: np.ndarray) -> np.ndarray:
+        rows = np.floor(raw * scale)
+        large = np.abs(rows).max(axis=1, initial=0) >= LARGE
+        return np.zeros((len(raw), 0)) if centres is None else distances(np.where(large[:, None], 0, rows), centres)
 
     def tabled(batch: pa.RecordBatch) -> dict:
-        rows = matrix(batch.column("v"))
-        return {
-            "vec_id": batch.column("vec_id"),
-            "v": batch.column("v"),
-            "d": list(distances(rows, centres)),
-        }
-
-    table = staged(map_batches(vectors, tabled, "vec_id long, v array<long>, d array<double>"), "topk-table")
+        return {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "d": list(table_of(matrix(batch.column("v"))))}
+
+    def started(batch: pa.RecordBatch) -> dict:
+        """The k-th best score in the pool of each query, rounded down."""
+        v = pa.concat_arrays([batch.column("v")])
+        width = max(matrix(v).shape[1], matrix(pool_v).shape[1])
+        own, asked = (Block(i, matrix(m, width), np.zeros((len(i), 0)), None, scale) for i, m in ((pool_ids, pool_v), (batch.column("vec_id").to_numpy(), v)))
+        starts = []
+        for i, query in enumerate(asked.ids):
+            others = np.flatnonzero(own.ids != query)
+            found = sorted(own.scores(asked, i, others))
+            starts.append(float(np.nextafter(float(found[-k]), -np.inf)) if len(found) >= k else -np.inf)
+        return {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "d": batch.column("d"), "start": starts}
+
+    table = staged(map_batches(vectors, tabled, "vec_id long, v array<double>, d array<double>"), "topk-table")
     queries = table.where(is_query).dropDuplicates(["vec_id", "v"])
+    queries = staged(map_batches(queries, started, "vec_id long, v array<double>, d array<double>, start double"), "topk-queries")
     # Numbers of blocks follow the number of rows, so that a block stays bounded.
     c_blocks = max(1, -(-table.count() // candidates_per_block))
     q_blocks = max(1, -(-queries.count() // queries_per_block))
-    place = lambda n, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
-    # Equal vectors under equal ids share a block; rows beyond that are spread by the hash.
-    left = table.withColumn("cb", place(c_blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = queries.withColumn("qb", place(q_blocks, 2)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    # Rows are dealt by their place, so that copies of a row are not one block.
+    place = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    left = table.withColumn("cb", place(c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = queries.withColumn("qb", place(q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
 
     def block(_, own: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if own.num_rows and asked.num_rows:
-            ids, vs = own.column("vec_id").to_numpy(), matrix(own.column("v").combine_chunks())
-            ds = matrix(own.column("d").combine_chunks())
-            square = (vs**2).sum(axis=1)
-            q_vs, q_ds = matrix(asked.column("v").combine_chunks()), matrix(asked.column("d").combine_chunks())
-            for qid, query, q_table in zip(asked.column("vec_id").to_pylist(), q_vs, q_ds):
-                # Scores of k other pivots are scores of k candidates.
-                others = np.sort(products(centres, query)[centre_ids != qid])
-                start = others[-k] if len(others) >= k else -np.inf
-                found = best_of(ids, vs, square, ds, qid, query, float((query**2).sum()), q_table, start, k)
-                out += [(qid, vec, score) for score, vec in found]
+            sides = [[t.column(c).combine_chunks() for c in ("vec_id", "v", "d")] for t in (own, asked)]
+            width = max(matrix(v).shape[1] for _, v, _ in sides)
+            rows, wanted = (Block(i.to_numpy(), matrix(v, width), matrix(d), space, scale) for i, v, d in sides)
+            out, _ = rows.search(wanted, asked.column("start").to_numpy(), k)
         names = ("query_id", "vec_id", "score")
         return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(names)})
 
