@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import quality_rules as Q
-
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_warc"] = """
@@ -23,31 +21,20 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-# What a measure is, and the least distance of its bound from the quartile, in bins.
-RATIOS = {
-    "symbol_share": "n_symbols / CAST(word_chars AS DOUBLE)",
-    "dup_line_share": "n_dup_lines / CAST(n_lines AS DOUBLE)",
-    "repeat_share": "n_repeat_words / CAST(n_words AS DOUBLE)",
-    "long_words": "word_chars / CAST(n_words AS DOUBLE)",
-    "short_words": "word_chars / CAST(n_words AS DOUBLE)",
-}
-REACH = ", ".join(f"('{name}', {high}, {slack / Q.BIN!r}::DOUBLE)" for name, (high, slack) in Q.MEASURES.items())
-BINS = ", ".join(f"{{m: '{name}', bin: CAST(floor({ratio} / {Q.BIN}::DOUBLE) AS BIGINT)}}" for name, ratio in RATIOS.items())
-
 # Rows are numbered, as ids may repeat; bins of a group are its quantile sketch.
-ORACLES["op2_quality_rules"] = f"""
+ORACLES["op2_quality_rules"] = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d
 ), places AS (
-  SELECT r, unnest(range(1, len(words) - {Q.WINDOW} + 2)) AS pos, words FROM w WHERE len(words) > {Q.WINDOW}
+  SELECT r, unnest(range(1, len(words) - 5 + 2)) AS pos, words FROM w WHERE len(words) > 5
 ), windows AS (
-  SELECT r, pos, array_to_string(words[pos : pos + {Q.WINDOW - 1}], ' ') AS name FROM places
+  SELECT r, pos, array_to_string(words[pos : pos + 4], ' ') AS name FROM places
 ), twice AS (
   SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY r, name) > 1
 ), repeated AS (
-  SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(pos, pos + {Q.WINDOW})) AS place FROM twice) GROUP BY r
+  SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(pos, pos + 5)) AS place FROM twice) GROUP BY r
 ), lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
 ), per_doc AS (
@@ -59,10 +46,18 @@ WITH d AS (
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM d JOIN w USING (r) LEFT JOIN repeated USING (r) LEFT JOIN per_doc USING (r)
+), base AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
 ), bins AS (
-  SELECT r, lang, source, unnest([{BINS}], recursive := true) FROM counts WHERE n_words > 0
+  SELECT r, lang, source, base_failed, unnest([
+    {m: 'symbol_share', bin: least(CAST(floor(n_symbols / CAST(word_chars AS DOUBLE) / 0.002::DOUBLE) AS BIGINT), 500)},
+    {m: 'dup_line_share', bin: least(CAST(floor(n_dup_lines / CAST(n_lines AS DOUBLE) / 0.002::DOUBLE) AS BIGINT), 500)},
+    {m: 'repeat_share', bin: least(CAST(floor(n_repeat_words / CAST(n_words AS DOUBLE) / 0.002::DOUBLE) AS BIGINT), 500)},
+    {m: 'long_words', bin: least(CAST(floor(word_chars / CAST(n_words AS DOUBLE) / 0.02::DOUBLE) AS BIGINT), 5000)},
+    {m: 'short_words', bin: least(CAST(floor(word_chars / CAST(n_words AS DOUBLE) / 0.02::DOUBLE) AS BIGINT), 5000)}
+  ], recursive := true) FROM base WHERE n_words > 0
 ), sketch AS (
-  SELECT lang, source, m, bin, count(*) AS n FROM bins GROUP BY ALL
+  SELECT lang, source, m, bin, count(*) AS n FROM bins WHERE NOT base_failed GROUP BY ALL
 ), levels AS (
   SELECT *, sum(n) OVER own AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total
   FROM (
@@ -70,29 +65,32 @@ WITH d AS (
     UNION ALL SELECT 1, lang, NULL, m, bin, sum(n) FROM sketch GROUP BY ALL
     UNION ALL SELECT 2, NULL, NULL, m, bin, sum(n) FROM sketch GROUP BY ALL
   ) WINDOW own AS (PARTITION BY level, lang, source, m ORDER BY bin)
-), quartiles AS (
-  SELECT level, lang, source, m, max(total) AS rows, min(bin) FILTER (upto * 4 >= total) AS low,
-    min(bin) FILTER (upto * 4 >= total * 2) AS mid, min(bin) FILTER (upto * 4 >= total * 3) AS high
+), points AS (
+  SELECT level, lang, source, m, max(total) AS rows, min(bin) FILTER (upto * 100 >= total * 25) AS q25,
+    min(bin) FILTER (upto * 100 >= total * 50) AS q50, min(bin) FILTER (upto * 100 >= total * 75) AS q75,
+    min(bin) FILTER (upto * 100 >= total * 99) AS q99
   FROM levels GROUP BY ALL
 ), used AS (
-  SELECT a.lang, a.source, a.m,
-    CASE WHEN a.rows >= {Q.MIN_ROWS} THEN a WHEN b.rows >= {Q.MIN_ROWS} THEN b ELSE c END AS q
-  FROM quartiles a
-  JOIN quartiles b ON b.level = 1 AND b.m = a.m AND b.lang IS NOT DISTINCT FROM a.lang
-  JOIN quartiles c ON c.level = 2 AND c.m = a.m
+  SELECT a.lang, a.source, a.m, CASE WHEN a.rows >= 30 THEN a WHEN b.rows >= 30 THEN b ELSE c END AS q
+  FROM points a
+  JOIN points b ON b.level = 1 AND b.m = a.m AND b.lang IS NOT DISTINCT FROM a.lang
+  JOIN points c ON c.level = 2 AND c.m = a.m
   WHERE a.level = 0
 ), bounds AS (
-  SELECT lang, source, m, above, CASE WHEN above
-      THEN q.high + greatest(abs(q.high - q.mid) * {Q.SPREAD}::DOUBLE, slack)
-      ELSE q.low - greatest(abs(q.low - q.mid) * {Q.SPREAD}::DOUBLE, slack) END AS bound
-  FROM used JOIN (VALUES {REACH}) AS s(m, above, slack) USING (m)
+  SELECT lang, source, m, CASE m
+    WHEN 'symbol_share' THEN q.q75 + greatest(6 * abs(q.q75 - q.q50), 2)
+    WHEN 'dup_line_share' THEN q.q99 + greatest(abs(q.q99 - q.q50), 2)
+    WHEN 'repeat_share' THEN q.q99 + greatest(abs(q.q99 - q.q50), 2)
+    WHEN 'long_words' THEN q.q75 + greatest(10 * abs(q.q75 - q.q50), 2)
+    ELSE q.q25 - greatest(8 * abs(q.q25 - q.q50), 2) END AS bound
+  FROM used
 ), failures AS (
-  SELECT b.r, string_agg(b.m, ',' ORDER BY list_position({list(Q.MEASURES)}, b.m)) AS failed
+  SELECT b.r, string_agg(b.m, ',' ORDER BY list_position(
+    ['symbol_share', 'dup_line_share', 'repeat_share', 'long_words', 'short_words'], b.m)) AS failed
   FROM bins b JOIN bounds t ON t.m = b.m AND t.lang IS NOT DISTINCT FROM b.lang AND t.source IS NOT DISTINCT FROM b.source
-  WHERE CASE WHEN above THEN b.bin > bound ELSE b.bin < bound END GROUP BY b.r
+  WHERE CASE WHEN b.m = 'short_words' THEN b.bin < bound ELSE b.bin > bound END GROUP BY b.r
 ), judged AS (
-  SELECT *, coalesce(failed, '') AS failures, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed
-  FROM counts LEFT JOIN failures USING (r)
+  SELECT *, coalesce(failed, '') AS failures FROM base LEFT JOIN failures USING (r)
 )
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
   failures AS failed, NOT base_failed AND failures = '' AS kept
@@ -103,7 +101,7 @@ ORACLES["op6_topk"] = """
 WITH w AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,

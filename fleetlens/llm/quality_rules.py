@@ -4,15 +4,17 @@ Each document gets counts of its words, symbols, repeated lines and repeated
 windows of words. For every language and source a quantile sketch of each measure
 is kept; thresholds are read off the sketches and joined back to the documents.
 
-A sketch is a histogram whose bins are fixed in advance (``BIN`` wide), so two sketches
+A sketch is a histogram whose bins are fixed in advance and bounded in number, so two sketches
 merge by adding counts, exactly and in any order: a group's sketch is a plain
-grouped count with a map-side part, and quantiles are off by at most one bin. A
-group of fewer than ``MIN_ROWS`` documents takes the sketch of its language, and a
-small language that of all documents.
+grouped count with a map-side part, and quantiles are off by at most one bin. Documents that fail the
+base rules are in no sketch. A group of fewer than ``MIN_ROWS`` others takes the sketch of its language,
+and a small language that of all documents.
 
-A document fails a measure if it lies beyond ``quartile + SPREAD * (quartile - median)``
-and at least ``SLACK`` beyond the quartile. The slack keeps groups whose values are all
-alike from failing ordinary documents.
+Each measure has a quantile of the group that ordinary documents do not pass, and fails a document that
+lies beyond it by more than ``spread`` times the distance of that quantile from the median. Groups
+whose values are all alike have no spread; there a document may be ``SLACK`` bins off. Nothing else is
+fixed: shares of repeated words and lines, which most documents do not have, are judged by the group's last
+hundredth, the others by its quartiles.
 
 Edge cases: a null text has no words; documents without words fail the base rules;
 null languages and sources are groups of their own; repeated rows each count and each
@@ -30,21 +32,24 @@ from pyspark.sql.window import Window
 from fleetlens.llm.common import map_batches, staged
 
 WINDOW = 5
-BIN = 0.002
 MIN_ROWS = 30
-SPREAD = 6.0
+# Bins that a document may be off in a group without spread.
+SLACK = 2
 MIN_WORDS = 10
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
-# Measure, whether high values fail, and the least distance from the quartile.
+# Width of a bin and the last one, which takes all that is larger.
+SHARE_BINS, LENGTH_BINS = (0.002, 500), (0.02, 5000)
+# Measure: bins, whether high values fail, the group's quantile in hundredths, the spread beyond it.
 MEASURES = {
-    "symbol_share": (True, 0.05),
-    "dup_line_share": (True, 0.35),
-    "repeat_share": (True, 0.20),
-    "long_words": (True, 3.0),
-    "short_words": (False, 1.5),
+    "symbol_share": (SHARE_BINS, True, 75, 6.0),
+    "dup_line_share": (SHARE_BINS, True, 99, 1.0),
+    "repeat_share": (SHARE_BINS, True, 99, 1.0),
+    "long_words": (LENGTH_BINS, True, 75, 10.0),
+    "short_words": (LENGTH_BINS, False, 25, 8.0),
 }
+QUANTILES = sorted({50, *(share for _, _, share, _ in MEASURES.values())})
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -111,7 +116,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: dict[str, str] |
 
 def measures() -> dict[str, Column]:
     words, chars = F.col("n_words"), F.col("word_chars")
-    mean = chars / words
+    mean = chars / F.nullif(words, F.lit(0))
     return {
         "symbol_share": F.col("n_symbols") / chars,
         "dup_line_share": F.col("n_dup_lines") / F.col("n_lines"),
@@ -121,15 +126,20 @@ def measures() -> dict[str, Column]:
     }
 
 
-def bins(value: Column) -> Column:
-    return F.floor(value / BIN).cast("long")
+def bins(name: str, value: Column) -> Column:
+    width, last = MEASURES[name][0]
+    return F.least(F.floor(value / width), F.lit(last)).cast("long")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """Counts per (lang, source, measure, bin); adding rows merges sketches."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("measure"), bins(value).alias("bin")) for name, value in measures().items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("measure"), bins(name, value).alias("bin")) for name, value in measures().items()])
     return (
-        stats.where("n_words > 0")
+        stats.where(~base_failed())
         .select("lang", "source", F.explode(pairs).alias("m"))
         .groupBy("lang", "source", "m.measure", "m.bin")
         .agg(F.count("*").alias("n"))
@@ -137,29 +147,28 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and quartiles (in bins) of each sketch merged over ``keys`` and measure."""
+    """The quantiles (in bins) of each sketch merged over ``keys`` and measure."""
     by = [*keys, "measure"]
     merged = sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     # At most one row per bin in a window, whatever the number of documents.
     total = Window.partitionBy(*by)
     upto = total.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.withColumn("total", F.sum("n").over(total)).withColumn("upto", F.sum("n").over(upto))
-    at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bin")))
-    return ranked.groupBy(*by).agg(
-        F.max("total").alias("rows"), at(1).alias("low"), at(2).alias("mid"), at(3).alias("high")
-    )
+    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("bin")))
+    return ranked.groupBy(*by).agg(F.max("total").alias("rows"), *[at(share).alias(f"q{share}") for share in QUANTILES])
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """One row per (lang, source): a bound, in bins, for every measure."""
+    """One row per (lang, source): a bound, in bins, for every measure, and whether its spread set it."""
     sketch = staged(sketches(stats), "quality-sketches")
     levels = [
         quantiles(sketch, ["lang", "source"]),
         quantiles(sketch, ["lang"]),
         quantiles(sketch, []),
     ]
+    found = ["rows", *[f"q{share}" for share in QUANTILES]]
     own, lang, everything = (
-        level.select(*keys, "measure", F.struct("rows", "low", "mid", "high").alias(name))
+        level.select(*keys, "measure", F.struct(*found).alias(name))
         for level, keys, name in zip(levels, (["lang", "source"], ["lang"], []), ("own", "by_lang", "by_all"))
     )
     lang = lang.withColumnsRenamed({"lang": "l_lang", "measure": "l_measure"})
@@ -168,16 +177,17 @@ def thresholds(stats: DataFrame) -> DataFrame:
     joined = joined.join(everything, F.col("measure") == F.col("a_measure"))
     use = F.when(F.col("own.rows") >= MIN_ROWS, F.col("own")).when(F.col("by_lang.rows") >= MIN_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
     joined = joined.withColumn("q", use)
-    bound = None
-    for name, (high, slack) in MEASURES.items():
-        quartile = F.col("q.high") if high else F.col("q.low")
-        far = F.abs(quartile - F.col("q.mid")) * SPREAD
-        reach = F.greatest(far, F.lit(slack / BIN))
-        value = quartile + reach if high else quartile - reach
-        bound = F.when(F.col("measure") == name, value) if bound is None else bound.when(F.col("measure") == name, value)
-    joined = joined.withColumn("bound", bound)
+    bound, spread = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, (_, high, share, times) in MEASURES.items():
+        far = F.abs(F.col(f"q.q{share}") - F.col("q.q50")) * times
+        reach = F.greatest(far, F.lit(float(SLACK)))
+        value = F.col(f"q.q{share}") + reach if high else F.col(f"q.q{share}") - reach
+        bound = F.when(F.col("measure") == name, value).otherwise(bound)
+        spread = F.when(F.col("measure") == name, far).otherwise(spread)
+    joined = joined.withColumn("bound", bound).withColumn("by_spread", spread >= F.lit(float(SLACK)))
     return joined.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == name, F.col("bound"))).alias(f"bound_{name}") for name in MEASURES]
+        *[F.max(F.when(F.col("measure") == name, F.col("bound"))).alias(f"bound_{name}") for name in MEASURES],
+        F.count_if("by_spread").alias("set_by_spread"),
     )
 
 
@@ -187,19 +197,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stats = staged(with_counts(docs, text_col, kinds), "quality-counts")
     # Read back from a file, its size is known: Spark broadcasts it if it is small, else
     # it shuffles both sides and can split a hot source.
-    bounds = staged(thresholds(stats), "quality-bounds").withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    bounds = staged(thresholds(stats), "quality-bounds").drop("set_by_spread")
+    bounds = bounds.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = stats.join(
         bounds, stats["lang"].eqNullSafe(bounds["t_lang"]) & stats["source"].eqNullSafe(bounds["t_source"]), "left"
     ).drop("t_lang", "t_source")
     tests = []
     for name, value in measures().items():
-        high, limit = MEASURES[name][0], F.col(f"bound_{name}")
-        at = bins(F.when(F.col("n_words") > 0, value))
+        high, limit = MEASURES[name][1], F.col(f"bound_{name}")
+        at = bins(name, F.when(F.col("n_words") > 0, value))
         tests.append(F.when((at > limit) if high else (at < limit), F.lit(name)))
     failed = F.array_compact(F.array(*tests))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
-        joined.withColumn("base_failed", base)
+        joined.withColumn("base_failed", base_failed())
         .withColumn("failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
         .drop(*[f"bound_{name}" for name in MEASURES])

@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from fleetlens.llm import automata, collocations
@@ -72,6 +71,7 @@ def test_small_shards_and_ranges_lose_nothing(spark, monkeypatch):
     # Shards are cut within texts and pieces, n-grams of one word lie in several ranges.
     monkeypatch.setattr(collocations, "SHARD_WORDS", 90)
     monkeypatch.setattr(collocations, "SLICE_BYTES", 40)
+    monkeypatch.setattr(collocations, "MOST_KEYS", 50)
     assert found_in(frame(spark, rows), 10, range_words=150, top=None) == brute(rows, 10)
 
 
@@ -80,12 +80,10 @@ def test_first_of_each_language(spark):
     assert found_in(frame(spark, rows), 3, top=5) == brute(rows, 3, 5)
 
 
-def test_full_sketch_tells_less_but_never_wrong(spark, monkeypatch):
+def test_full_bitmap_tells_less_but_never_wrong(spark, monkeypatch):
     rows = random_rows(4, 80)
-    monkeypatch.setattr(collocations, "WORD_BITS", 16)
-    monkeypatch.setattr(collocations, "PAIR_BITS", 16)
-    all_set = lambda parts, least: np.full((1 << 17) // 8, 255, np.uint8)
-    monkeypatch.setattr(collocations, "frequent_slots", all_set)
+    everything = collocations.Marked(b"\xff" * 4096)
+    monkeypatch.setattr(collocations, "frequent", lambda *_: everything)
     assert found_in(frame(spark, rows), 5) == brute(rows, 5, 2000)
 
 

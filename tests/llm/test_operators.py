@@ -200,6 +200,40 @@ def test_thresholds_adapt_by_group(spark):
     assert not kept.pop(500) and all(kept.values())
 
 
+def test_spread_and_not_slack_decides(spark):
+    rng = np.random.default_rng(2)
+    text = lambda i, marks, length: " ".join("w" * length + f"{i}x{j}" + "#" * (j < marks) for j in range(40))
+    # One source writes marks in ever larger numbers, the other hardly any; words differ in length.
+    rows = [(i, text(i, int(rng.integers(0, 20)), int(rng.integers(3, 6))), "en", "marked") for i in range(200)]
+    rows += [(1000 + i, text(i, i % 2, 4), "en", "plain") for i in range(200)]
+    rows += [(5000, text(0, 30, 4), "en", "marked"), (5001, text(0, 12, 4), "en", "plain"), (5002, text(0, 0, 40), "en", "marked")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality_rules.with_counts(df, "text", {"doc_id": "long", "lang": "string", "source": "string"})
+    bounds = {r.source: r for r in quality_rules.thresholds(stats).collect()}
+    assert bounds["marked"].bound_symbol_share > 4 * bounds["plain"].bound_symbol_share
+    assert bounds["marked"].set_by_spread >= 3
+    failed = {r.doc_id: r.failed for r in quality_rules.verdicts(df).collect() if r.failed}
+    assert "symbol_share" in failed[5001] and "long_words" in failed[5002] and 5000 not in failed
+
+
+def test_repeats_below_the_base_limit_can_fail(spark):
+    words = lambda i, n: [f"w{i}x{j}" for j in range(n)]
+    rows = [(i, " ".join(words(i, 100)), "en", "s") for i in range(300)]
+    # Sixteen of a hundred words repeat: the base allows twenty.
+    rows.append((999, " ".join(words(999, 84) + words(999, 8) + words(998, 8)), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality_rules.verdicts(df).collect()}
+    assert not found[999].base_failed and found[999].failed == ["repeat_share"] and not found[999].kept
+    assert all(r.kept for d, r in found.items() if d != 999)
+
+
+def test_bins_are_bounded(spark):
+    rows = [(i, " ".join(["x" * 10 ** (i % 6)] * 5 + list("abcdefgh")), "en", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality_rules.with_counts(df, "text", {"doc_id": "long", "lang": "string", "source": "string"})
+    assert quality_rules.sketches(stats).agg(F.max("bin")).first()[0] <= quality_rules.LENGTH_BINS[1]
+
+
 # SimHash
 
 
@@ -379,6 +413,19 @@ def test_endorsement_with_the_holders_name(holder):
     assert [hit[0] for hit in licenses.match(ids, licenses.by_length())[0]] == ["BSD-3-Clause"]
 
 
+def test_fast_words_give_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    encoder = packing.Encoder(packing.tokenizer_path())
+    rng = np.random.default_rng(8)
+    letters = list("abcdefgXYZ 0123'’.,!?-_#éÉßİıŒœñÑ日本Σσς\x00\x1c\u0301<|endoftext|> \n\t\u00a0\u00adŉǅẞ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)] + ["", "<|startoftext|>It'll <|endoftext|>"]
+    texts += [chr(c) * 2 + "a" + chr(c) + "b1 Th" + chr(c) for c in range(0x20, 0x250)]
+    for text, ids in zip(texts, encoder.texts([packing.words_of(t.encode()) for t in texts])):
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], text
+
+
 # Top-k
 
 
@@ -391,7 +438,7 @@ def test_topk(spark):
     got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, candidates_per_block=64, queries_per_block=3, pivots=8).collect())
     whole = {}
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             v = np.array(v, np.float32).astype(float)
             whole[i] = np.pad(np.floor(v * 256).astype(int), (0, 8 - len(v)))
     want = []
@@ -402,6 +449,31 @@ def test_topk(spark):
     assert got == sorted(want)
 
 
+def test_topk_keeps_large_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9e6, 0.0]), (2, [0.5, 0.5]), (3, [1e12, -1e18]), (4, []), (5, [2.0**45 + 1, 3.0]), (6, [0.25, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert [(r[2], r[3]) for r in got] == [(5, 65536 * (2**45 + 1)), (3, 65536 * 10**12), (1, 589_824_000_000), (2, 32768), (6, 16384)]
+
+
+def test_bounds_hold_and_eliminate():
+    rng = np.random.default_rng(6)
+    raw = rng.normal(0, 0.125, (3000, 24))
+    raw[:20] = raw[20:40] * 1.01
+    ids, rows = np.arange(3000), np.floor(raw * 256)
+    space = topk.Space(rows[topk.farthest(rows, 18)])
+    whole = topk.Block(ids, raw, topk.distances(rows, space.pivots), space, 256)
+    some = whole.part(slice(0, 40))
+    assert (some.bounds(whole) >= rows[:40] @ rows.T).all()
+    starts = np.full(40, -np.inf)
+    found, done = whole.search(some, starts, 5)
+    assert done < 40 * 3000 / 3
+    for query in range(40):
+        scores = rows @ rows[query]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != query)[:5]
+        assert [(-s, i) for q, i, s in found if q == query] == want
+
+
 # Secrets
 
 
@@ -589,6 +661,60 @@ def test_crf_marginals_equal_enumeration():
     assert np.allclose(good, expected) and np.allclose(pairs, both) and norm == pytest.approx(total)
 
 
+def test_crf_segments_change_nothing():
+    rng = np.random.default_rng(5)
+    for n in (5, 16, 17, 100):
+        unary, step = 3 * rng.normal(size=n + 9), rng.normal(size=(2, 2))
+        whole = crf.Chains(np.array([4, n, 5])).marginals(unary, step)
+        cut = crf.Chains(np.array([4, n, 5]), segment=8).marginals(unary, step)
+        assert all(np.allclose(a, b) for a, b in zip(whole, cut))
+
+
+def test_a_text_of_a_million_lines():
+    rng = np.random.default_rng(6)
+    model = crf.Model(rng.normal(size=crf.FEATURES), rng.normal(size=(2, 2)))
+    (score,) = model.score([b"a line\n\n" * 500_000])
+    assert 0 <= score <= 1
+
+
+def test_lines_may_differ_from_their_document():
+    labels, sizes = np.array([0, 1]), np.array([4, 3])
+    lengths = np.array([10.0, 50, 50, 50, 60, 20, 10])
+    speaks = np.array([3.0, -2, -2, 0.5, -4, 2, 2])
+    # One line of the bad document is clearly good; the good one would lose its majority.
+    assert crf.relabelled(speaks, labels, sizes, lengths).tolist() == [1, 0, 0, 0, 1, 1, 1]
+    assert crf.relabelled(speaks, labels, sizes, np.ones(7)).tolist() == [1, 0, 0, 0, 0, 1, 1]
+
+
+def test_lines_spread_over_a_text():
+    assert crf.spread_lines(5, 9).tolist() == [0, 1, 2, 3, 4]
+    for count, limit in ((1000, 36), (50, 49), (17, 16), (3, 1), (100, 7)):
+        at = crf.spread_lines(count, limit)
+        assert len(at) == limit == len(set(at.tolist())) and at.min() >= 0 and at.max() < count, (count, limit)
+    assert crf.spread_lines(1000, 64)[0] == 0 and crf.spread_lines(1000, 64)[-1] == 999
+
+
+def test_a_whole_score_by_enumeration(spark):
+    rng = np.random.default_rng(7)
+    model = crf.Model(rng.normal(size=crf.FEATURES), rng.normal(size=(2, 2)))
+    texts = ["one line", "Two lines here\n$$$ ### 77", "a b c\n\na b c\nlast, one!", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in crf.scores(df, model).collect()}
+    found = {}
+    for r in crf.lines(df, model).collect():
+        found.setdefault(r.doc_id, {})[r.line] = (r.good, r.label)
+    for doc, text in enumerate(texts):
+        x, lengths = crf.features((text or "").encode())
+        unary, n, z, good = x @ model.weights, len(x), 0.0, np.zeros(len(x))
+        for code in range(2**n):
+            s = [code >> i & 1 for i in range(n)]
+            w = math.exp(sum(u * b for u, b in zip(unary, s)) + sum(model.step[a, b] for a, b in zip(s, s[1:])))
+            z, good = z + w, good + w * np.array(s)
+        assert got[doc] == pytest.approx((good / z * lengths).sum() / lengths.sum())
+        assert [found[doc][i][0] for i in range(n)] == pytest.approx((good / z).tolist())
+        assert [found[doc][i][1] for i in range(n)] == (good / z >= 0.5).astype(int).tolist()
+
+
 def test_classifier_holds_out(spark):
     rows = QUERIES["op10_quality_crf"](spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
@@ -599,7 +725,7 @@ def test_classifier_holds_out(spark):
 
 
 def test_fit_takes_copies_once_and_a_bounded_number_of_lines(spark, monkeypatch):
-    monkeypatch.setattr(crf, "fit", lambda rows, labels: (rows, labels))
+    monkeypatch.setattr(crf, "fit", lambda rows, labels, lengths: (rows, labels))
     rows = [(i % 3, f"copy of {i % 3}\n") for i in range(90)] + [(i, f"text {i} of its own " + "w " * i) for i in range(10, 16)]
     rows += [(20, "a line\n" * 999 + "the end"), (21, None), (1, "another text")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -658,3 +784,35 @@ def test_pipeline_gives_whole_sequences(spark):
     for r in rows:
         size[r.sequence_id] += r.length
     assert {r.sequence_id: len(r.ids) for r in packing.sequences(packed).collect()} == dict(size)
+
+
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    long = " ".join(f"word{i} goes on, and so does line {i}." + "\n" * (i % 9 == 0) for i in range(30_000))
+    texts = [
+        (1, "A calm text about rivers and boats, written with care for its readers."),
+        (1, "A calm text about rivers and boats, written with care for its readers."),
+        (2, None),
+        (3, ""),
+        (None, "This row has no id but is a good text all the same, is it not?"),
+        (4, long),
+        (5, "Deploy with password = hunter2secret and go home early on a sunny Friday afternoon."),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, score string, part long, piece string"
+    rows = [(i, t, None, "s", None, 1, "x", 2, "y") for i, t in texts]
+
+    def ran(rows, name):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        return corpus_pipeline.run(spark, folder)
+
+    packed = ran(rows, "some")
+    found = packed.collect()
+    # The repeated text is there once; what has no words is not in the mix.
+    assert {r.doc_id for r in found} == {1, None, 4, 5}
+    assert all(len(r.ids) == r.length for r in found)
+    assert sum(r.length for r in found if r.doc_id == 4) > 200_000
+    assert {r.sequence_id: len(r.ids) for r in packing.sequences(packed).collect()} == {
+        s: sum(r.length for r in found if r.sequence_id == s) for s in {r.sequence_id for r in found}
+    }
+    assert ran([], "none").count() == 0
