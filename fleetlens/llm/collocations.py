@@ -1,19 +1,21 @@
 """Phrase collocations per language, counted in weighted acyclic automata.
 
-1. ``shards`` turns texts into numbered words, a few million a row, in one pass. Words are
-   numbered in the order of their bytes within a row. The same pass fills a sketch of fixed size:
-   how often a word, and a pair of words, of each hash occurs, at most ``least`` being told.
-2. Sketches are added. A hash that occurs fewer than ``least`` times has no frequent word or
-   pair; this only leaves work out, as every part of a frequent phrase is frequent.
-3. Each shard's remaining n-grams are sorted and built into automata that map an n-gram to its
-   count, one for each range of n-grams (``automata.build``).
+1. ``shards`` turns texts into numbered words, half a million a row, in one pass. Words are numbered
+   in the order of their bytes within a row.
+2. ``frequent`` counts the hashes of words by a group-by over each shard's own counts and marks
+   those that occur ``least`` times in a bitmap; then those of pairs of frequent words, then those
+   of triples of frequent pairs. A hash below that has no frequent n-gram. This only leaves work
+   out, as every part of a frequent phrase is frequent; what a hash or a bit shares with others is
+   counted and dropped later.
+3. The remaining n-grams of a task's shards are sorted and built into automata that map an n-gram to
+   its count, one for each range of n-grams (``automata.build``).
 4. The automata of a range are united, weights added (``automata.union``). Ranges are cut
    between n-grams of up to three words, so a frequent first word has several.
 5. Candidates are read off. The counts of their parts, which lie in other ranges, are found by
    composing an automaton of the wanted parts with the range's counts (``automata.compose``).
 
-Memory of a task depends on ``SHARD_WORDS``, the size of the sketch and the number of ranges,
-which grows with the number of words. Sketches beyond their size tell less, never wrong.
+Memory of a task depends on ``SHARD_WORDS``, on the bitmap, which has at most ``MOST_BITS`` bits,
+and on the bounds of the ranges, whose number grows with the number of words.
 
 Edge cases: a null text is empty; a null language is ``und``; rows that repeat an id or a
 text count each; texts without words and an empty table give no rows; ids and other columns
@@ -25,6 +27,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from fleetlens.llm import automata
-from fleetlens.llm.common import as_array, staged
+from fleetlens.llm.common import as_array, few_rows_at_once, staged
 
 LONGEST = 5
 LEAST = 100
@@ -43,16 +46,22 @@ TOP = 2000
 UNKNOWN = "und"
 
 # Words of a shard; with those of a slice they have numbers of 21 bits.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
+# Words of all languages that a task holds, in shards.
+OPEN_SHARDS = 3
+# N-grams that a task counts before it builds automata of them.
+MOST_KEYS = 100_000
+# Shards or automata that are handed to a task at once.
+ROWS_AT_ONCE = 2
 SLICE_BYTES = 1 << 20
-# Bits of the hashes that words and pairs are counted by.
-WORD_BITS, PAIR_BITS = 20, 22
-# Counts of a sketch that are one row.
-CHUNK = 1 << 16
-# Parts that rows of one chunk are first added in.
-SALTS = 64
+# N-grams up to this size are marked; those of longer ones are counted in the automata alone.
+MARKED_SIZES = 3
+# Bits of a bitmap for each hash in it, and at most: beyond, it tells less, but never wrong.
+BITS_EACH, MOST_BITS = 16, 1 << 30
+# Bits of one row of Spark's bitmap functions.
+BITMAP_ROW = 32768
 # Words a range of n-grams is meant for.
-RANGE_WORDS = 4_000_000
+RANGE_WORDS = 1_000_000
 # N-grams of a shard that ranges are cut by, and how many of all shards at most.
 MARKS, SAMPLE = 64, 65_536
 # Parts of a language that are ranked first.
@@ -63,8 +72,7 @@ NORMAL = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\n\x0b\x0c\r" + b"\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" "
 )
 
-SHARD = """kind string, lang string, words array<binary>, ids binary, owned long, n long,
-    marks array<binary>, number int, counts binary"""
+SHARD = "lang string, words array<binary>, hashes binary, ids binary, owned long, n long, marks array<binary>"
 RANGE = "range int, " + automata.COLUMNS
 
 
@@ -93,18 +101,26 @@ def hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
 
 
-def word_slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+def longer_hashes(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with one word more."""
+    mixed = (grams * np.uint64(0x9E3779B97F4A7C15) + words) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ (mixed >> np.uint64(29))
 
 
-def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def short(h: np.ndarray) -> np.ndarray:
+    """The half of a hash that is counted by."""
+    return h >> np.uint64(32)
 
 
-def small_type(least: int) -> str:
-    """Smallest number type that holds ``least``."""
-    return next(t for t in ("<u1", "<u2", "<u4", "<u8") if least <= np.iinfo(t).max)
+class Marked(NamedTuple):
+    """A set of hashes as a bitmap whose size is a power of two; it may hold others too."""
+
+    bits: bytes
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = short(h) & np.uint64(8 * len(self.bits) - 1)
+        own = np.frombuffer(self.bits, np.uint8)[(at >> np.uint64(3)).astype(np.int64)]
+        return (own >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def sorted_shard(numbers: Numbers, held: array) -> tuple[list[bytes], np.ndarray]:
@@ -145,47 +161,36 @@ def marks_of(words: list[bytes], ids: np.ndarray) -> list[bytes]:
     return out
 
 
-def shards(docs: DataFrame, lang_col: str, text_col: str, least: int) -> DataFrame:
-    """Rows of numbered words (``kind`` shard) and of sketches (``kind`` sketch).
+def shards(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """Rows of numbered words.
 
     A shard counts the n-grams that start in its first ``owned`` numbers. Where a shard is full
     within a text, the few numbers after these open the next shard of the language too.
     """
     target = StructType.fromDDL(SHARD)
-    small = small_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(target)
-        sketch = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.int64)
         held: dict[str, tuple[Numbers, array]] = {}
 
-        def row(**values) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([as_array([values.get(f.name)], f.type) for f in arrow], schema=arrow)
-
         def start(words: list[bytes]) -> tuple[Numbers, array]:
             numbers = Numbers({b"": 0, BREAK: 1})
             return numbers, array("i", map(numbers.__getitem__, words))
 
-        def flush(lookahead: int) -> Iterator[pa.RecordBatch]:
-            for lang, (numbers, text) in list(held.items()):
+        def flush(langs: list[str], lookahead: int) -> Iterator[pa.RecordBatch]:
+            for lang in langs:
+                numbers, text = held[lang]
                 words, ids = sorted_shard(numbers, text)
                 owned = max(len(ids) - lookahead, 0)
                 held[lang] = start([words[i - 1] if i else BREAK for i in ids[owned:].tolist()])
-                first, second = ids[:owned], following(ids, owned, 1)
-                if not first.any():
-                    continue
-                h, counts = hashes(lang, words), np.bincount(first, minlength=len(words) + 1)[1:]
-                both = (first != 0) & (second != 0)
-                slots = word_slots(h[1:])
-                sketch[: 1 << WORD_BITS] += np.bincount(slots, counts, 1 << WORD_BITS).astype(np.int64)
-                pairs = pair_slots(h[first[both]], h[second[both]])
-                sketch[1 << WORD_BITS :] += np.bincount(pairs, minlength=1 << PAIR_BITS)
-                yield row(
-                    kind="shard", lang=lang, words=words, ids=ids.astype("<i4").tobytes(), owned=owned,
-                    n=int(counts.sum()), marks=marks_of(words, ids),
-                )
+                n = int(np.count_nonzero(ids[:owned]))
+                if n:
+                    h, raw = hashes(lang, words).tobytes(), ids.astype("<i4").tobytes()
+                    values = [lang, words, h, raw, owned, n, marks_of(words, ids)]
+                    arrays = [as_array([v], f.type) for v, f in zip(values, arrow)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         total = 0
         for batch in batches:
@@ -197,82 +202,91 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, least: int) -> DataFra
                     numbers, text = held[lang]
                     text.extend(map(numbers.__getitem__, tokens))
                     total += len(tokens)
-                    if total >= SHARD_WORDS:
-                        yield from flush(LONGEST - 1)
+                    if total >= OPEN_SHARDS * SHARD_WORDS:
+                        yield from flush(list(held), LONGEST - 1)
                         total = 0
+                    elif len(text) >= SHARD_WORDS:
+                        yield from flush([lang], LONGEST - 1)
+                        total -= len(text)
                 if lang in held:
                     held[lang][1].append(1)
-        yield from flush(0)
-        found = np.minimum(sketch, least).astype(small)
-        for number in range(len(found) // CHUNK):
-            part = found[number * CHUNK : (number + 1) * CHUNK]
-            if part.any():
-                yield row(kind="sketch", number=number, counts=part.tobytes())
+        yield from flush(list(held), 0)
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")
     return docs.select(lang, F.col(text_col).cast("string").alias("text")).mapInArrow(run, target)
 
 
-def added(sketches: DataFrame, least: int) -> DataFrame:
-    """Sums of the rows of each chunk within a partition, one row after another."""
-    small = small_type(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for number, raw in zip(batch.column("number").to_pylist(), batch.column("counts").to_pylist()):
-                counts = np.frombuffer(raw, small).astype(np.int64)
-                sums[number] = np.minimum(sums.get(number, 0) + counts, least)
-        if sums:
-            rows = [counts.astype(small).tobytes() for counts in sums.values()]
-            numbers = pa.array(list(sums), pa.int32())
-            yield pa.RecordBatch.from_arrays([numbers, pa.array(rows, pa.binary())], names=["number", "counts"])
-
-    return sketches.mapInArrow(run, "number int, counts binary")
-
+def open_grams(h: np.ndarray, ids: np.ndarray, marks: list[Marked]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and hashes of the n-grams of each size that may be frequent, one size more than is marked."""
+    at = np.flatnonzero(ids)
+    sizes = [(at, h[ids[at]])]
+    for size, marked in enumerate(marks, 1):
+        at, g = sizes[-1]
+        keep = marked.holds(g)
+        at, g = at[keep], g[keep]
+        sizes[-1] = at, g
+        # Both the n-gram at a start and the one at the next start.
+        both = np.flatnonzero(np.diff(at) == 1)
+        sizes.append((at[both], longer_hashes(g[both], h[ids[at[both] + size]])))
+    return sizes
 
-def frequent_slots(parts: DataFrame, least: int) -> np.ndarray:
-    """Which hashes of words, then of pairs, occur ``least`` times or more, as bits.
-
-    Its size is that of the sketch, whatever the corpus.
-    """
-    sketches = parts.where("kind = 'sketch'").select("number", "counts")
-    salted = sketches.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(SALTS)))
-    once = added(salted.repartition("number", "salt").select("number", "counts"), least)
-    flags = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), bool)
-    for number, raw in added(once.repartition("number"), least).collect():
-        flags[number * CHUNK : (number + 1) * CHUNK] = np.frombuffer(raw, small_type(least)) >= least
-    return np.packbits(flags)
 
+def hash_counts(parts: DataFrame, marks: list[Marked]) -> DataFrame:
+    """Hash and count of each shard's n-grams, of the size after those that are marked."""
 
-def grams(
-    lang: str, words: list[bytes], ids: np.ndarray, owned: int, bits: np.ndarray
-) -> Iterator[tuple[automata.Key, int]]:
-    """Sorted n-grams of a shard's words, the language in front, with their counts.
-
-    What has a word or a pair that is not frequent is left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            at, g = open_grams(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["ids"], "<i4"), marks)[-1]
+            keys, counts = np.unique(short(g[at < row["owned"]]).astype(np.uint32), return_counts=True)
+            arrays = [pa.array(keys.view(np.int32)), pa.array(counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "n"])
+
+    return parts.select("hashes", "ids", "owned").mapInArrow(run, "h int, n int")
+
+
+def frequent(parts: DataFrame, least: int, marks: list[Marked]) -> Marked:
+    """Hashes of the n-grams, of the size after those that are marked, that occur ``least`` times."""
+    counts = hash_counts(parts, marks).groupBy("h").agg(F.sum("n").alias("n"))
+    with few_rows_at_once(parts.sparkSession, ROWS_AT_ONCE):
+        often = staged(counts.where(F.col("n") >= least).select("h"), "collocations-frequent")
+    size = BITMAP_ROW
+    while size < min(BITS_EACH * often.count(), MOST_BITS):
+        size *= 2
+    place = F.col("h").cast("long").bitwiseAND(size - 1)
+    row, bit = F.floor(place / BITMAP_ROW).cast("int"), place.bitwiseAND(BITMAP_ROW - 1)
+    # At most ``MOST_BITS`` bits reach the driver and go to the tasks.
+    rows = often.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    whole = bytearray(size // 8)
+    for number, bits in rows:
+        whole[number * BITMAP_ROW // 8 : (number + 1) * BITMAP_ROW // 8] = bits
+    return Marked(bytes(whole))
+
+
+def grams(row: dict, marks: list[Marked]) -> Iterator[tuple[automata.Key, int]]:
+    """Distinct n-grams of a shard's words, the language in front, with their counts.
+
+    What has a part that is not frequent is left out.
     """
-    flags = np.unpackbits(bits).view(bool)
-    h = hashes(lang, words)
-    usable = flags[: 1 << WORD_BITS][word_slots(h)]
-    usable[0] = False
-    pair = np.zeros(len(ids), bool)
-    pair[:-1] = usable[ids[:-1]] & usable[ids[1:]]
-    at = np.flatnonzero(pair)
-    pair[at] = flags[1 << WORD_BITS :][pair_slots(h[ids[at]], h[ids[at + 1]])]
-    # Columns of the windows: their words, 0 from the first pair on that is not frequent.
-    window, open_ = [ids[:owned]], np.ones(owned, bool)
-    for distance in range(1, LONGEST):
-        open_ = open_ & following(pair, owned, distance - 1)
-        window.append(np.where(open_, following(ids, owned, distance), 0))
-    starts = window[1] != 0
+    words, owned = row["words"], row["owned"]
+    h, ids = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["ids"], "<i4")
+    # How long the n-grams go on from each start: an n-gram that is open has open beginnings.
+    reach = np.zeros(len(ids), np.int8)
+    for size, (at, _) in enumerate(open_grams(h, ids, marks), 1):
+        reach[at] = size
+    for size in range(len(marks) + 2, LONGEST + 1):
+        at = np.flatnonzero((reach[:-1] == size - 1) & (reach[1:] >= size - 1))
+        reach[at] = size
+    starts = np.flatnonzero(reach[:owned] > 1)
+    window = [np.where(reach[starts] > j, ids[np.minimum(starts + j, len(ids) - 1)], 0) for j in range(LONGEST)]
     # A word alone is a row of its own, before the windows it starts.
+    usable = marks[0].holds(h)
+    usable[0] = False
     single = np.flatnonzero(usable).astype(ids.dtype)
     alone = [single, *[np.zeros_like(single)] * (LONGEST - 1)]
-    table = [np.concatenate([column[starts], more]).astype(np.uint64) for column, more in zip(window, alone)]
+    table = [np.concatenate([column, more]).astype(np.uint64) for column, more in zip(window, alone)]
     wide, wider = np.uint64(21), np.uint64(42)
     order = np.lexsort(((table[3] << wide) | table[4], (table[0] << wider) | (table[1] << wide) | table[2]))
-    table = [column[order] for column in table]
+    table = [column[order].astype(np.int32) for column in table]
     singles = np.bincount(ids[:owned], minlength=len(words) + 1)
     changed, found = np.zeros(len(order), bool), []
     changed[:1] = True
@@ -285,17 +299,17 @@ def grams(
         found.append((heads, np.full(len(heads), size), singles[column[heads]] if size == 1 else counts))
     heads, sizes, counts = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((sizes, heads))
-    first, named = lang.encode(), [b"", *words]
+    first, named = row["lang"].encode(), [b"", *words]
     rows = np.stack(table, axis=1)
     for lines in np.array_split(order, max(1, len(order) // 10_000)):
-        for row, size, count in zip(rows[heads[lines]].tolist(), sizes[lines].tolist(), counts[lines].tolist()):
+        for gram, size, count in zip(rows[heads[lines]].tolist(), sizes[lines].tolist(), counts[lines].tolist()):
             if count:
-                yield (first, *[named[i] for i in row[:size]]), count
+                yield (first, *[named[i] for i in gram[:size]]), count
 
 
 def bounds_of(parts: DataFrame, ranges: int) -> list[automata.Key]:
     """Keys that cut all n-grams into about ``ranges`` ranges, by a bounded sample."""
-    marks = parts.where("kind = 'shard'").select("lang", F.explode("marks").alias("mark"))
+    marks = parts.select("lang", F.explode("marks").alias("mark"))
     some = marks.orderBy(F.xxhash64("mark", "lang"), "mark", "lang").limit(SAMPLE).collect()
     keys = sorted((r.lang.encode(), *bytes(r.mark).split(b" ")) for r in some)
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else ())
@@ -308,22 +322,31 @@ def range_batch(place: int, machine: automata.Automaton) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["range", *columns])
 
 
-def shard_automata(parts: DataFrame, bits: np.ndarray, bounds: list[automata.Key]) -> DataFrame:
-    """An automaton of n-gram counts for each shard and range."""
+def shard_automata(parts: DataFrame, marks: list[Marked], bounds: list[automata.Key]) -> DataFrame:
+    """Automata of n-gram counts, for each range, of the shards of a task."""
+
+    def by_range(counts: dict[automata.Key, int]) -> Iterator[pa.RecordBatch]:
+        place, held = 0, []
+        for pair in sorted(counts.items()):
+            if place < len(bounds) and pair[0] >= bounds[place]:
+                if held:
+                    yield range_batch(place, automata.build(held))
+                place, held = bisect_right(bounds, pair[0]), []
+            held.append(pair)
+        if held:
+            yield range_batch(place, automata.build(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[automata.Key, int] = {}
         for row in rows_of(batches):
-            place, held = 0, []
-            for key, count in grams(row["lang"], row["words"], np.frombuffer(row["ids"], "<i4"), row["owned"], bits):
-                if place < len(bounds) and key >= bounds[place]:
-                    if held:
-                        yield range_batch(place, automata.build(held))
-                    place, held = bisect_right(bounds, key), []
-                held.append((key, count))
-            if held:
-                yield range_batch(place, automata.build(held))
-
-    own = parts.where("kind = 'shard'").select("lang", "words", "ids", "owned")
+            for key, count in grams(row, marks):
+                counts[key] = counts.get(key, 0) + count
+                if len(counts) >= MOST_KEYS:
+                    yield from by_range(counts)
+                    counts = {}
+        yield from by_range(counts)
+
+    own = parts.select("lang", "words", "hashes", "ids", "owned")
     return own.mapInArrow(run, RANGE)
 
 
@@ -429,13 +452,17 @@ def mine(
     range_words: int = RANGE_WORDS,
 ) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score``; all phrases without ``top``."""
-    parts = staged(shards(docs, lang_col, text_col, least), "collocations-shards")
-    totals = staged(parts.where("kind = 'shard'").groupBy("lang").agg(F.sum("n").alias("n")), "collocations-totals")
+    parts = staged(shards(docs, lang_col, text_col), "collocations-shards")
+    totals = staged(parts.groupBy("lang").agg(F.sum("n").alias("n")), "collocations-totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
     bounds = bounds_of(parts, -(-words // range_words))
-    machines = shard_automata(parts, frequent_slots(parts, least), bounds)
-    ranges = staged(united(machines), "collocations-ranges")
-    found = staged(candidates(ranges, least), "collocations-candidates")
+    marks: list[Marked] = []
+    for _ in range(MARKED_SIZES):
+        marks.append(frequent(parts, least, marks))
+    machines = shard_automata(parts, marks, bounds)
+    with few_rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+        ranges = staged(united(machines), "collocations-ranges")
+        found = staged(candidates(ranges, least), "collocations-candidates")
     pieces = F.explode(
         F.expr(
             "flatten(transform(sequence(1, size(words) - 1), k -> array(slice(words, 1, k), slice(words, k + 1, size(words)))))"
