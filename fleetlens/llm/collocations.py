@@ -96,9 +96,15 @@ def slices(raw: bytes) -> Iterator[list[bytes]]:
 
 
 def hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    """Hash by word number; number 0 is the break."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
+    """Hash by word number, half of what is used; number 0 is the break."""
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.array([0, *(xxhash.xxh32_intdigest(w, seed) for w in words)], np.uint32)
+
+
+def kept_hashes(raw: bytes) -> np.ndarray:
+    """Word hashes of a shard, both halves alike."""
+    half = np.frombuffer(raw, np.uint32).astype(np.uint64)
+    return half << np.uint64(32) | half
 
 
 def longer_hashes(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -236,7 +242,7 @@ def hash_counts(parts: DataFrame, marks: list[Marked]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            at, g = open_grams(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["ids"], "<i4"), marks)[-1]
+            at, g = open_grams(kept_hashes(row["hashes"]), np.frombuffer(row["ids"], "<i4"), marks)[-1]
             keys, counts = np.unique(short(g[at < row["owned"]]).astype(np.uint32), return_counts=True)
             arrays = [pa.array(keys.view(np.int32)), pa.array(counts.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["h", "n"])
@@ -268,7 +274,7 @@ def grams(row: dict, marks: list[Marked]) -> Iterator[tuple[automata.Key, int]]:
     What has a part that is not frequent is left out.
     """
     words, owned = row["words"], row["owned"]
-    h, ids = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["ids"], "<i4")
+    h, ids = kept_hashes(row["hashes"]), np.frombuffer(row["ids"], "<i4")
     # How long the n-grams go on from each start: an n-gram that is open has open beginnings.
     reach = np.zeros(len(ids), np.int8)
     for size, (at, _) in enumerate(open_grams(h, ids, marks), 1):
@@ -452,7 +458,7 @@ def mine(
     range_words: int = RANGE_WORDS,
 ) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score``; all phrases without ``top``."""
-    parts = staged(shards(docs, lang_col, text_col), "collocations-shards")
+    parts = staged(shards(docs, lang_col, text_col), "collocations-shards", "zstd")
     totals = staged(parts.groupBy("lang").agg(F.sum("n").alias("n")), "collocations-totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
     bounds = bounds_of(parts, -(-words // range_words))

@@ -13,7 +13,7 @@ from fleetlens.session import scoped_conf, scratch_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts lineage in a way that outlives executors, and keeps costly columns from
@@ -22,7 +22,7 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     # What the write shuffled is not needed once it is written.
     with scoped_conf(df.sparkSession, {CLEANUP: "true"}):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
