@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import bytes_of, staged, texts_of
+from fleetlens.llm.common import bytes_of, few_rows_at_once, staged, texts_of
 
 CAPACITY = 2048
 END = 0
@@ -40,6 +40,8 @@ END = 0
 CACHE_WORDS = 800_000
 # Bytes of text whose new words are encoded together.
 TEXT_AT_ONCE = 1 << 20
+# Texts that are handed to a task at once: Spark and the worker each hold them, and both keep the memory.
+ROWS_AT_ONCE = 500
 
 # Marks that end a word: the tokenizer splits them off as well.
 TAIL = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?=\s|$)")
@@ -305,7 +307,9 @@ def pack(
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
-    found = staged(pieces(docs, tokenizer or tokenizer_path(), id_col, text_col, capacity, with_ids), "packing-pieces")
+    made = pieces(docs, tokenizer or tokenizer_path(), id_col, text_col, capacity, with_ids)
+    with few_rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+        found = staged(made, "packing-pieces")
     counts = staged(found.groupBy("length", "part").agg(F.count("*").alias("n")), "packing-counts")
     # At most ``capacity`` rows reach the driver.
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())
@@ -319,22 +323,19 @@ def pack(
     lengths, firsts = runs[:, 0], runs[:, 1]
     bounds = {int(n): (int(a), int(b)) for n, a, b in zip(*(np.unique(lengths, return_index=True)), np.r_[np.unique(lengths, return_index=True)[1][1:], len(runs)])}
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            at = np.zeros(len(rank), np.int64)
-            for value in np.unique(length):
-                own, (low, high) = length == value, bounds[int(value)]
-                at[own] = low + np.searchsorted(firsts[low:high], rank[own], side="right") - 1
-            into, per = rank - runs[at, 1], runs[at, 3]
-            sequence, offset = runs[at, 2] + into // per, runs[at, 4] + into % per * length
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)],
-                names=[*columns, "sequence_id", "offset"],
-            )
-
-    schema = PIECE + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*columns, "_rank").mapInArrow(look_up, schema)
+    @F.arrow_udf("sequence_id long, offset long")
+    def look_up(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        length, rank = lengths.to_numpy(), ranks.to_numpy()
+        at = np.zeros(len(rank), np.int64)
+        for value in np.unique(length):
+            own, (low, high) = length == value, bounds[int(value)]
+            at[own] = low + np.searchsorted(firsts[low:high], rank[own], side="right") - 1
+        into, per = rank - runs[at, 1], runs[at, 3]
+        sequence, offset = runs[at, 2] + into // per, runs[at, 4] + into % per * length
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    # Only lengths and ranks go through Python; ids stay where they are.
+    return ranked.select(*columns, look_up("length", "_rank").alias("_at")).select(*columns, "_at.*")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

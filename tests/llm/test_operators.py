@@ -30,6 +30,7 @@ from fleetlens.llm import (
     topk,
     warc,
 )
+from fleetlens.llm.common import staged
 from fleetlens.llm.oracle import oracles
 from fleetlens.llm.queries import QUERIES
 
@@ -570,6 +571,23 @@ def test_packing(docs):
     assert sum(sizes.values()) == sum(r.length for r in rows) and max(sizes.values()) <= 2048
 
 
+def test_packing_keeps_ids_in_place_and_batches_small(spark, docs, monkeypatch):
+    handed = {}
+
+    def noted(df, purpose, *rest):
+        handed[purpose] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return staged(df, purpose, *rest)
+
+    monkeypatch.setattr(packing, "staged", noted)
+    packed = packing.pack(docs, with_ids=True)
+    assert handed["packing-pieces"] <= 1000
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    # Ids would go to Python and back with every batch.
+    assert "MapInArrow" not in plan
+    [call] = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert re.search(r"look_up\(length#\d+L?, \(_first#\d+L? \+ place#\d+L?\)\)", call), call
+
+
 def check_sequences(rows, capacity=2048):
     by = {}
     for sequence, offset, length in rows:
