@@ -64,7 +64,8 @@ def nearest_places(
         both = both & F.col(axis).isNotNull()
     # Pings of one spot are one position here.
     waiting = positions.select(*keys, *AXES).where(both).distinct()
-    known = places.select(*keys, *AXES, name).where(both & F.col(name).isNotNull()).distinct()
+    # Of places in one spot only the smallest name can be the answer.
+    known = places.where(both & F.col(name).isNotNull()).groupBy(*keys, *AXES).agg(F.min(name).alias(name))
     known = known.withColumnsRenamed({axis: f"place_{axis}" for axis in AXES})
     if keys:
         waiting = waiting.join(known.select(*keys).distinct(), list(keys), "left_semi")
@@ -78,20 +79,26 @@ def nearest_places(
         cells = known.withColumns(
             {"cx": cell_of(F.col("place_longitude"), size), "cy": cell_of(F.col("place_latitude"), size)}
         )
-        spots = waiting.select("*", F.explode(ring).alias("o")).select(
-            *waiting.columns,
-            (cell_of(F.col("longitude"), size) + F.col("o.x")).alias("cx"),
-            (cell_of(F.col("latitude"), size) + F.col("o.y")).alias("cy"),
-        )
+
+        def pairs(spots: DataFrame) -> DataFrame:
+            around = spots.select("*", F.explode(ring).alias("o")).select(
+                *spots.columns,
+                (cell_of(F.col("longitude"), size) + F.col("o.x")).alias("cx"),
+                (cell_of(F.col("latitude"), size) + F.col("o.y")).alias("cy"),
+            )
+            return around.join(cells, [*keys, "cx", "cy"])
+
         d2 = squared_distance(
             F.col("latitude"), F.col("longitude"), F.col("place_latitude"), F.col("place_longitude"), squeeze
         )
-        least = F.min(F.struct(d2.alias("distance2"), F.col(name))).alias("best")
-        best = spots.join(cells, [*keys, "cx", "cy"]).groupBy(*waiting.columns).agg(least)
         # A place outside the ring is at least this far away.
         sure = size * size * min(1.0, squeeze) if not last else math.inf
-        done = best.where(F.col("best.distance2") < F.lit(sure)).select(*waiting.columns, f"best.{name}", "best.distance2")
-        done = staged(done, "nearest")
+        # The least number is found without sorting the pairs, names are compared for equally near places alone.
+        least = pairs(waiting).groupBy(*waiting.columns).agg(F.min(d2).alias("distance2"))
+        least = staged(least.where(F.col("distance2") < F.lit(sure)), "nearest")
+        equal = pairs(least).where(d2 == F.col("distance2"))
+        done = equal.groupBy(*waiting.columns, "distance2").agg(F.min(name).alias(name))
+        done = staged(done.select(*waiting.columns, name, "distance2"), "nearest")
         found.append(done)
         if last:
             break

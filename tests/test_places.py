@@ -170,6 +170,26 @@ def test_nearest_place(spark, keyed):
     assert got == brute(points, places, nearest.squeeze_at(-22.9), keyed)
 
 
+def test_pairs_are_not_sorted_and_a_spot_is_one_place(spark, monkeypatch):
+    plans, sizes = [], []
+
+    def noted(df, purpose):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = staged(df, purpose)
+        sizes.append(out.count())
+        return out
+
+    staged = nearest.staged
+    monkeypatch.setattr(nearest, "staged", noted)
+    pings = spark.range(50).select((F.col("id") / 1000).alias("latitude"), F.lit(0.0).alias("longitude"))
+    crowd = spark.range(300).selectExpr("concat('s', lpad(id, 3, '0')) AS estacao", "0.001D * (id % 2) AS latitude", "0.01D AS longitude")
+    near = nearest.with_nearest(pings, crowd, "estacao").collect()
+    assert sorted((r.latitude, r.estacao) for r in near)[:2] == [(0.0, "s000"), (0.001, "s001")]
+    assert {r.estacao for r in near} == {"s000", "s001"}
+    # Pairs of positions and places would be sorted, and spilled, for the least of a structure with a text.
+    assert sizes[1] == 2 and not any("min(struct" in plan for plan in plans)
+
+
 def test_no_places_and_no_positions(spark):
     some = spark.createDataFrame([("p", 1.0, 1.0, "1")], PLACES)
     none = some.limit(0)
