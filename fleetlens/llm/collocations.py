@@ -2,8 +2,8 @@
 
 1. ``shards`` turns texts into numbered words, half a million a row, in one pass. Words are numbered
    in the order of their bytes within a row.
-2. ``frequent`` counts the hashes of words by a group-by over each shard's own counts and marks
-   those that occur ``least`` times in a bitmap; then those of pairs of frequent words, then those
+2. ``frequent`` counts the hashes of words by a group-by over each task's own counts, in order and
+   packed by buckets of hashes, and marks those that occur ``least`` times in a bitmap; then those of pairs of frequent words, then those
    of triples of frequent pairs. A hash below that has no frequent n-gram. This only leaves work
    out, as every part of a frequent phrase is frequent; what a hash or a bit shares with others is
    counted and dropped later.
@@ -49,6 +49,8 @@ UNKNOWN = "und"
 SHARD_WORDS = 500_000
 # Words of all languages that a task holds, in shards.
 OPEN_SHARDS = 3
+# Hashes that a task holds before it hands them on, and words a bucket of hashes is meant for.
+HELD_HASHES, BUCKET_WORDS = 2_000_000, 2_000_000
 # N-grams that a task counts before it builds automata of them.
 MOST_KEYS = 100_000
 # Shards or automata that are handed to a task at once.
@@ -237,24 +239,73 @@ def open_grams(h: np.ndarray, ids: np.ndarray, marks: list[Marked]) -> list[tupl
     return sizes
 
 
-def hash_counts(parts: DataFrame, marks: list[Marked]) -> DataFrame:
-    """Hash and count of each shard's n-grams, of the size after those that are marked."""
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order with the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, first: int) -> bytes:
+    """Steps between hashes in order, the first from ``first``, and counts, by place of their bytes."""
+    steps = np.diff(keys.astype("<i8"), prepend=first).astype("<u4")
+    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in (steps, counts.astype("<i8"))]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, size: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(raw, 12 * size, "zstd", asbytes=True), np.uint8).reshape(12, size)
+    steps, counts = (np.ascontiguousarray(x.T).view(kind).ravel() for x, kind in ((planes[:4], "<u4"), (planes[4:], "<i8")))
+    return (np.cumsum(steps, dtype=np.int64) + first).astype(np.uint32), counts
+
+
+def hash_counts(parts: DataFrame, marks: list[Marked], bits: int) -> DataFrame:
+    """Hashes and counts of each task's n-grams, of the size after those that are marked.
+
+    A row has those of one bucket, which is the first ``bits`` bits of a hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1 << bits, dtype=np.int64) << (32 - bits)
+
+        def flush(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            keys, counts = summed(found)
+            cuts = np.append(np.searchsorted(keys, edges), len(keys))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            for some in (full[i : i + 1000] for i in range(0, len(full), 1000)):
+                rows = [packed(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], int(edges[i])) for i in some]
+                sizes = pa.array([int(cuts[i + 1] - cuts[i]) for i in some], pa.int32())
+                arrays = [pa.array(some, pa.int32()), sizes, pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "size", "counts"])
+
+        found, total = [], 0
         for row in rows_of(batches):
             at, g = open_grams(kept_hashes(row["hashes"]), np.frombuffer(row["ids"], "<i4"), marks)[-1]
-            keys, counts = np.unique(short(g[at < row["owned"]]).astype(np.uint32), return_counts=True)
-            arrays = [pa.array(keys.view(np.int32)), pa.array(counts.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h", "n"])
+            found.append(np.unique(short(g[at < row["owned"]]).astype(np.uint32), return_counts=True))
+            total += len(found[-1][0])
+            if total >= HELD_HASHES:
+                yield from flush(found)
+                found, total = [], 0
+        if found:
+            yield from flush(found)
 
-    return parts.select("hashes", "ids", "owned").mapInArrow(run, "h int, n int")
+    return parts.select("hashes", "ids", "owned").mapInArrow(run, "bucket int, size int, counts binary")
 
 
-def frequent(parts: DataFrame, least: int, marks: list[Marked]) -> Marked:
+def frequent(parts: DataFrame, least: int, marks: list[Marked], words: int) -> Marked:
     """Hashes of the n-grams, of the size after those that are marked, that occur ``least`` times."""
-    counts = hash_counts(parts, marks).groupBy("h").agg(F.sum("n").alias("n"))
+    bits = max(-(-words // BUCKET_WORDS) - 1, 0).bit_length()
+
+    def often_of(key: tuple, rows: pa.Table) -> pa.Table:
+        first = key[0].as_py() << (32 - bits)
+        keys, counts = summed([unpacked(r["counts"], r["size"], first) for r in rows.to_pylist()])
+        return pa.table({"h": pa.array(keys[counts >= least].view(np.int32))})
+
     with few_rows_at_once(parts.sparkSession, ROWS_AT_ONCE):
-        often = staged(counts.where(F.col("n") >= least).select("h"), "collocations-frequent")
+        found = hash_counts(parts, marks, bits).groupBy("bucket").applyInArrow(often_of, "h int")
+        often = staged(found, "collocations-frequent")
     size = BITMAP_ROW
     while size < min(BITS_EACH * often.count(), MOST_BITS):
         size *= 2
@@ -464,7 +515,7 @@ def mine(
     bounds = bounds_of(parts, -(-words // range_words))
     marks: list[Marked] = []
     for _ in range(MARKED_SIZES):
-        marks.append(frequent(parts, least, marks))
+        marks.append(frequent(parts, least, marks, words))
     machines = shard_automata(parts, marks, bounds)
     with few_rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
         ranges = staged(united(machines), "collocations-ranges")

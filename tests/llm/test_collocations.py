@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fleetlens.llm import automata, collocations
+from fleetlens.llm.common import staged
 
 SCHEMA = "doc_id long, text string, lang string, words string, n long, part string, kind string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,3 +133,29 @@ def test_equal_remainders_are_one_state():
     words = [b"a", b"b", b"c"]
     machine = automata.build([((x, y, z), 5) for x in words for y in words for z in words])
     assert len(machine.final) == 4
+
+
+def test_hash_counts_are_packed_by_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 20_000, 3000)) for _ in range(40)]
+    docs = spark.createDataFrame([("en", text) for text in texts], "lang string, text string")
+    parts = staged(collocations.shards(docs, "lang", "text"), "test-shards")
+    want = Counter()
+    for row in parts.collect():
+        ids = np.frombuffer(row.ids, "<i4")[: row.owned]
+        want.update(np.frombuffer(row.hashes, np.uint32)[ids[ids != 0]].tolist())
+    rows = collocations.hash_counts(parts, [], 3).collect()
+    got = Counter()
+    for row in rows:
+        keys, counts = collocations.unpacked(row.counts, row.size, row.bucket << 29)
+        assert (keys >> 29 == row.bucket).all()
+        got.update(dict(zip(keys.tolist(), counts.tolist())))
+    assert got == want and len({row.bucket for row in rows}) == 8
+    # A hash and its count take a few bytes of the shuffle, not a row.
+    assert sum(len(row.counts) for row in rows) < 5 * sum(row.size for row in rows)
+    often = {h for h, n in want.items() if n >= 8}
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 1000)
+    marked = collocations.frequent(parts, 8, [], 120_000)
+    assert marked.holds(np.array(sorted(often), np.uint64) << np.uint64(32)).all()
+    others = np.array(sorted(set(want) - often), np.uint64) << np.uint64(32)
+    assert marked.holds(others).mean() < 0.2
