@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import bytes_of, staged, texts_of
-from fleetlens.llm.packing import tokenizer_path
+from fleetlens.llm.common import bytes_of, few_rows_at_once, staged, texts_of
+from fleetlens.llm.packing import ROWS_AT_ONCE, tokenizer_path
 
 WINDOW = 1024
 END = 0
@@ -45,6 +45,8 @@ SETS_EACH = 4
 LONG_WEIGHT = 10.0
 # Bytes of text that are tokenised together.
 TEXT_AT_ONCE = 1 << 20
+# Bits for the number of a piece within its length.
+RANK_BITS = 40
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -296,6 +298,29 @@ def look_up_table(runs: np.ndarray) -> dict[int, tuple[np.ndarray, list[np.ndarr
     return table
 
 
+class Places:
+    """The look-up table as arrays, for many pieces at once."""
+
+    def __init__(self, runs: np.ndarray):
+        keys, spans = [np.zeros(0, np.int64)], []
+        for length, (edges, own) in look_up_table(runs).items():
+            keys.append((length << RANK_BITS) + edges)
+            spans += own
+        # Stretches in the order of length and first piece; the runs of each, and where they begin.
+        self.keys, self.counts = np.concatenate(keys), np.array([len(x) for x in spans], np.int64)
+        self.begins = np.cumsum(self.counts) - self.counts
+        self.runs = np.concatenate([np.zeros((0, 7), np.int64), *spans])
+
+    def of(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Parts of each piece: how many, and start, tokens, sequence and offset of all parts."""
+        at = self.keys.searchsorted((lengths << RANK_BITS) + ranks, "right") - 1
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        within = np.arange(counts.sum()) - np.repeat(ends - counts, counts)
+        found = self.runs[np.repeat(self.begins[at], counts) + within]
+        return counts, [found[:, 3], found[:, 4], found[:, 5] + np.repeat(ranks, counts) - found[:, 1], found[:, 6]]
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str | None = None,
@@ -305,46 +330,39 @@ def pack(
     steps: int = STEPS,
 ) -> DataFrame:
     """Pieces of all documents with their ids, ``sequence_id`` and ``offset``."""
-    found = staged(pieces(docs, tokenizer or tokenizer_path(TOKENIZER), id_col, text_col, window), "nnls-pieces")
+    made = pieces(docs, tokenizer or tokenizer_path(TOKENIZER), id_col, text_col, window)
+    with few_rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+        found = staged(made, "nnls-pieces")
     counts = staged(found.groupBy("length", "part").agg(F.count("*").alias("n")), "nnls-counts")
     # At most ``window`` rows reach the driver.
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())
-    runs = plan(histogram, window, steps)
+    table = Places(plan(histogram, window, steps))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per task and length: written, so that its size is known when the join is planned.
     starts = staged(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "nnls-starts")
-    ranked = found.join(starts, ["length", "part"])
-    columns = ["doc_id", "start", "length", "doc_tokens", "ids"]
-    ranked = ranked.select(*columns, (F.col("first") + F.col("place")).alias("rank"))
+    names = ["first", "tokens", "sequence_id", "offset"]
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = look_up_table(runs)
-        for batch in batches:
-            lengths, ranks = batch.column("length").to_pylist(), batch.column("rank").to_pylist()
-            starts, ids = batch.column("start").to_pylist(), batch.column("ids").to_pylist()
-            rows, origin = [], []
-            for i, (length, rank) in enumerate(zip(lengths, ranks)):
-                edges, spans = table[length]
-                for _, first, _, start, tokens, sequence, offset in spans[int(edges.searchsorted(rank, "right")) - 1].tolist():
-                    own = ids[i] if tokens == length else ids[i][4 * start : 4 * (start + tokens)]
-                    rows.append((starts[i] + start, tokens, own, sequence + rank - first, offset))
-                    origin.append(i)
-            if rows:
-                start, tokens, own, sequence, offset = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(origin)),
-                        pa.array(start, pa.int64()),
-                        pa.array(tokens, pa.int64()),
-                        batch.column("doc_tokens").take(pa.array(origin)),
-                        pa.array(own, pa.binary()),
-                        pa.array(sequence, pa.int64()),
-                        pa.array(offset, pa.int64()),
-                    ],
-                    names=[*columns, "sequence_id", "offset"],
-                )
-
-    return ranked.mapInArrow(look_up, PIECE + ", sequence_id long, offset long")
+    @F.arrow_udf(f"array<struct<{', '.join(f'{name}: bigint' for name in names)}>>")
+    def look_up(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        parts, columns = table.of(lengths.to_numpy(), ranks.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c) for c in columns], names))
+
+    # Only lengths and ranks go through Python; ids stay where they are, and are cut there.
+    ranked = found.join(starts, ["length", "part"])
+    whole = ["doc_id", "start", F.col("length").alias("whole"), "doc_tokens", "ids"]
+    ranked = ranked.select(*whole, look_up("length", F.col("first") + F.col("place")).alias("parts"))
+    parts = ranked.select("doc_id", "start", "whole", "doc_tokens", "ids", F.inline("parts"))
+    own = F.expr("CASE WHEN tokens = whole THEN ids ELSE substring(ids, CAST(4 * first + 1 AS INT), CAST(4 * tokens AS INT)) END")
+    return parts.select(
+        "doc_id",
+        (F.col("start") + F.col("first")).alias("start"),
+        F.col("tokens").alias("length"),
+        "doc_tokens",
+        own.alias("ids"),
+        "sequence_id",
+        "offset",
+    )
 
 
 def padding(packed: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import tokenizers
+from helpers import plan_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -84,6 +85,13 @@ def test_round_trip(spark):
     assert padding(sizes) == 0 and len(sizes) <= -(-sum(sizes) // nnls_packing.WINDOW) + 10
 
 
+def test_ids_do_not_go_through_python_for_their_places(spark):
+    df = spark.createDataFrame([(1, "some words of it " * 400), (2, "more")], "doc_id long, text string")
+    plan = plan_of(nnls_packing.pack(df))
+    # The function gets two numbers a piece; a function over whole rows would get the ids as well.
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 def test_query_on_the_whole_table(spark):
     sf_dir = "/root/testdata/sf0.001"
     got = QUERIES["op12_nnls_packing"](spark, sf_dir).collect()
