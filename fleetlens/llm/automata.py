@@ -14,6 +14,7 @@ from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 Key = tuple[bytes, ...]
 
@@ -33,20 +34,52 @@ class Automaton(NamedTuple):
     final: np.ndarray
 
 
-ARRAYS = {"first": "<i8", "label": "<i4", "target": "<i4", "out": "<i8", "final": "<i8"}
+KINDS = {"first": "<i8", "label": "<i4", "target": "<i4", "out": "<i8", "final": "<i8"}
 # Columns an automaton is kept in.
-COLUMNS = "words array<binary>, " + ", ".join(f"{name} binary" for name in ARRAYS)
+COLUMNS = ", ".join(f"{name} binary" for name in ("words", *KINDS))
+
+
+def packed(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by place of their bytes, compressed; how many there are in front."""
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], size * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    sizes, whole = packed(np.array([len(w) for w in words], np.int64), "<i8"), b"".join(words)
+    head = b"".join(n.to_bytes(8, "little") for n in (len(sizes), len(whole)))
+    return head + sizes + pa.compress(whole, "zstd", asbytes=True)
+
+
+def unpacked_words(raw: bytes) -> list[bytes]:
+    sizes_end, size = 16 + int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
+    ends = np.cumsum(unpacked(raw[16:sizes_end], "<i8")).tolist()
+    whole = pa.decompress(raw[sizes_end:], size, "zstd", asbytes=True)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def as_columns(machines: list[Automaton]) -> dict[str, list]:
-    return {
-        "words": [m.words for m in machines],
-        **{name: [getattr(m, name).astype(kind).tobytes() for m in machines] for name, kind in ARRAYS.items()},
-    }
+    columns: dict[str, list] = {name: [] for name in ("words", *KINDS)}
+    for m in machines:
+        arcs = np.diff(m.first)
+        # Arcs go back to states that were closed before: how far, which is mostly little.
+        back = np.repeat(np.arange(len(arcs)), arcs) - m.target
+        columns["words"].append(packed_words(m.words))
+        for (name, kind), values in zip(KINDS.items(), (arcs, m.label, back, m.out, m.final)):
+            columns[name].append(packed(values, kind))
+    return columns
 
 
 def from_row(row: dict) -> Automaton:
-    return Automaton(row["words"], *[np.frombuffer(row[name], kind) for name, kind in ARRAYS.items()])
+    arcs, label, back, out, final = (unpacked(row[name], kind) for name, kind in KINDS.items())
+    target = np.repeat(np.arange(len(arcs), dtype=np.int32), arcs) - back
+    return Automaton(unpacked_words(row["words"]), np.append(0, np.cumsum(arcs)), label, target, out, final)
 
 
 class State:

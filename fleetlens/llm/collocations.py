@@ -3,8 +3,8 @@
 1. ``shards`` turns texts into numbered words, half a million a row, in one pass. Words are numbered
    in the order of their bytes within a row.
 2. ``frequent`` counts the hashes of words by a group-by over each task's own counts, in order and
-   packed by buckets of hashes, and marks those that occur ``least`` times in a bitmap; then those of pairs of frequent words, then those
-   of triples of frequent pairs. A hash below that has no frequent n-gram. This only leaves work
+   packed by buckets of hashes, and marks those that occur ``least`` times in a bitmap; then those of pairs of frequent words, and so
+   on up to the longest n-grams. A hash below that has no frequent n-gram. This only leaves work
    out, as every part of a frequent phrase is frequent; what a hash or a bit shares with others is
    counted and dropped later.
 3. The remaining n-grams of a task's shards are sorted and built into automata that map an n-gram to
@@ -56,8 +56,8 @@ MOST_KEYS = 100_000
 # Shards or automata that are handed to a task at once.
 ROWS_AT_ONCE = 2
 SLICE_BYTES = 1 << 20
-# N-grams up to this size are marked; those of longer ones are counted in the automata alone.
-MARKED_SIZES = 3
+# N-grams up to this size are marked, so that automata hold hardly any that are not frequent.
+MARKED_SIZES = LONGEST
 # Bits of a bitmap for each hash in it, and at most: beyond, it tells less, but never wrong.
 BITS_EACH, MOST_BITS = 16, 1 << 30
 # Bits of one row of Spark's bitmap functions.
@@ -225,7 +225,7 @@ def shards(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 def open_grams(h: np.ndarray, ids: np.ndarray, marks: list[Marked]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Starts and hashes of the n-grams of each size that may be frequent, one size more than is marked."""
+    """Starts and hashes of the n-grams of each size that may be frequent, one size more than is marked if there is one."""
     at = np.flatnonzero(ids)
     sizes = [(at, h[ids[at]])]
     for size, marked in enumerate(marks, 1):
@@ -233,6 +233,8 @@ def open_grams(h: np.ndarray, ids: np.ndarray, marks: list[Marked]) -> list[tupl
         keep = marked.holds(g)
         at, g = at[keep], g[keep]
         sizes[-1] = at, g
+        if size == LONGEST:
+            break
         # Both the n-gram at a start and the one at the next start.
         both = np.flatnonzero(np.diff(at) == 1)
         sizes.append((at[both], longer_hashes(g[both], h[ids[at[both] + size]])))
@@ -374,8 +376,7 @@ def bounds_of(parts: DataFrame, ranges: int) -> list[automata.Key]:
 
 def range_batch(place: int, machine: automata.Automaton) -> pa.RecordBatch:
     columns = automata.as_columns([machine])
-    kinds = {name: pa.list_(pa.binary()) if name == "words" else pa.binary() for name in columns}
-    arrays = [pa.array([place], pa.int32()), *[pa.array(v, kinds[k]) for k, v in columns.items()]]
+    arrays = [pa.array([place], pa.int32()), *[pa.array(v, pa.binary()) for v in columns.values()]]
     return pa.RecordBatch.from_arrays(arrays, names=["range", *columns])
 
 

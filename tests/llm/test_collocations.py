@@ -135,6 +135,38 @@ def test_equal_remainders_are_one_state():
     assert len(machine.final) == 4
 
 
+def test_automata_get_frequent_phrases_alone(spark):
+    rng = random.Random(5)
+    # Triples of these words are frequent, most longer phrases are not.
+    rows = [("en", " ".join(rng.choice("abcde") for _ in range(40))) for _ in range(400)] + [("en", "a b c d e")] * 30
+    parts = staged(collocations.shards(frame(spark, rows), "lang", "text"), "test-shards")
+    marks, words = [], sum(r.n for r in parts.select("n").collect())
+    for _ in range(collocations.MARKED_SIZES):
+        marks.append(collocations.frequent(parts, 30, marks, words))
+    want = Counter()
+    for _, text in rows:
+        own = text.split()
+        for size in range(1, 6):
+            want.update(tuple(own[i : i + size]) for i in range(len(own) - size + 1))
+    got = Counter()
+    for row in collocations.shard_automata(parts, marks, []).collect():
+        got.update({tuple(w.decode() for w in k[1:]): n for k, n in automata.items(automata.from_row(row.asDict()))})
+    assert any(len(k) > 3 for k, n in want.items() if n >= 30)
+    assert {k: n for k, n in want.items() if n >= 30}.items() <= got.items() <= want.items()
+    # Hashes in a bitmap may be shared, hardly more.
+    rare = sum(n < 30 for n in want.values())
+    assert sum(n < 30 for n in got.values()) < 0.2 * rare
+
+
+def test_an_automaton_takes_few_bytes():
+    rng = random.Random(6)
+    keys = sorted({tuple(str(rng.randrange(300)).encode() for _ in range(rng.randrange(1, 5))) for _ in range(5000)})
+    machine = automata.build((key, rng.randrange(100, 500)) for key in keys)
+    (row,) = ({name: column[0] for name, column in automata.as_columns([machine]).items()},)
+    assert dict(automata.items(automata.from_row(row))) == dict(automata.items(machine))
+    assert sum(map(len, row.values())) < 10 * len(keys)
+
+
 def test_hash_counts_are_packed_by_bucket(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 20_000, 3000)) for _ in range(40)]
