@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_batches, staged, texts_of
+from fleetlens.llm.common import map_batches, map_texts, staged, texts_of
 
 SAMPLE = 4000
 SAMPLE_LINES = 500_000
@@ -401,4 +401,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float
         kept = pa.array(keep, pa.int64())
         return {f.name: batch.column(f.name).take(kept) for f in fields}
 
-    return map_batches(docs, run, docs.schema)
+    return map_texts(docs, run, docs.schema)

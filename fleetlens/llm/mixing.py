@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import map_batches, partitions, staged
+from fleetlens.llm.common import map_batches, map_texts, partitions, staged
 
 BLOCK = 512
 SHARD_SLOTS = 1024
@@ -58,7 +58,7 @@ def sized(rows: DataFrame, text_col: str) -> DataFrame:
         sizes = [0 if (raw := text.as_buffer()) is None else len(raw.to_pybytes().split()) for text in texts]
         return {name: batch.column(name) for name in batch.schema.names} | {"_size": sizes}
 
-    return map_batches(rows, run, StructType([*rows.schema.fields, StructField("_size", LongType())]))
+    return map_texts(rows, run, StructType([*rows.schema.fields, StructField("_size", LongType())]))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -335,4 +335,4 @@ def mixed(
         chosen = row.take(pa.array(places, pa.int64()))
         return {name: chosen.field(name) for name in names} | {text_col: texts, length_col: [len(t) for t in texts]}
 
-    return map_batches(joined, run, docs.schema)
+    return map_texts(joined, run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_batches
+from fleetlens.llm.common import map_batches, map_texts
 
 WINDOW = 20
 MASK = "[SECRET]"
@@ -211,4 +211,4 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
             columns[length_col] = [n if a == b else len(b) for a, b, n in zip(old, new, lengths)]
         return columns
 
-    return map_batches(docs, run, docs.schema)
+    return map_texts(docs, run, docs.schema)

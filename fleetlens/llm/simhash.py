@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_batches, staged, texts_of
+from fleetlens.llm.common import map_texts, staged, texts_of
 from fleetlens.llm.components import components
 
 SHINGLE = 3
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         text_key(text_col).alias("text_key"),
         F.col(text_col).cast("string").alias("text"),
     )
-    return map_batches(rows, run, "doc_id long, text_key long, fp long")
+    return map_texts(rows, run, "doc_id long, text_key long, fp long")
 
 
 def spans(bits: int, count: int) -> list[tuple[int, int]]:

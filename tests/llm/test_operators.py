@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from fleetlens.llm import (
+    common,
     components,
     crf,
     licenses,
@@ -834,3 +835,25 @@ def test_pipeline_with_awkward_rows(spark, tmp_path):
         s: sum(r.length for r in found if r.sequence_id == s) for s in {r.sequence_id for r in found}
     }
     assert ran([], "none").count() == 0
+
+
+def test_functions_of_whole_texts_get_few_at_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    seen = common.map_texts(df, lambda b: {"doc_id": b.column("doc_id"), "n": [b.num_rows] * b.num_rows}, "doc_id long, n long")
+    assert {r.n for r in seen.collect()} == {40}
+    monkeypatch.setattr(common, "TEXTS_AT_ONCE", 7)
+    seen = common.map_texts(df, lambda b: {"doc_id": b.column("doc_id"), "n": [b.num_rows] * b.num_rows}, "doc_id long, n long")
+    rows = seen.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40)) and {r.n for r in rows} == {7, 5}
+
+
+def test_stages_give_the_same_rows_however_many_texts_come_at_once(spark, monkeypatch):
+    rows = [(*row, len(row[1] or "")) for row in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    model = crf.Model(np.linspace(-1, 1, crf.FEATURES), np.zeros((2, 2)))
+    stages = [lambda: crf.accepted(docs, model), lambda: simhash.one_of_each(docs), lambda: secret_scan.redacted(docs), lambda: mixing.mixed(docs)]
+    found = []
+    for at_once in (2, 500):
+        monkeypatch.setattr(common, "TEXTS_AT_ONCE", at_once)
+        found.append([sorted(map(repr, stage().collect())) for stage in stages])
+    assert found[0] == found[1] and all(found[0])
